@@ -1,0 +1 @@
+"""Intentionally empty: every operator this engine covers is a batch operator."""
