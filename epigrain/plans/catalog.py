@@ -1,4 +1,4 @@
 """All registered queries; importing the query modules fills the registry."""
 
-from . import diagnostic_queries, sequence_queries  # noqa: F401
+from . import diagnostic_queries, ingest_queries, profile_queries, sequence_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

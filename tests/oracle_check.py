@@ -17,6 +17,9 @@ TABLES = (
 ).split()
 
 
+TIMES: dict[str, float] = {}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -45,8 +48,11 @@ def normal_rows(columns, rows):
 
 def compare(spark, con, name, query, sql, sf_dir):
     """None when equal, else a short description of the first difference."""
+    start = time.time()
     df = query(spark, sf_dir)
-    got_cols, got = normal_rows(df.columns, [tuple(r) for r in df.collect()])
+    fetched = df.collect()
+    TIMES[name] = time.time() - start
+    got_cols, got = normal_rows(df.columns, [tuple(r) for r in fetched])
     if sql is None:
         return None if got_cols else "no columns"
     result = con.execute(sql)
@@ -85,7 +91,7 @@ def main(argv):
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         failed += problem is not None
         kind = "sql" if name in oracles else "rows"
-        print(f"{'ok  ' if problem is None else 'FAIL'} {kind:4} {name:28} {time.time() - start:6.1f}s {problem or ''}",
+        print(f"{'ok  ' if problem is None else 'FAIL'} {kind:4} {name:28} {time.time() - start:6.1f}s spark {TIMES.get(name, 0):6.1f}s {problem or ''}",
               flush=True)
     print("failed:", failed)
     return failed
