@@ -1,4 +1,11 @@
 """All registered queries; importing the query modules fills the registry."""
 
-from . import diagnostic_queries, ingest_queries, profile_queries, sequence_queries  # noqa: F401
+from . import (  # noqa: F401
+    diagnostic_queries,
+    ingest_queries,
+    model_queries,
+    profile_queries,
+    sequence_queries,
+    source_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
