@@ -19,6 +19,7 @@ from ..functions.hashing import seeded_hash
 from ..functions.joins import null_safe_join
 from ..functions.names import CPP, DESCRIPTOR, FeatureName, base_scale
 from ..functions.ordered import hash_rank
+from ..session import stage
 from .relational import inverse_columns
 
 KEY_COLUMNS = ("data_type", "peptide", "immunogenicity", "cluster")
@@ -336,7 +337,8 @@ def minimum_features(
     n_trees: int = 100,
 ) -> dict[int, list[str]]:
     """Features chosen in every run, with columns in both orders; one list per requested size."""
-    prepared = preprocess_all(tables, metadata, seeds)
+    # Both column orders start from the same prepared rows: write them once.
+    prepared = {k: replace(p, dt=stage(p.dt)) for k, p in preprocess_all(tables, metadata, seeds).items()}
     chosen = []
     for runs in (prepared, inverse_order(prepared)):
         chosen.append(

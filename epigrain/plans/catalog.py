@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     diagnostic_queries,
+    feature_queries,
     ingest_queries,
     model_queries,
     profile_queries,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import diagnostics
 from .inputs import CLASSIFIED_SQL, classified
-from .registry import query, r, rounded
+from .registry import query, r, rnd, rounded
 
 CURVE_SQL = CLASSIFIED_SQL + """,
 c AS (SELECT "group", prob, count(*) FILTER (truth = 'Positive') AS pos, count(*) FILTER (truth <> 'Positive') AS neg
@@ -63,7 +63,7 @@ loc AS (SELECT "group", y, avg(x) AS x, count(*) AS n FROM g JOIN near USING ("g
 e AS (SELECT "group", sum(n) AS n, max(y) FILTER (y <= 80) AS y0, max_by(x, y) FILTER (y <= 80) AS x0,
              min(y) FILTER (y >= 80) AS y1, min_by(x, y) FILTER (y >= 80) AS x1 FROM loc GROUP BY 1)
 SELECT "group", 80.0::DOUBLE AS cum_event_pct,
-       CASE WHEN n > 2 THEN {r('CASE WHEN y0 = y1 THEN x0 ELSE x0 + (x1 - x0) * (80 - y0) / (y1 - y0) END', 'q', 9)[:-5]}
+       CASE WHEN n > 2 THEN {rnd('CASE WHEN y0 = y1 THEN x0 ELSE x0 + (x1 - x0) * (80 - y0) / (y1 - y0) END', 9)}
        END AS cum_tested_pct
 FROM e""",
 )

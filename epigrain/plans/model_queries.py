@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring, selection, single_receptor
 from .inputs import OBSERVATIONS_SQL, WORDS_SQL, hash_sql, observations, table, word_rows
-from .registry import query, r, rounded
+from .registry import query, r, rnd, rounded
 from ..operators.ingest import epitope_import
 
 EPITOPES_SQL = (
@@ -172,7 +172,7 @@ def q_preprocess_scaled(spark, sf_dir):
     f"""WITH e AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS v
   FROM embeddings, (SELECT unnest(range(0, {N_FEATURES})) AS i))
 SELECT 'f' || a.i AS feature1, 'f' || b.i AS feature2,
-  CASE WHEN a.i = b.i THEN 1.0 ELSE {r('corr(a.v, b.v)', 'c')[:-5]} END AS corr
+  CASE WHEN a.i = b.i THEN 1.0 ELSE {rnd('corr(a.v, b.v)')} END AS corr
 FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i""",
 )
 def q_correlation_matrix(spark, sf_dir):

@@ -25,11 +25,25 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _nudge(digits: int) -> float:
+    """A shift far below the last kept digit: values that sit exactly on a rounding tie leave it."""
+    return float(f"3.7e-{digits + 3}")
+
+
 def rounded(df: DataFrame, columns: Iterable[str], digits: int = 6) -> DataFrame:
     """Round doubles for comparison; adding 0.0 turns a negative zero into zero."""
     columns = set(columns)
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+    def one(c: str):
+        return (F.round(F.col(c) + F.lit(_nudge(digits)), digits) + F.lit(0.0)).alias(c) if c in columns else F.col(c)
+
+    return df.select(*[one(c) for c in df.columns])
+
+
+def rnd(expression: str, digits: int = 6) -> str:
+    """SQL text of the same rounding."""
+    return f"(round({expression} + {_nudge(digits)!r}::DOUBLE, {digits}) + 0.0)"
 
 
 def r(expression: str, name: str, digits: int = 6) -> str:
-    return f"round({expression}, {digits}) + 0.0 AS {name}"
+    return f"{rnd(expression, digits)} AS {name}"

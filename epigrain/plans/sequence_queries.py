@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import AMINO_ACIDS
-from ..operators import network, sequences
-from .inputs import PEPTIDES_SQL, SCORED_SQL, WORDS_SQL, peptides, scored_peptides, word_rows
-from .registry import query, r, rounded
+from ..operators import communities, network, sequences
+from .inputs import PEPTIDES_SQL, SCORED_SQL, WORDS_SQL, peptides, scored_peptides, table, word_rows
+from .registry import query, r, rnd, rounded
 
 _AA_LIST = "[" + ", ".join(f"'{a}'" for a in AMINO_ACIDS) + "]"
 
@@ -145,3 +145,89 @@ def q_top_escape_edges(spark, sf_dir):
         F.desc("score_ratio"), F.desc("score2"), F.asc("aaseq1"), F.asc("aaseq2"), F.asc("mut_type")
     ).limit(100)
     return rounded(top.select("aaseq1", "aaseq2", "mut_type", "score1", "score2", "score_ratio"), ["score_ratio"], 9)
+
+
+# --- communities ------------------------------------------------------------------------------------------
+
+
+@query("ego_clusters")
+def q_ego_clusters(spark, sf_dir):
+    scored = scored_peptides(spark, sf_dir)
+    return communities.ego_clusters(weighted_edges(spark, sf_dir), scored)
+
+
+@query("escape_potential_walk")
+def q_escape_potential_walk(spark, sf_dir):
+    scored = scored_peptides(spark, sf_dir)
+    return communities.escape_potential(communities.ego_clusters(weighted_edges(spark, sf_dir), scored), "score")
+
+
+# A clustering both engines can state: ego members grouped by length.
+SUMMARY_SQL = """summary AS (
+  SELECT target, node AS peptide, CASE WHEN target = node THEN 'Target' ELSE 'Neighbor' END AS role,
+         'Cluster' || length(node) AS cluster_id, score FROM mem JOIN pep ON pep.peptide = mem.node),
+clu AS (SELECT target, cluster_id, avg(score) AS a, max(score) AS mx, min(score) AS mn, bool_or(role = 'Target') AS own,
+          max(score) FILTER (role = 'Target') AS s FROM summary GROUP BY 1, 2),
+esc AS (SELECT target AS peptide, max(cluster_id) FILTER (own) AS cluster_id, max(s) AS score,
+          max(a) FILTER (own) AS ca,
+          coalesce(max(a) FILTER (NOT own), '-inf'::DOUBLE) - max(a) FILTER (own) AS dmax,
+          max(a) FILTER (own) - coalesce(min(a) FILTER (NOT own), 'inf'::DOUBLE) AS dmin,
+          max(mx) - max(s) AS pmax, max(s) - min(mn) AS pmin FROM clu GROUP BY 1)"""
+
+
+def _length_clusters(spark, sf_dir):
+    scored = scored_peptides(spark, sf_dir)
+    members = network.ego_members(weighted_edges(spark, sf_dir))
+    return members.withColumnRenamed("node", "peptide").join(scored, "peptide").select(
+        "target",
+        "peptide",
+        F.when(F.col("target") == F.col("peptide"), "Target").otherwise("Neighbor").alias("role"),
+        F.concat(F.lit("Cluster"), F.length("peptide").cast("string")).alias("cluster_id"),
+        "score",
+    )
+
+
+@query(
+    "escape_potential",
+    f"""WITH {SCORED_SQL}, {WEIGHTED_SQL}, {EGO_SQL}, {SUMMARY_SQL}
+SELECT peptide, cluster_id, score AS immunogenicity_score, {rnd('ca', 9)} AS cluster_average,
+  {rnd('dmax', 9)} AS cluster_diff_max, {rnd('dmin', 9)} AS cluster_diff_min, pmax AS diff_max, pmin AS diff_min FROM esc""",
+)
+def q_escape_potential(spark, sf_dir):
+    out = communities.escape_potential(_length_clusters(spark, sf_dir), "score")
+    return rounded(out, ["cluster_average", "cluster_diff_max", "cluster_diff_min"], 9)
+
+
+@query(
+    "prioritize",
+    f"""WITH {SCORED_SQL}, {WEIGHTED_SQL}, {EGO_SQL}, {SUMMARY_SQL},
+orig AS (SELECT DISTINCT upper(token) AS peptide
+         FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM benchmark))
+SELECT peptide, score AS immunogenicity_score, {rnd('ca', 9)} AS immunogenicity_score_cluster_average,
+  {rnd('dmin', 9)} AS escape_potential FROM esc WHERE peptide IN (SELECT peptide FROM orig)
+ORDER BY score DESC, ca DESC, dmin, peptide""",
+)
+def q_prioritize(spark, sf_dir):
+    scores = scored_peptides(spark, sf_dir).withColumnRenamed("score", "immunogenicity_score")
+    measured = communities.escape_potential(_length_clusters(spark, sf_dir), "score")
+    originals = sequences.words(table(spark, sf_dir, "benchmark")).select(F.col("word").alias("peptide"))
+    out = communities.prioritize(scores, measured, originals)
+    return rounded(out, ["immunogenicity_score_cluster_average", "escape_potential"], 9)
+
+
+@query(
+    "cluster_consensus",
+    f"""WITH {PEPTIDES_SQL},
+m AS (SELECT peptide, length(peptide) || '-' || substr(peptide, 1, 2) AS cluster_id FROM pep),
+sz AS (SELECT cluster_id, count(*) AS size FROM m GROUP BY 1),
+l AS (SELECT cluster_id, i, substr(peptide, i, 1) AS a, count(*) AS n
+      FROM (SELECT *, unnest(range(1, length(peptide) + 1)) AS i FROM m) GROUP BY 1, 2, 3),
+s AS (SELECT cluster_id, i, size, CASE WHEN count(*) FILTER (n * 2 >= size) = 1 THEN max(a) FILTER (n * 2 >= size)
+      ELSE 'X' END AS symbol FROM l JOIN sz USING (cluster_id) GROUP BY 1, 2, 3)
+SELECT cluster_id, size, string_agg(symbol, '' ORDER BY i) AS consensus FROM s GROUP BY 1, 2""",
+)
+def q_cluster_consensus(spark, sf_dir):
+    members = peptides(spark, sf_dir).withColumn(
+        "cluster_id", F.concat_ws("-", F.length("peptide").cast("string"), F.substring("peptide", 1, 2))
+    )
+    return communities.cluster_consensus(members)

@@ -62,8 +62,10 @@ def compare(spark, con, name, query, sql, sf_dir):
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
     if got != want:
-        bad = [(g, w) for g, w in zip(got, want) if g != w]
-        return f"{len(bad)} of {len(got)} rows differ, first {bad[0]}"
+        extra, missing = set(got) - set(want), set(want) - set(got)
+        if not extra and not missing:
+            return "same rows with other multiplicities"
+        return f"{len(extra)} of {len(got)} rows differ, e.g. {min(extra, key=repr)} / {min(missing, key=repr)}"
     return None
 
 
