@@ -15,15 +15,6 @@ def standard_pattern(min_len: int = 1, max_len: int | None = None) -> str:
     return f"^[{AMINO_ACIDS}]{{{min_len},{upper}}}$"
 
 
-def residue_literals() -> Column:
-    return F.array(*[F.lit(a) for a in AMINO_ACIDS])
-
-
-def residue_index(residue: Column) -> Column:
-    """0-based position of a residue in the alphabet, -1 when it is not a standard residue."""
-    return F.instr(F.lit(AMINO_ACIDS), residue) - 1
-
-
 def positions(sequence: Column) -> Column:
     """1..length as an array; an empty array for the empty string (``sequence(1, 0)`` would count down)."""
     n = F.length(sequence)

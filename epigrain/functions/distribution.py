@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .joins import null_safe_join
-from .ordered import quantile_terms, running_totals, value_counts
+from .ordered import quantile_terms, running_totals, value_bucketizer, value_counts
 
 # Consistency factor of the median absolute deviation, and the trimmed share per tail.
 MAD_SCALE = 1.4826
@@ -48,16 +49,18 @@ def distribution_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
     """
     keys = list(keys)
     moments = df.groupBy(*keys).agg(*moment_stats(value))
-    counts = value_counts(df, keys, value)
-    ranked = running_totals(counts, keys, value, ["n"])
+    counts = stage(value_counts(df, keys, value))
+    ranked = running_totals(counts, keys, value, ["n"], value_bucketizer(counts, value))
     cut = F.floor(F.col("total_n") * F.lit(TRIM))
     kept = F.greatest(
         F.lit(0),
         F.least(F.col("before_n") + F.col("n"), F.col("total_n") - cut) - F.greatest(F.col("before_n"), cut),
     )
     q = quantile_terms(value, {"Med": 0.5, "Q10": 0.1, "Q25": 0.25, "Q75": 0.75, "Q90": 0.9})
-    order = ranked.groupBy(*keys).agg(
-        *[c.alias(k) for k, c in q.items()], (F.sum(kept * F.col(value)) / F.sum(kept)).alias("TrM")
+    order = stage(
+        ranked.groupBy(*keys).agg(
+            *[c.alias(k) for k, c in q.items()], (F.sum(kept * F.col(value)) / F.sum(kept)).alias("TrM")
+        )
     )
     deviations = (
         null_safe_join(counts, order.select(*keys, "Med"), keys)

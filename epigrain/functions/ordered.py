@@ -15,6 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .hashing import seeded_hash
 from .joins import null_safe_join
 
@@ -78,10 +79,13 @@ def running_totals(
     """Add ``before_<v>`` (sum over strictly earlier rows of the group) and ``total_<v>`` for each value.
 
     ``df`` must hold one row per (keys, order_by); aggregate ties first.  ``add_bucket`` assigns a
-    bucket that is monotone in ``order_by``; by default buckets are approximate quantile ranges.
+    bucket that is monotone in ``order_by``; by default buckets are approximate quantile ranges of the
+    input, which is written once because it is then read three times.
     """
     part = list(keys)
-    add_bucket = add_bucket or value_bucketizer(df, order_by)
+    if add_bucket is None:
+        df = stage(df)
+        add_bucket = value_bucketizer(df, order_by)
     bucketed = add_bucket(df, "_bucket")
     ordered = Window.partitionBy(*part).orderBy("_bucket")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .contact_profile import spread
 from .network import ego_edges, vertices
 
 # Fixed value: length of the random walks.
@@ -104,7 +105,9 @@ def ego_clusters(
     """
     weight = F.col("edge_weight") if weighted else F.lit(1.0)
     slim = edges.select("aaseq1", "aaseq2", weight.alias("weight"))
-    clustered = ego_edges(slim, targets).groupBy("target").applyInPandas(_cluster_one_ego, CLUSTER_SCHEMA)
+    # Spread by target first: by bytes alone the small ego graphs would be packed into very few tasks.
+    graphs = spread(ego_edges(slim, targets), "target")
+    clustered = graphs.groupBy("target").applyInPandas(_cluster_one_ego, CLUSTER_SCHEMA)
     return clustered.join(scores, "peptide", "left").select(
         "target", "peptide", "role", "cluster_id", *[c for c in scores.columns if c != "peptide"]
     )

@@ -27,6 +27,9 @@ from .fragments import library_sample
 MAX_LIBRARY_ROWS = 4_000_000
 MAX_SCALES = 2_000
 CHUNK = 5_000
+# Scores worked on at once, and the spread below which scores count as equal.
+CELLS = 1_000_000
+CONSTANT_SPREAD = 1e-12
 
 _CODE = np.full(256, 255, dtype=np.uint8)
 for _i, _a in enumerate(AMINO_ACIDS):
@@ -65,100 +68,106 @@ def parameter_pairs(feature_set: Iterable[str]) -> list[tuple[str, int]]:
     return sorted({(d.subject, d.frag_len) for d in decoded if d is not None and d.family == CPP})
 
 
-def gapless_scores(peptide: np.ndarray, fragments: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """Best gap-free placement of each fragment (rows of codes) on one peptide."""
+def gapless_scores(peptides: np.ndarray, fragments: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Best gap-free placement: peptides (n, L) and fragments (u, w) as codes -> scores (n, u)."""
     width = fragments.shape[1]
-    offsets = peptide.size - width + 1
-    table = matrix[:, peptide]
+    offsets = peptides.shape[1] - width + 1
+    table = matrix[:, peptides]
+    n = len(peptides)
     total = None
     for j in range(0, width - 1, 2):
         # Two residues at a time: a 400-row table replaces two gathers by one.
-        pair = (table[:, None, j : j + offsets] + table[None, :, j + 1 : j + 1 + offsets]).reshape(400, offsets)
-        part = pair[fragments[:, j].astype(np.intp) * 20 + fragments[:, j + 1]]
+        pair = table[:, None, :, j : j + offsets] + table[None, :, :, j + 1 : j + 1 + offsets]
+        part = pair.reshape(400, n, offsets)[fragments[:, j].astype(np.intp) * 20 + fragments[:, j + 1]]
         total = part if total is None else total + part
     if width % 2:
-        part = table[:, width - 1 : width - 1 + offsets][fragments[:, width - 1]]
+        part = table[:, :, width - 1 : width - 1 + offsets][fragments[:, width - 1]]
         total = part if total is None else total + part
-    return total.max(axis=1)
+    return total.max(axis=2).T
 
 
-def sorted_quantile(x: np.ndarray, p: float) -> float:
-    h = (x.size - 1) * p
+def sorted_quantile(x: np.ndarray, p: float) -> np.ndarray:
+    """Interpolated quantile along the last axis of sorted rows."""
+    h = (x.shape[-1] - 1) * p
     low = int(h)
-    high = min(low + 1, x.size - 1)
-    return x[low] + (x[high] - x[low]) * (h - low)
+    high = min(low + 1, x.shape[-1] - 1)
+    return x[..., low] + (x[..., high] - x[..., low]) * (h - low)
 
 
-def sample_moments(x: np.ndarray) -> tuple[float, float, float, float]:
-    """mean, sd (n-1), skewness and excess kurtosis with the n-1 deviation."""
-    n = x.size
-    mean = x.mean()
-    d = x - mean
+def sample_moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """mean, sd (n-1), skewness and excess kurtosis (n-1 deviation) along the last axis.
+
+    A row whose values agree to rounding has deviation 0 and no skewness or kurtosis.
+    """
+    n = x.shape[-1]
+    mean = x.mean(axis=-1)
+    d = x - mean[..., None]
     d2 = d * d
-    ss = d2.sum()
-    if n < 2:
-        return mean, np.nan, np.nan, np.nan
-    sd = np.sqrt(ss / (n - 1))
-    if sd == 0.0:
-        return mean, 0.0, np.nan, np.nan
-    return mean, sd, (d2 * d).sum() / n / sd**3, (d2 * d2).sum() / n / sd**4 - 3.0
-
-
-def describe_sorted(x: np.ndarray) -> list[float]:
-    """The statistics of ``CPP_STATS`` for a sorted sample."""
-    n = x.size
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sd = np.sqrt(d2.sum(axis=-1) / (n - 1)) if n > 1 else np.full(mean.shape, np.nan)
+        constant = np.ptp(x, axis=-1) <= CONSTANT_SPREAD
+        sd = np.where(constant & (n > 1), 0.0, sd)
+        skew = np.where(constant, np.nan, (d2 * d).mean(axis=-1) / sd**3)
+        kurt = np.where(constant, np.nan, (d2 * d2).mean(axis=-1) / sd**4 - 3.0)
+    return mean, sd, skew, kurt
+
+
+def describe_rows(x: np.ndarray) -> np.ndarray:
+    """The statistics of ``CPP_STATS`` for each row of scores: (n, depth) -> (n, 11)."""
+    n = x.shape[-1]
     mean, sd, skew, kurt = sample_moments(x)
+    x = np.sort(x, axis=-1)
     median = sorted_quantile(x, 0.5)
     cut = int(n * TRIM)
-    deviation = np.sort(np.abs(x - median))
-    return [
-        mean,
-        sd,
-        median,
-        x[cut : n - cut].mean(),
-        MAD_SCALE * sorted_quantile(deviation, 0.5),
-        skew,
-        kurt,
-        sd / np.sqrt(n),
-        sorted_quantile(x, 0.75) - sorted_quantile(x, 0.25),
-        sorted_quantile(x, 0.1),
-        sorted_quantile(x, 0.9),
-    ]
+    deviation = np.sort(np.abs(x - median[..., None]), axis=-1)
+    return np.stack(
+        [
+            mean,
+            sd,
+            median,
+            x[..., cut : n - cut].mean(axis=-1),
+            MAD_SCALE * sorted_quantile(deviation, 0.5),
+            skew,
+            kurt,
+            sd / np.sqrt(n),
+            sorted_quantile(x, 0.75) - sorted_quantile(x, 0.25),
+            sorted_quantile(x, 0.1),
+            sorted_quantile(x, 0.9),
+        ],
+        axis=-1,
+    )
 
 
 class SampledLibrary:
-    """Distinct fragments per length, with how often each (library, seed) sample drew them."""
+    """Distinct fragments per length, and which of them each (library, seed) sample drew."""
 
     def __init__(self, rows: Iterable[tuple[str, int, int, str]]):
         drawn: dict[int, dict[tuple[str, int], list[str]]] = {}
         for library, frag_len, seed, fragment in rows:
             drawn.setdefault(frag_len, {}).setdefault((library, seed), []).append(fragment)
         self.codes: dict[int, np.ndarray] = {}
-        self.counts: dict[int, dict[tuple[str, int], np.ndarray]] = {}
+        self.draws: dict[int, dict[tuple[str, int], np.ndarray]] = {}
         for frag_len, groups in drawn.items():
             joined = np.frombuffer("".join(f for g in groups.values() for f in g).encode("ascii"), dtype=np.uint8)
             unique, where = np.unique(_CODE[joined].reshape(-1, frag_len), axis=0, return_inverse=True)
-            where = where.ravel()
+            stops = np.cumsum([len(g) for g in groups.values()])
             self.codes[frag_len] = unique
-            self.counts[frag_len] = {}
-            start = 0
-            for key in groups:
-                stop = start + len(groups[key])
-                self.counts[frag_len][key] = np.bincount(where[start:stop], minlength=len(unique))
-                start = stop
-            self.counts[frag_len] = dict(sorted(self.counts[frag_len].items()))
-
-    def profile(self, peptide: str, pairs: Sequence[tuple[str, int]], matrices: dict[str, np.ndarray]):
-        """Yield (scale, frag_len, library, seed, stats) for every requested pair that fits the peptide."""
-        codes = encode(peptide)
-        for scale, frag_len in pairs:
-            if frag_len > codes.size or frag_len not in self.codes:
-                continue
-            scores = gapless_scores(codes, self.codes[frag_len], matrices[scale])
-            order = np.argsort(scores, kind="stable")
-            ranked = scores[order]
-            for (library, seed), counts in self.counts[frag_len].items():
-                yield scale, frag_len, library, seed, describe_sorted(np.repeat(ranked, counts[order]))
+            self.draws[frag_len] = dict(sorted(zip(groups, np.split(where.ravel(), stops[:-1]))))
+
+    def profile(self, sequences: pd.Series, pairs: Sequence[tuple[str, int]], matrices: dict[str, np.ndarray]):
+        """Yield (rows, scale, frag_len, library, seed, stats): peptides of one length are scored together."""
+        for length, rows in sequences.groupby(sequences.str.len()).indices.items():
+            codes = np.stack([encode(s) for s in sequences.to_numpy()[rows]])
+            for scale, frag_len in pairs:
+                if frag_len > length or frag_len not in self.codes:
+                    continue
+                fragments, draws = self.codes[frag_len], self.draws[frag_len]
+                deepest = max(len(d) for d in draws.values())
+                step = max(1, CELLS // max(len(fragments) * (length - frag_len + 1), deepest))
+                for start in range(0, len(rows), step):
+                    scores = gapless_scores(codes[start : start + step], fragments, matrices[scale])
+                    for (library, seed), drawn in draws.items():
+                        yield rows[start : start + step], scale, frag_len, library, seed, describe_rows(scores[:, drawn])
 
 
 def _prepare(library, scales, depth, libraries, seeds, scale_ids, frag_lens, feature_set):
@@ -227,14 +236,15 @@ def cpp_stats(
     def run(batches):
         lib, mats = shared.value
         for pdf in batches:
-            rows = [
-                (p, scale, n, depth, name, seed, *stats)
-                for p in pdf["peptide"]
-                for scale, n, name, seed, stats in lib.profile(p, pairs, mats)
-            ]
-            yield pd.DataFrame(rows, columns=STAT_SCHEMA.names)
+            sequences = pdf["peptide"]
+            for rows, scale, n, name, seed, stats in lib.profile(sequences, pairs, mats):
+                head = {"peptide": sequences.to_numpy()[rows], "aaindex_id": scale, "frag_len": n, "frag_depth": depth,
+                        "library": name, "seed": seed}
+                yield pd.DataFrame({**head, **{s: stats[:, i] for i, s in enumerate(CPP_STATS)}})
 
-    return spread(peptides.select("peptide"), "peptide").mapInPandas(run, STAT_SCHEMA)
+    long = spread(peptides.select("peptide"), "peptide").mapInPandas(run, STAT_SCHEMA)
+    stats = [F.when(~F.isnan(s), F.col(s)).alias(s) for s in CPP_STATS]
+    return long.select(*[c for c in long.columns if c not in CPP_STATS], *stats)
 
 
 def cpp_feature_names(pairs: Iterable[tuple[str, int]], feature_set: Iterable[str] | None = None) -> list[str]:
@@ -272,21 +282,22 @@ def cpp_features(
     def run(batches):
         lib, mats = shared.value
         for pdf in batches:
-            out = []
-            for p in pdf["peptide"]:
-                sums: dict[str, np.ndarray] = {}
-                seen: dict[str, np.ndarray] = {}
-                for scale, n, name, _seed, stats in lib.profile(p, pairs, mats):
-                    total = sums.setdefault(name, np.zeros(len(names)))
-                    count = seen.setdefault(name, np.zeros(len(names)))
-                    for stat, value in zip(CPP_STATS, stats):
-                        i = slot.get(f"{CPP}_{scale}_{stat}_{n}")
-                        if i is not None:
-                            total[i] += value
-                            count[i] += 1
-                with np.errstate(invalid="ignore"):
-                    out.extend((p, name, sums[name] / seen[name]) for name in sorted(sums))
-            yield pd.DataFrame(out, columns=["peptide", "library", "values"])
+            sequences = pdf["peptide"]
+            sums: dict[str, np.ndarray] = {}
+            seen: dict[str, np.ndarray] = {}
+            for rows, scale, n, name, _seed, stats in lib.profile(sequences, pairs, mats):
+                total = sums.setdefault(name, np.zeros((len(sequences), len(names))))
+                count = seen.setdefault(name, np.zeros((len(sequences), len(names)), dtype=np.int32))
+                for i, stat in enumerate(CPP_STATS):
+                    k = slot.get(f"{CPP}_{scale}_{stat}_{n}")
+                    if k is not None:
+                        total[rows, k] += stats[:, i]
+                        count[rows, k] += 1
+            for name, total in sorted(sums.items()):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    yield pd.DataFrame(
+                        {"peptide": sequences, "library": name, "values": list(total / seen[name])}
+                    )
 
     packed = spread(peptides.select("peptide"), "peptide").mapInPandas(
         run, "peptide string, library string, values array<double>"
@@ -346,7 +357,7 @@ def profile_long(
                     continue
                 codes = np.stack([encode(f) for f in fragments])
                 for scale in by_length[n]:
-                    values = gapless_scores(encode(p), codes, matrices[scale])
+                    values = gapless_scores(encode(p)[None, :], codes, matrices[scale])[0]
                     rows.extend((p, scale, n, library, seed, float(v)) for v in values)
             yield pd.DataFrame(rows, columns=["peptide", "aaindex_id", "frag_len", "library", "seed", "score"])
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import AMINO_ACIDS
 from ..functions.names import DESCRIPTOR, DESCRIPTOR_STATS, FeatureName
-from .contact_profile import encode
+from .contact_profile import encode, spread
 from .sequences import peptide_basic
 
 # Descriptor names in their conventional order.
@@ -88,31 +88,40 @@ def _hydrophobic_moment(windows: np.ndarray) -> np.ndarray:
     return moment.max(axis=-1)
 
 
+def _window_sums(values: np.ndarray, width: int) -> np.ndarray:
+    """Sums over every window along axis 1, from one cumulative sum."""
+    total = np.cumsum(values, axis=1)
+    total = np.concatenate([np.zeros_like(total[:, :1]), total], axis=1)
+    return total[:, width:] - total[:, :-width]
+
+
 def window_descriptors(
-    windows: np.ndarray, names: Sequence[str], residues: dict[str, np.ndarray], dipeptides: np.ndarray | None
+    codes: np.ndarray, width: int, names: Sequence[str], residues: dict[str, np.ndarray], dipeptides: np.ndarray | None
 ) -> np.ndarray:
-    """Descriptor values of coded windows: (..., width) -> (..., descriptor)."""
-    width = windows.shape[-1]
-    counts = (windows[..., None] == np.arange(20)).sum(axis=-2)
-    out = np.empty((*windows.shape[:-1], len(names)))
+    """Descriptor values of all windows of equally long peptides: (n, L) codes -> (n, windows, descriptor)."""
+    means = {
+        "AliphaticIndex": _vector(ALIPHATIC) * 100,
+        "Boman": -_vector(TRANSFER),
+        "Hydrophobicity": _vector(HYDROPATHY),
+        **residues,
+    }
+    averaged = [d for d in names if d in means]
+    out = np.empty((len(codes), codes.shape[1] - width + 1, len(names)))
+    if averaged:
+        table = np.stack([means[d] for d in averaged], axis=1)
+        out[:, :, [names.index(d) for d in averaged]] = _window_sums(table[codes], width) / width
+    if "Charge" in names or "pI" in names:
+        counts = _window_sums(np.eye(20)[codes], width)
     for k, name in enumerate(names):
-        if name in residues:
-            value = counts @ residues[name] / width
-        elif name == "AliphaticIndex":
-            value = counts @ _vector(ALIPHATIC) / width * 100
-        elif name == "Boman":
-            value = -(counts @ _vector(TRANSFER)) / width
-        elif name == "Hydrophobicity":
-            value = counts @ _vector(HYDROPATHY) / width
-        elif name == "Charge":
-            value = _net_charge(counts, CHARGE_PH, PK_LEHNINGER)
+        if name == "Charge":
+            out[:, :, k] = _net_charge(counts, CHARGE_PH, PK_LEHNINGER)
         elif name == "pI":
-            value = _isoelectric_point(counts)
+            out[:, :, k] = _isoelectric_point(counts)
         elif name == "HydrophobicMoment":
-            value = _hydrophobic_moment(windows)
-        else:
-            value = dipeptides[windows[..., :-1], windows[..., 1:]].sum(axis=-1) * 10.0 / width
-        out[..., k] = value
+            out[:, :, k] = _hydrophobic_moment(np.lib.stride_tricks.sliding_window_view(codes, width, axis=1))
+        elif name == "Instability":
+            steps = dipeptides[codes[:, :-1], codes[:, 1:]]
+            out[:, :, k] = _window_sums(steps, width - 1) * 10.0 / width
     return out
 
 
@@ -188,8 +197,7 @@ def _with_descriptors(peptides, basic, grid, residues, dipeptides) -> DataFrame:
                 for n in lens:
                     if n > length:
                         continue
-                    view = np.lib.stride_tricks.sliding_window_view(codes, n, axis=1)
-                    d = window_descriptors(view, by_len[n], residues, dipeptides)
+                    d = window_descriptors(codes, n, by_len[n], residues, dipeptides)
                     stats = (d.min(axis=1), d.max(axis=1), d.mean(axis=1), np.median(d, axis=1))
                     for i, k, s in slots[n]:
                         values[rows, i] = stats[s][:, k]
@@ -197,7 +205,7 @@ def _with_descriptors(peptides, basic, grid, residues, dipeptides) -> DataFrame:
 
     schema = f"{basic.schema.simpleString()[7:-1].replace(':', ' ').replace(',', ', ')}, values array<double>"
     value = F.col("values")
-    return basic.mapInPandas(run, schema).select(
+    return spread(basic, "peptide").mapInPandas(run, schema).select(
         *basic.columns, *[F.when(~F.isnan(value[i]), value[i]).alias(g.encode()) for i, g in enumerate(grid)]
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import AMINO_ACIDS, windows
 from ..functions.hashing import seeded_hash, uniform
 from ..functions.ordered import hash_rank, running_totals
+from ..session import stage
 
 LIBRARIES = ("Deduplicated", "Weighted", "Mock")
 
@@ -146,7 +147,7 @@ def fragment_library(
     libraries: Sequence[str] = LIBRARIES,
 ) -> DataFrame:
     """Long library (library, frag_len, seed, id, fragment) with ``depth`` draws per (library, length, seed)."""
-    freq = fragment_freq(sequences, column, frag_lens)
+    freq = stage(fragment_freq(sequences, column, frag_lens))
     parts = []
     if "Deduplicated" in libraries:
         parts.append(sample_deduplicated(freq, frag_lens, seeds, depth))

@@ -20,10 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import seeded_hash
 from ..functions.ordered import hash_rank
 from ..session import stage
+from .contact_profile import spread
 from .relational import keep_first
-from ..functions.hashing import seeded_hash
 
 N_FOLDS = 5
 # Fixed value: features tried per split.
@@ -140,7 +141,7 @@ def training_table(
         (F.col("immunogenicity") == "Positive").cast("int").alias("label"),
         F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("features"),
     )
-    return stage(packed.join(folds, "peptide")), names
+    return stage(spread(packed.join(folds, "peptide"), "peptide")), names
 
 
 def _model_weights(table: DataFrame, seeds: Sequence[int]) -> np.ndarray:

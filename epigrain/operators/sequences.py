@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import AMINO_ACIDS, positions, residue_literals, standard_pattern, windows
+from ..functions.alphabet import AMINO_ACIDS, positions, standard_pattern, windows
 
 
 def words(df: DataFrame, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
@@ -48,37 +48,44 @@ def reversed_sequence(column: Column) -> Column:
     return F.reverse(column)
 
 
-def _edits(sequence: Column) -> Column:
-    """All single-residue substitutions, insertions (before each residue) and deletions of a sequence."""
-    at = positions(sequence)
-
-    def head(i):
-        return F.substring(sequence, F.lit(1), i - 1)
-
-    def tail(i):
-        return F.substr(sequence, i + 1)
-
-    substituted = F.flatten(
-        F.transform(at, lambda i: F.transform(residue_literals(), lambda a: F.concat(head(i), a, tail(i))))
-    )
-    inserted = F.flatten(
-        F.transform(at, lambda i: F.transform(residue_literals(), lambda a: F.concat(head(i), a, F.substr(sequence, i))))
-    )
-    deleted = F.transform(at, lambda i: F.concat(head(i), tail(i)))
-    return F.array_distinct(F.concat(F.array(sequence), substituted, inserted, deleted))
-
-
 def insilico_mutagenesis(
     df: DataFrame, column: str = "peptide", lengths: Iterable[int] = range(8, 12)
 ) -> DataFrame:
     """Distinct originals and single mutants whose length, after mutation, is within range.
 
-    Each input yields at most 41 * length + 1 strings and duplicates inside a row are removed before the
-    shuffle, so the only exchange is the final distinct.
+    Substitutions by every residue, insertions before every position, deletions of every position.  Edits of one
+    sequence that spell the same string are made once (an insertion next to an equal residue only in front of
+    the run, a deletion only at its start) and edits leaving the length range are not made at all, so the
+    final distinct, the only exchange, sees no repeats from within a row.
     """
     lengths = list(lengths)
-    mutants = df.select(F.explode(_edits(F.col(column))).alias(column))
-    return mutants.where(F.length(column).between(min(lengths), max(lengths))).distinct()
+    shortest, longest = min(lengths), max(lengths)
+    n = F.length("_s")
+    source = df.select(F.col(column).alias("_s"), F.explode(positions(F.col(column))).alias("_i")).select(
+        "_s",
+        "_i",
+        F.expr("substring(_s, 1, _i - 1)").alias("_head"),
+        F.expr("substring(_s, _i, 1)").alias("_here"),
+        F.expr("substring(_s, _i + 1)").alias("_tail"),
+        F.expr("if(_i > 1, substring(_s, _i - 1, 1), '')").alias("_left"),
+    )
+    # The empty string stands for "no residue": it turns a substitution into a deletion.
+    letters = F.explode(F.array(*[F.lit(a) for a in AMINO_ACIDS], F.lit(""))).alias("_a")
+    edited = source.select("*", letters)
+    same_length = n.between(shortest, longest)
+    changes = F.array(
+        F.when((F.col("_a") != "") & same_length & (F.col("_a") != F.col("_here")), F.concat("_head", "_a", "_tail")),
+        F.when(
+            (F.col("_a") != "") & (n + 1).between(shortest, longest) & (F.col("_a") != F.col("_left")),
+            F.concat("_head", "_a", "_here", "_tail"),
+        ),
+        F.when(
+            (F.col("_a") == "") & (n - 1).between(shortest, longest) & (F.col("_here") != F.col("_left")),
+            F.concat("_head", "_tail"),
+        ),
+        F.when((F.col("_a") == "") & same_length & (F.col("_i") == 1), F.col("_s")),
+    )
+    return edited.select(F.explode(changes).alias(column)).where(F.col(column).isNotNull()).distinct()
 
 
 def peptide_basic(df: DataFrame, column: str = "peptide") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.names import SINGLE_CPP, SINGLE_CPP_STATS, FeatureName
 from ..functions.ordered import quantile_terms, running_totals
 from ..functions.special import f_upper_tail, f_upper_tail_array
-from .contact_profile import encode, gapless_scores, sample_moments, scale_matrices
+from .contact_profile import encode, sample_moments, scale_matrices, spread
 from .relational import keep_first
 
 # Fixed value: scales used when none are named.
@@ -29,19 +29,27 @@ DEFAULT_SCALES = (
 )
 
 
-def _pair_stats(peptide: str, receptor: str, lens, matrices):
-    target, source = encode(peptide), encode(receptor)
-    for n in lens:
-        # A window wider than the receptor shrinks to the receptor.
-        width = min(n, source.size)
-        if width == 0 or width > target.size:
-            continue
-        forward = np.lib.stride_tricks.sliding_window_view(source, width)
-        both = np.vstack([forward, forward[:, ::-1]])
-        for scale, matrix in matrices.items():
-            x = gapless_scores(target, both, matrix)
-            mean, sd, skew, kurt = sample_moments(x)
-            yield n, scale, (x.max(), x.min(), mean, sd, skew, kurt)
+def _pair_stats(pdf: pd.DataFrame, lens, matrices):
+    """Yield (rows, frag_len, scale, stats (n, 6)); pairs with equal lengths are profiled together."""
+    peptides, receptors = pdf["peptide"].to_numpy(), pdf["cdr3b"].to_numpy()
+    shape = [pdf["peptide"].str.len().to_numpy(), pdf["cdr3b"].str.len().to_numpy()]
+    for (p_len, t_len), rows in pdf.groupby(shape).indices.items():
+        target = np.stack([encode(s) for s in peptides[rows]]).astype(np.intp)
+        source = np.stack([encode(s) for s in receptors[rows]]).astype(np.intp)
+        for n in lens:
+            # A window wider than the receptor shrinks to the receptor.
+            width = min(n, t_len)
+            if width == 0 or width > p_len:
+                continue
+            forward = np.lib.stride_tricks.sliding_window_view(source, width, axis=1)
+            both = np.concatenate([forward, forward[:, :, ::-1]], axis=1)
+            for scale, matrix in matrices.items():
+                best = None
+                for o in range(p_len - width + 1):
+                    placed = sum(matrix[both[:, :, j], target[:, o + j, None]] for j in range(width))
+                    best = placed if best is None else np.maximum(best, placed)
+                mean, sd, skew, kurt = sample_moments(best)
+                yield rows, n, scale, np.stack([best.max(axis=1), best.min(axis=1), mean, sd, skew, kurt], axis=1)
 
 
 def scpp_stats(
@@ -53,17 +61,14 @@ def scpp_stats(
 
     def run(batches):
         for pdf in batches:
-            rows = [
-                (p, t, scale, n, *stats)
-                for p, t in zip(pdf["peptide"], pdf["cdr3b"])
-                for n, scale, stats in _pair_stats(p, t, lens, matrices)
-            ]
-            yield pd.DataFrame(rows, columns=["peptide", "cdr3b", "aaindex_id", "frag_len", *SINGLE_CPP_STATS])
+            for rows, n, scale, stats in _pair_stats(pdf, lens, matrices):
+                head = pdf.iloc[rows].assign(aaindex_id=scale, frag_len=n).reset_index(drop=True)
+                yield head.assign(**{s: stats[:, i] for i, s in enumerate(SINGLE_CPP_STATS)})
 
     schema = "peptide string, cdr3b string, aaindex_id string, frag_len int, " + ", ".join(
         f"{s} double" for s in SINGLE_CPP_STATS
     )
-    long = pairs.select("peptide", "cdr3b").mapInPandas(run, schema)
+    long = spread(pairs.select("peptide", "cdr3b"), "peptide", "cdr3b").mapInPandas(run, schema)
     return long.select(
         *long.columns[:4], *[F.when(~F.isnan(s), F.col(s)).alias(s) for s in SINGLE_CPP_STATS]
     )
@@ -81,13 +86,12 @@ def scpp_features(
     def run(batches):
         for pdf in batches:
             values = np.full((len(pdf), len(names)), np.nan)
-            for row, (p, t) in enumerate(zip(pdf["peptide"], pdf["cdr3b"])):
-                for n, scale, stats in _pair_stats(p, t, lens, matrices):
-                    for stat, value in zip(SINGLE_CPP_STATS, stats):
-                        values[row, slot[f"{SINGLE_CPP}_{scale}_{stat}_{n}"]] = value
+            for rows, n, scale, stats in _pair_stats(pdf, lens, matrices):
+                for i, stat in enumerate(SINGLE_CPP_STATS):
+                    values[rows, slot[f"{SINGLE_CPP}_{scale}_{stat}_{n}"]] = stats[:, i]
             yield pdf.assign(values=list(values))
 
-    packed = pairs.select("peptide", "cdr3b").distinct().mapInPandas(
+    packed = spread(pairs.select("peptide", "cdr3b").distinct(), "peptide", "cdr3b").mapInPandas(
         run, "peptide string, cdr3b string, values array<double>"
     )
     value = F.col("values")

@@ -11,30 +11,36 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import AMINO_ACIDS, standard_pattern
 from ..operators import ingest
 from ..operators.sequences import sequence_filter, words
+from ..session import widen
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The text table; tokenising is heavy, so a single-split file is spread over the cores first."""
+    return widen(table(spark, sf_dir, "documents").select(*columns))
+
+
 def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(table(spark, sf_dir, "documents"), "text", ["doc_id", "lang", "source"])
+    return words(documents(spark, sf_dir, "text", "doc_id", "lang", "source"), "text", ["doc_id", "lang", "source"])
 
 
 def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = words(table(spark, sf_dir, "documents")).select(F.col("word").alias("peptide"))
+    tokens = words(documents(spark, sf_dir, "text")).select(F.col("word").alias("peptide"))
     return sequence_filter(tokens).distinct()
 
 
 def scored_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peptides with their number of occurrences as the score."""
-    tokens = words(table(spark, sf_dir, "documents")).select(F.col("word").alias("peptide"))
+    tokens = words(documents(spark, sf_dir, "text")).select(F.col("word").alias("peptide"))
     return sequence_filter(tokens).groupBy("peptide").agg(F.count("*").cast("double").alias("score"))
 
 
 def receptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every standard-residue word of 8 to 16 letters, repeats included."""
-    tokens = words(table(spark, sf_dir, "documents"))
+    tokens = words(documents(spark, sf_dir, "text"))
     return tokens.where(F.col("word").rlike(standard_pattern(8, 16))).select(F.col("word").alias("cdr3b"))
 
 

@@ -75,7 +75,7 @@ def q_fragment_freq(spark, sf_dir):
     f"WITH {RECEPTORS_SQL}, {fragments_sql(LENS)}, {draws_sql(LENS, SEEDS, DEPTH)}, {DEDUP_SQL} SELECT * FROM dedup",
 )
 def q_frag_dedup(spark, sf_dir):
-    freq = fragments.fragment_freq(receptors(spark, sf_dir), "cdr3b", LENS)
+    freq = stage(fragments.fragment_freq(receptors(spark, sf_dir), "cdr3b", LENS))
     return fragments.sample_deduplicated(freq, LENS, SEEDS, DEPTH)
 
 
@@ -85,7 +85,7 @@ def q_frag_dedup(spark, sf_dir):
 SELECT * FROM weighted""",
 )
 def q_frag_weighted(spark, sf_dir):
-    freq = fragments.fragment_freq(receptors(spark, sf_dir), "cdr3b", LENS)
+    freq = stage(fragments.fragment_freq(receptors(spark, sf_dir), "cdr3b", LENS))
     return fragments.sample_weighted(freq, LENS, SEEDS, DEPTH)
 
 

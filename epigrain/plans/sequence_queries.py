@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import AMINO_ACIDS
+from ..functions.hashing import seeded_hash
 from ..operators import communities, network, sequences
-from .inputs import PEPTIDES_SQL, SCORED_SQL, WORDS_SQL, peptides, scored_peptides, table, word_rows
+from .inputs import PEPTIDES_SQL, SCORED_SQL, WORDS_SQL, hash_sql, peptides, scored_peptides, table, word_rows
 from .registry import query, r, rnd, rounded
 
 _AA_LIST = "[" + ", ".join(f"'{a}'" for a in AMINO_ACIDS) + "]"
@@ -42,10 +43,16 @@ m AS (
   UNION SELECT substr(s, 1, i - 1) || a || substr(s, i + 1) FROM pa
   UNION SELECT substr(s, 1, i - 1) || a || substr(s, i) FROM pa
   UNION SELECT substr(s, 1, i - 1) || substr(s, i + 1) FROM p)
-SELECT s AS peptide FROM m WHERE length(s) BETWEEN 8 AND 11""",
+SELECT CAST(length(s) AS INTEGER) AS "length", substr(s, 1, 1) AS first_residue, count(*) AS n_mutants,
+  CAST(sum({hash_sql("'0'", 's')}) AS BIGINT) AS digest
+FROM m WHERE length(s) BETWEEN 8 AND 11 GROUP BY 1, 2""",
 )
 def q_insilico_mutagenesis(spark, sf_dir):
-    return sequences.insilico_mutagenesis(peptides(spark, sf_dir))
+    """All mutants of all peptides, reported as a count and an order-free hash sum per length and first residue."""
+    mutants = sequences.insilico_mutagenesis(peptides(spark, sf_dir))
+    return mutants.groupBy(
+        F.length("peptide").alias("length"), F.substring("peptide", 1, 1).alias("first_residue")
+    ).agg(F.count("*").alias("n_mutants"), F.sum(seeded_hash(0, F.col("peptide"))).alias("digest"))
 
 
 @query(
