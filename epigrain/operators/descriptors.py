@@ -55,6 +55,7 @@ PK_LEHNINGER = dict(cterm=2.34, nterm=9.69, C=8.18, D=3.65, E=4.25, H=6.00, K=10
 PK_EMBOSS = dict(cterm=3.6, nterm=8.6, C=8.5, D=3.9, E=4.1, H=6.5, K=10.8, R=12.5, Y=10.1)
 ACIDIC, BASIC = "CDEY", "HKR"
 CHARGE_PH = 7.0
+MAX_TABLES = 1_000
 MOMENT_ANGLE, MOMENT_WINDOW = 100.0, 11
 
 
@@ -128,12 +129,18 @@ def window_descriptors(
 def _tables(residue_table: DataFrame | None, dipeptide_table: DataFrame | None):
     residues: dict[str, np.ndarray] = {}
     if residue_table is not None:
-        for name, aa, value in residue_table.select("descriptor", "aa", "value").limit(20 * 1000).collect():
+        rows = residue_table.select("descriptor", "aa", "value").limit(20 * MAX_TABLES + 1).collect()
+        if len(rows) > 20 * MAX_TABLES:
+            raise ValueError("too many residue tables")
+        for name, aa, value in rows:
             residues.setdefault(name, np.zeros(20))[AMINO_ACIDS.index(aa)] = value
     dipeptides = None
     if dipeptide_table is not None:
         dipeptides = np.zeros((20, 20))
-        for pair, value in dipeptide_table.select("pair", "value").limit(400).collect():
+        rows = dipeptide_table.select("pair", "value").limit(401).collect()
+        if len(rows) > 400:
+            raise ValueError("a dipeptide table has at most 400 rows")
+        for pair, value in rows:
             dipeptides[AMINO_ACIDS.index(pair[0]), AMINO_ACIDS.index(pair[1])] = value
     return residues, dipeptides
 

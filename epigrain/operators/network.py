@@ -110,11 +110,15 @@ def neighbor_weighted(pairs: DataFrame, scores: DataFrame, column: str = "peptid
     """
     first = scores.select(F.col(column).alias("aaseq1"), F.col(score).alias("score1"))
     second = scores.select(F.col(column).alias("aaseq2"), F.col(score).alias("score2"))
-    ratio = F.col("score1") / F.col("score2")
+    s1, s2 = F.col("score1"), F.col("score2")
+    infinity, undefined = F.lit(float("inf")), F.lit(float("nan"))
+    # Division by a zero score: infinite towards a higher score, undefined between two zeros.
+    ratio = F.when(s1 != 0, s2 / s1).when(s2 > 0, infinity).otherwise(undefined)
+    weight = F.when(s2 != 0, s1 / s2).when(s1 < 0, -infinity).otherwise(undefined)
     return (
         pairs.join(first, "aaseq1")
         .join(second, "aaseq2")
-        .where(F.col("score2") >= F.col("score1"))
+        .where(s2 >= s1)
         .select(
             "aaseq1",
             "aaseq2",
@@ -122,12 +126,8 @@ def neighbor_weighted(pairs: DataFrame, scores: DataFrame, column: str = "peptid
             "mut_type",
             "score1",
             "score2",
-            F.try_divide("score2", "score1").alias("score_ratio"),
-            F.when(F.col("score2") == 0, F.lit(None)).otherwise(ratio).alias("edge_weight"),
-        )
-        .withColumn(
-            "edge_weight",
-            F.when(F.col("edge_weight") < MIN_EDGE_WEIGHT, F.lit(MIN_EDGE_WEIGHT)).otherwise(F.col("edge_weight")),
+            ratio.alias("score_ratio"),
+            F.when(weight < MIN_EDGE_WEIGHT, F.lit(MIN_EDGE_WEIGHT)).otherwise(weight).alias("edge_weight"),
         )
     )
 
@@ -152,7 +152,7 @@ def ego_pairs(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
         touching = touching.join(targets.select(F.col("peptide").alias("target")), "target", "left_semi")
     parts = F.split("mut_type", "_")
     return touching.withColumn(
-        "score_ratio", F.when(F.col("outgoing"), F.col("score_ratio")).otherwise(F.try_divide(F.lit(1.0), F.col("score_ratio")))
+        "score_ratio", F.when(F.col("outgoing"), F.col("score_ratio")).otherwise(F.coalesce(F.try_divide(F.lit(1.0), F.col("score_ratio")), F.lit(float("inf"))))
     ).select(
         "target",
         "outgoing",

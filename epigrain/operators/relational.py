@@ -11,6 +11,7 @@ from ..functions.joins import null_safe_join
 from ..functions.ordered import exact_quantiles
 
 MAX_VENN_SETS = 5
+MAX_DUMMY_COLUMNS = 10_000
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -42,7 +43,10 @@ def compressed_to_long(df: DataFrame, column: str) -> DataFrame:
 
 def compressed_values(df: DataFrame, column: str) -> list[str]:
     """Distinct items of a compressed column (they become column names, so there are few)."""
-    rows = compressed_to_long(df, column).where(F.col(column).isNotNull()).select(column).distinct().collect()
+    items = compressed_to_long(df, column).where(F.col(column).isNotNull()).select(column).distinct()
+    rows = items.limit(MAX_DUMMY_COLUMNS + 1).collect()
+    if len(rows) > MAX_DUMMY_COLUMNS:
+        raise ValueError(f"{column} holds more than {MAX_DUMMY_COLUMNS} different items; use compressed_to_long")
     return sorted(r[0] for r in rows)
 
 

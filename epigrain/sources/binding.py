@@ -34,7 +34,11 @@ def binder_level(rank: Column, mhc_class: str) -> Column:
 
 
 def binder_category(rank: Column, mhc_class: str = "MHCI") -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in BINDER_CATEGORIES]), binder_level(rank, mhc_class) + 1)
+    level = binder_level(rank, mhc_class)
+    out = F.when(level == 0, BINDER_CATEGORIES[0])
+    for i, name in enumerate(BINDER_CATEGORIES[1:], start=1):
+        out = out.when(level == i, name)
+    return out
 
 
 def binder_code(rank: Column, mhc_class: str = "MHCI") -> Column:
