@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .contact_profile import spread
+from ..session import spread
 from .network import ego_edges, vertices
 
 # Fixed value: length of the random walks.

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions.alphabet import AMINO_ACIDS
 from ..functions.distribution import MAD_SCALE, TRIM, distribution_stats
 from ..functions.names import CPP, CPP_STATS, FeatureName, base_scale
+from ..session import spread
 from .fragments import library_sample
 
 MAX_LIBRARY_ROWS = 4_000_000
@@ -197,11 +198,6 @@ def _collect_library(sample: DataFrame) -> SampledLibrary | None:
     return None if len(rows) > MAX_LIBRARY_ROWS else SampledLibrary(rows)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Partition by key into enough tasks for a compute-heavy stage (bytes alone would suggest too few)."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 STAT_SCHEMA = T.StructType(
     [
         T.StructField("peptide", T.StringType()),

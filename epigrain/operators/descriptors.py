@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import AMINO_ACIDS
 from ..functions.names import DESCRIPTOR, DESCRIPTOR_STATS, FeatureName
-from .contact_profile import encode, spread
+from ..session import spread
+from .contact_profile import encode
 from .sequences import peptide_basic
 
 # Descriptor names in their conventional order.

@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash
 from ..functions.ordered import hash_rank
-from ..session import stage
-from .contact_profile import spread
+from ..session import spread, stage
 from .relational import keep_first
 
 N_FOLDS = 5
@@ -31,17 +30,33 @@ N_FOLDS = 5
 FEATURES_PER_SPLIT = 5
 
 
-def kfold_assign(df: DataFrame, seed: int, key: str = "peptide", folds: int = N_FOLDS, out: str = "fold") -> DataFrame:
-    """Shuffled, near-equal folds 1..k: the first ``n mod k`` folds hold one row more."""
-    ranked = hash_rank(df, seed, [key], rank="_rank", size="_size")
-    base = F.floor(F.col("_size") / folds)
-    extra = F.col("_size") % folds
-    wide = extra * (base + 1)
-    position = F.col("_rank") - 1
+def _fold_number(rank, size, folds: int):
+    """Fold of a 0-based position when the first ``size mod folds`` folds hold one row more."""
+    base, extra = F.floor(size / folds), size % folds
+    wide, position = extra * (base + 1), rank - 1
     fold = F.when(position < wide, F.floor(position / (base + 1))).otherwise(
         extra + F.floor((position - wide) / F.greatest(base, F.lit(1)))
     )
-    return ranked.withColumn(out, (fold + 1).cast("int")).drop("_rank", "_size")
+    return (fold + 1).cast("int")
+
+
+def kfold_assign(df: DataFrame, seed: int, key: str = "peptide", folds: int = N_FOLDS, out: str = "fold") -> DataFrame:
+    """Shuffled, near-equal folds 1..k."""
+    ranked = hash_rank(df, seed, [key], rank="_rank", size="_size")
+    return ranked.withColumn(out, _fold_number(F.col("_rank"), F.col("_size"), folds)).drop("_rank", "_size")
+
+
+def seed_folds(peptides: DataFrame, seeds: Sequence[int], folds: int = N_FOLDS) -> DataFrame:
+    """(peptide, folds): the fold of :func:`kfold_assign` for every seed, in seed order, from one ranking job."""
+    drawn = peptides.select("peptide", F.posexplode(F.array(*[F.lit(s) for s in seeds])).alias("_at", "_seed"))
+    ranked = hash_rank(drawn, F.col("_seed"), ["peptide"], ["_seed"], rank="_rank", size="_size")
+    numbered = ranked.select(
+        "peptide", F.struct("_at", _fold_number(F.col("_rank"), F.col("_size"), folds).alias("fold")).alias("f")
+    )
+    # One entry per seed: the collected array is as long as the seed list.
+    return numbered.groupBy("peptide").agg(
+        F.transform(F.array_sort(F.collect_list("f")), lambda f: f["fold"]).alias("folds")
+    )
 
 
 def class_weights(df: DataFrame, label: str = "immunogenicity") -> DataFrame:
@@ -132,10 +147,8 @@ def training_table(
         names = [c for c in joined.columns if c not in ("peptide", "immunogenicity")]
     else:
         names = list(feature_set)
-    folds = metadata.select("peptide").join(features.select("peptide"), "peptide", "left_semi")
-    for seed in seeds:
-        folds = kfold_assign(folds, seed, out=f"_fold_{seed}")
-    folds = folds.select("peptide", F.array(*[f"_fold_{s}" for s in seeds]).alias("folds"))
+    known = stage(metadata.select("peptide").join(features.select("peptide"), "peptide", "left_semi"))
+    folds = seed_folds(known, seeds)
     packed = joined.select(
         "peptide",
         (F.col("immunogenicity") == "Positive").cast("int").alias("label"),

@@ -114,7 +114,7 @@ def preprocess(
         split = stratified_split(metadata, seed)
     else:
         known = metadata.join(features.select("peptide"), "peptide", "left_semi")
-        split = stratified_split(cluster_representative(known, seed), seed)
+        split = stratified_split(stage(cluster_representative(known, seed)), seed)
     names = [c for c in features.columns if c != "peptide"]
     keys = [c for c in KEY_COLUMNS if c in split.columns]
     dt = split.select(*keys).join(features, "peptide", "left").select(*keys, *[F.col(f"`{n}`") for n in names])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import AMINO_ACIDS, positions, standard_pattern, windows
+from ..session import spread
 
 
 def words(df: DataFrame, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
@@ -61,7 +62,9 @@ def insilico_mutagenesis(
     lengths = list(lengths)
     shortest, longest = min(lengths), max(lengths)
     n = F.length("_s")
-    source = df.select(F.col(column).alias("_s"), F.explode(positions(F.col(column))).alias("_i")).select(
+    # Each row grows some 400-fold, so the rows are spread before they are edited, not after.
+    inputs = spread(df.select(F.col(column).alias("_s")), "_s")
+    source = inputs.select("_s", F.explode(positions(F.col("_s"))).alias("_i")).select(
         "_s",
         "_i",
         F.expr("substring(_s, 1, _i - 1)").alias("_head"),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.names import SINGLE_CPP, SINGLE_CPP_STATS, FeatureName
 from ..functions.ordered import quantile_terms, running_totals
 from ..functions.special import f_upper_tail, f_upper_tail_array
-from .contact_profile import encode, sample_moments, scale_matrices, spread
+from ..session import spread
+from .contact_profile import encode, sample_moments, scale_matrices
 from .relational import keep_first
 
 # Fixed value: scales used when none are named.

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scoring, selection, single_receptor
+from ..operators.ingest import epitope_import
+from ..session import stage
 from .inputs import OBSERVATIONS_SQL, WORDS_SQL, hash_sql, observations, table, word_rows
 from .registry import query, r, rnd, rounded
-from ..operators.ingest import epitope_import
 
 EPITOPES_SQL = (
     OBSERVATIONS_SQL
@@ -44,7 +45,7 @@ def q_class_weights(spark, sf_dir):
 SELECT peptide, CAST(ntile(5) OVER (ORDER BY {_h(3)}, peptide) AS INTEGER) AS fold FROM epi""",
 )
 def q_kfold_assign(spark, sf_dir):
-    return scoring.kfold_assign(epitopes(spark, sf_dir).select("peptide"), 3)
+    return scoring.kfold_assign(stage(epitopes(spark, sf_dir).select("peptide")), 3)
 
 
 @query(
@@ -55,7 +56,7 @@ SELECT peptide, immunogenicity, CASE WHEN row_number() OVER (PARTITION BY immuno
 FROM epi""",
 )
 def q_stratified_split(spark, sf_dir):
-    return selection.stratified_split(epitopes(spark, sf_dir).drop("cluster"), 5)
+    return selection.stratified_split(stage(epitopes(spark, sf_dir).drop("cluster")), 5)
 
 
 REPRESENTATIVE_SQL = f"""cls AS (SELECT immunogenicity, count(*) AS n FROM epi GROUP BY 1),

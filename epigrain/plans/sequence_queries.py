@@ -8,6 +8,7 @@ from ..functions.alphabet import AMINO_ACIDS
 from ..functions.hashing import seeded_hash
 from ..operators import communities, network, sequences
 from .inputs import PEPTIDES_SQL, SCORED_SQL, WORDS_SQL, hash_sql, peptides, scored_peptides, table, word_rows
+from ..session import stage, widen
 from .registry import query, r, rnd, rounded
 
 _AA_LIST = "[" + ", ".join(f"'{a}'" for a in AMINO_ACIDS) + "]"
@@ -88,12 +89,17 @@ dw AS (
 
 @query("neighbor_pairs", f"WITH {PEPTIDES_SQL}, {PAIRS_SQL} SELECT * FROM pairs")
 def q_neighbor_pairs(spark, sf_dir):
-    return network.neighbor_pairs(peptides(spark, sf_dir))
+    return network.neighbor_pairs(widen(stage(peptides(spark, sf_dir))))
+
+
+def scored_network(spark, sf_dir):
+    """Scored peptides, written once because the network reads them five times, and their directed edges."""
+    scored = widen(stage(scored_peptides(spark, sf_dir)))
+    return scored, network.neighbor_weighted(network.neighbor_pairs(scored.select("peptide")), scored)
 
 
 def weighted_edges(spark, sf_dir):
-    scored = scored_peptides(spark, sf_dir)
-    return network.neighbor_weighted(network.neighbor_pairs(scored.select("peptide")), scored)
+    return scored_network(spark, sf_dir)[1]
 
 
 @query(
@@ -136,7 +142,7 @@ SELECT target, aaseq1, aaseq2, mut_pattern, mut_type FROM ego""",
 )
 def q_ego_edges(spark, sf_dir):
     edges = weighted_edges(spark, sf_dir).select("aaseq1", "aaseq2", "mut_pattern", "mut_type")
-    return network.ego_edges(edges)
+    return network.ego_edges(stage(edges))
 
 
 @query(
@@ -159,14 +165,14 @@ def q_top_escape_edges(spark, sf_dir):
 
 @query("ego_clusters")
 def q_ego_clusters(spark, sf_dir):
-    scored = scored_peptides(spark, sf_dir)
-    return communities.ego_clusters(weighted_edges(spark, sf_dir), scored)
+    scored, edges = scored_network(spark, sf_dir)
+    return communities.ego_clusters(stage(edges), scored)
 
 
 @query("escape_potential_walk")
 def q_escape_potential_walk(spark, sf_dir):
-    scored = scored_peptides(spark, sf_dir)
-    return communities.escape_potential(communities.ego_clusters(weighted_edges(spark, sf_dir), scored), "score")
+    scored, edges = scored_network(spark, sf_dir)
+    return communities.escape_potential(communities.ego_clusters(stage(edges), scored), "score")
 
 
 # A clustering both engines can state: ego members grouped by length.
@@ -183,8 +189,8 @@ esc AS (SELECT target AS peptide, max(cluster_id) FILTER (own) AS cluster_id, ma
 
 
 def _length_clusters(spark, sf_dir):
-    scored = scored_peptides(spark, sf_dir)
-    members = network.ego_members(weighted_edges(spark, sf_dir))
+    scored, edges = scored_network(spark, sf_dir)
+    members = network.ego_members(edges)
     return members.withColumnRenamed("node", "peptide").join(scored, "peptide").select(
         "target",
         "peptide",
