@@ -42,6 +42,6 @@ def write_whole(uri: str, attempt: str, fill) -> None:
     folder, _, name = path.rpartition("/")
     system.create_dir(folder, recursive=True)
     partial = f"{folder}/_partial-{attempt}-{name}"
-    with system.open_output_stream(partial) as out:
+    with system.open_output_stream(partial, compression=None) as out:
         fill(out)
     system.move(partial, path)
