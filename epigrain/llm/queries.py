@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .language import predict, train
 from .packing import pack
 from .token_files import token_digests
+from .warc import page_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +39,31 @@ def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_files")
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
+f AS (SELECT hex, min(page_id) AS first_id FROM d GROUP BY hex),
+b AS (SELECT d.*, first_id, list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+        (16 * (strpos('0123456789abcdef', substr(hex, (5 * i) // 4 + 1, 1)) - 1)
+            + strpos('0123456789abcdef', substr(hex, (5 * i) // 4 + 2, 1)) - 1) >> (3 - (5 * i) % 4)) & 31)::INT, 1)) AS letters
+      FROM d JOIN f USING (hex))
+SELECT page_id, payload_bytes, array_to_string(letters, '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to
+FROM b
+"""
+
+
+@query("op3_warc_round_trip", WARC_SQL)
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op5_language_naive_bayes")
+def language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = train(docs.where(~held_out))
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
