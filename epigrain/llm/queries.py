@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .language import predict, train
 from .packing import pack
+from . import quality_rules as rules
 from .token_files import token_digests
 from .warc import page_round_trip
 
@@ -45,7 +46,7 @@ WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
 f AS (SELECT hex, min(page_id) AS first_id FROM d GROUP BY hex),
-b AS (SELECT d.*, first_id, list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+b AS (SELECT d.*, first_id, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
         (16 * (strpos('0123456789abcdef', substr(hex, (5 * i) // 4 + 1, 1)) - 1)
             + strpos('0123456789abcdef', substr(hex, (5 * i) // 4 + 2, 1)) - 1) >> (3 - (5 * i) % 4)) & 31)::INT, 1)) AS letters
       FROM d JOIN f USING (hex))
@@ -67,3 +68,36 @@ def language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = train(docs.where(~held_out))
     return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+RULES_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{rules.WORD}+') AS words,
+        list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{rules.WORD}')) AS lines FROM t),
+p AS (SELECT rid, i, words[i:i + 4] AS win FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM p) WHERE n > 1),
+c AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM r) GROUP BY rid),
+g AS (SELECT w.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+        list_filter(lines, lambda l: regexp_matches(l, '{rules.SENTENCE_END.replace("'", "''")}')
+            AND len(regexp_extract_all(regexp_replace(l, '{rules.SPACE_RUN}', '  ', 'g'), '{rules.SEPARATOR_WORD}')) < {rules.MAX_SEPARATORS}
+            AND NOT (regexp_matches(lower(l), '{rules.NOTICE}') AND len(regexp_extract_all(l, '{rules.WORD}+')) < {rules.NOTICE_WORDS})
+        ) AS good FROM w LEFT JOIN c USING (rid)),
+s AS (SELECT doc_id, len(words)::BIGINT AS n_words, n_repeat_words, len(lines)::BIGINT AS n_lines,
+        length(regexp_replace(text, '{rules.SPACE_RUN}', '', 'g'))::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        (len(lines) - len(good))::BIGINT AS n_removed_lines,
+        length(regexp_replace(array_to_string(good, chr(10)), '{rules.SPACE_RUN}', '', 'g')) AS left_chars FROM g),
+b AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND 100 * (word_chars - left_chars) <= {rules.MAX_LOST_PERCENT} * word_chars AS kept, n_lines, n_removed_lines
+FROM b
+"""
+
+
+@query("op2_line_first_rules", RULES_SQL)
+def line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines", "n_removed_lines",
+    )
