@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .html_text import extract
 from .language import predict, train
+from .near_duplicates import components
 from .packing import pack
 from . import quality_rules as rules
 from .token_files import token_digests
@@ -107,3 +108,24 @@ def line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_template_removal")
 def template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+NEAR_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS sh FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS joint FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+        WHERE 100 * joint >= 80 * (na.size + nb.size - joint)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach)
+SELECT doc_id, coalesce(max(size), 0)::BIGINT AS n_shingles, min(reach) AS component_id, doc_id = min(reach) AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op1_lsh_forest", NEAR_SQL)
+def lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(table(spark, sf_dir, "documents"), width=4, similarity=0.8)
