@@ -5,10 +5,11 @@ whole word sequence if it is shorter. Documents with equal sets are one node.
 
 The forest has ``TREES`` orders. Order t sorts all nodes by the signature rotated to begin at value ``3 t``, so neighbours in an
 order are the nodes with the longest common prefix, however dense their region is: depth adapts by itself. Nodes that share the
-first ``DEPTH`` values form a run. Neighbours at most ``LAGS[0]`` places apart in a run are candidates if their signatures agree in
-``AGREE`` values. Candidates are confirmed on the sets, and links make components. A run longer than that may still hold nodes of
-different components: only for those runs the distance is raised, step by step, to the run's length, for pairs across components.
-So every pair of a run is examined unless it is already connected; no link is dropped by a cap.
+first ``DEPTH`` values form a run. First every node proposes the neighbour within ``NEIGHBOURS`` places that agrees with it best;
+proposals are confirmed on the whole sets and links make components. Then every run that holds several components is searched
+for pairs across components, at a distance that grows to the run's length: a pair must agree in ``AGREE`` of the values and reach the
+similarity on the smallest ``BOTTOM`` hashes (exact for smaller sets), and is confirmed on the whole sets. So every pair of a run is
+examined unless it is already connected; no link is dropped by a cap, and pairs that are no links are not written anywhere.
 
 The orders are cut into ranges of rows, not by key: a run that holds a third of the corpus spans many tasks. Pairs across the cuts
 are found by a second, much smaller pass over the rows beside the cuts.
@@ -38,9 +39,14 @@ from .words import distinct_per_text, in_pieces, mix, shingle_hashes, word_hashe
 
 TREES, DEPTH = 20, 3
 VALUES = TREES * DEPTH
+#: Values that must agree: fewer at similarity 0.8 has a probability below 0.000001.
 AGREE = 32
-#: Distances in a run that are examined, step by step; the last goes on doubling by 16 until no run is longer.
-LAGS = (16, 256)
+#: Distance at which the first candidates are sought, and how often each component tries its likeliest one.
+NEIGHBOURS, FIRST_ROUNDS = 16, 3
+#: Distance at first for pairs across components; it grows by 16 until no run of several components is longer.
+FIRST_REACH = 256
+#: Smallest shingle hashes of a set by which such pairs are compared before they are confirmed.
+BOTTOM = 1024
 #: Rows of an order per task.
 TASK_ROWS = 100_000
 
@@ -114,7 +120,7 @@ def orders(nodes: DataFrame) -> DataFrame:
 
 
 def _near(tree, place, node, n, comp, low: int, high: int):
-    """Candidate pairs of sorted rows at distances low + 1 to high in a run."""
+    """Places i, j of candidate pairs of sorted rows, low + 1 to high apart in a run, and in how many values they agree."""
     m = len(node)
     head = np.ascontiguousarray(place[:, : 2 * DEPTH])
     new = np.ones(m, dtype=bool)
@@ -132,11 +138,29 @@ def _near(tree, place, node, n, comp, low: int, high: int):
             a, b = i[s : s + 50_000], j[s : s + 50_000]
             agree = (sig[a] == sig[b]).sum(axis=1)
             good = agree >= AGREE
-            yield node[a[good]], node[b[good]], agree[good]
+            yield a[good], b[good], agree[good]
 
 
-def window_pairs(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """Candidate pairs (a, b, agree) of order rows (tree, place, node, n, comp), a < b."""
+def _likely(x: np.ndarray, y: np.ndarray, nx: int, ny: int, similarity: float) -> bool:
+    """Whether two sets can have the similarity, from their smallest ``BOTTOM`` hashes; certain if neither set has more."""
+    both = np.concatenate((x, y))
+    both.sort()
+    same = both[1:] == both[:-1]
+    if nx <= BOTTOM and ny <= BOTTOM:
+        shared = int(np.count_nonzero(same))
+        return 100 * shared >= round(100 * similarity) * (len(both) - shared)
+    last = np.concatenate((np.flatnonzero(np.concatenate(([True], ~same)))[BOTTOM : BOTTOM + 1], [len(both)]))[0]
+    shared = int(np.count_nonzero(same[: last - 1]))
+    union = last - shared
+    return shared >= (similarity - 5 * (similarity * (1 - similarity) / union) ** 0.5) * union
+
+
+def window_pairs(rows: DataFrame, low: int, high: int, similarity: float | None = None) -> DataFrame:
+    """Candidate pairs (a, b, agree), a < b, of order rows (tree, place, node, n, comp, wide, members).
+
+    Without ``similarity``: for each row the later neighbour that agrees best, at most one pair a row. With it: every pair that
+    can have the similarity, told once, in the first order whose run holds both.
+    """
     found = []
     while True:
         total = rows.count()
@@ -144,59 +168,75 @@ def window_pairs(rows: DataFrame, low: int, high: int) -> DataFrame:
         whole = parts <= 1
         order = ["tree", "place", "node"]
         placed = (rows.coalesce(1) if whole else rows.repartitionByRange(parts, *order)).sortWithinPartitions(*order)
-        out = written(placed.mapInArrow(_window_task(low, high, not whole), _WINDOW), "window")
+        out = written(placed.select(*_ROW).mapInArrow(_window_task(low, high, not whole, similarity), _WINDOW), "window")
         found.append(out.where("tree IS NULL").select("a", "b", "agree"))
         if whole:
             break
-        rows = out.where("tree IS NOT NULL").select("tree", "place", F.col("a").alias("node"), "n", F.col("b").alias("comp"))
+        rows = out.where("tree IS NOT NULL").select(
+            "tree", "place", F.col("a").alias("node"), "n", F.col("b").alias("comp"), "wide", "members"
+        )
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
     return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-_WINDOW = "a long, b long, agree int, tree int, place binary, n int"
+_ROW = ["tree", "place", "node", "n", "comp", "wide", "members"]
+_WINDOW = "a long, b long, agree int, tree int, place binary, n int, wide binary, members binary"
 
 
-def _window_task(low: int, high: int, with_edges: bool):
+def _window_task(low: int, high: int, with_edges: bool, similarity: float | None):
     """Pairs of a sorted partition, read in blocks that overlap by ``high`` rows, and the rows beside its ends."""
     width = 4 * DEPTH + VALUES
+    names = [c.split()[0] for c in _WINDOW.split(", ")]
 
-    def columns(table: pa.Table):
+    def pairs_of(table: pa.Table):
         place = np.frombuffer(b"".join(table["place"].to_pylist()), dtype=np.uint8).reshape(-1, width)
-        return (table["tree"].to_numpy(), place, *(table[c].to_numpy() for c in ("node", "n", "comp")))
-
-    def pairs_of(table: pa.Table, new_from: int):
-        parts = columns(table)
-        for a, b, agree in _near(*parts, low, high):
-            x, y = np.minimum(a, b), np.maximum(a, b)
-            none = pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary()), pa.nulls(len(x), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(agree.astype(np.int32)), *none], names)
+        tree, node, n, comp = (table[c].to_numpy() for c in ("tree", "node", "n", "comp"))
+        near = list(_near(tree, place, node, n, comp, low, high))
+        if not near:
+            return
+        i, j, agree = (np.concatenate(x) for x in zip(*near, strict=True))
+        if similarity is None:
+            order = np.lexsort((j, -agree, i))
+            i, j, agree = i[order], j[order], agree[order]
+            best = np.ones(len(i), dtype=bool)
+            best[1:] = i[1:] != i[:-1]
+        else:
+            wide = np.frombuffer(b"".join(table["wide"].to_pylist()), dtype=">u2").reshape(-1, TREES, DEPTH)
+            members = [np.frombuffer(x, "<u8") for x in table["members"].to_pylist()]
+            best = np.zeros(len(i), dtype=bool)
+            for s in range(0, len(i), 50_000):
+                x, y = i[s : s + 50_000], j[s : s + 50_000]
+                first = (wide[x] == wide[y]).all(axis=2).argmax(axis=1) == tree[x]
+                for k in np.flatnonzero(first):
+                    best[s + k] = _likely(members[x[k]], members[y[k]], n[x[k]], n[y[k]], similarity)
+        a, b, agree = node[i[best]], node[j[best]], agree[best].astype(np.int32)
+        arrays = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree)]
+        none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays + none, names)
 
     def edge(table: pa.Table):
-        nothing = pa.nulls(table.num_rows, pa.int32())
-        columns = [table["node"], table["comp"], nothing, table["tree"], table["place"], table["n"]]
+        columns = [table["node"], table["comp"], pa.nulls(table.num_rows, pa.int32())]
+        columns += [table[c] for c in ("tree", "place", "n", "wide", "members")]
         columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
         return pa.Table.from_arrays(columns, names).to_batches()
 
-    names = [c.split()[0] for c in _WINDOW.split(", ")]
-
     def run(batches):
         block: pa.Table | None = None
         first: pa.Table | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = pa.Table.from_batches([batch])
-            if with_edges and (first is None or first.num_rows < high):
-                first = new.slice(0, high) if first is None else pa.concat_tables([first, new]).slice(0, high)
-            block = new if block is None else pa.concat_tables([block, new])
-            if block.num_rows >= 2 * high + 20_000:
-                yield from pairs_of(block, 0)
-                block = block.slice(block.num_rows - high)
+            for at in range(0, batch.num_rows, 2_000):
+                new = pa.Table.from_batches([batch.slice(at, 2_000)])
+                if with_edges and (first is None or first.num_rows < high):
+                    first = new.slice(0, high) if first is None else pa.concat_tables([first, new]).slice(0, high)
+                block = new if block is None else pa.concat_tables([block, new])
+                if block.num_rows >= 2 * high + 8_000:
+                    yield from pairs_of(block)
+                    block = block.slice(block.num_rows - high)
         if block is None:
             return
-        yield from pairs_of(block, 0)
+        yield from pairs_of(block)
         if with_edges:
             yield from edge(first)
             yield from edge(block.slice(max(0, block.num_rows - high)))
@@ -257,42 +297,55 @@ def with_roots(rows: DataFrame, roots: DataFrame | None, name: str, out: str) ->
 
 
 def node_components(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame | None:
-    """(node, root) of the nodes that have a link; None without any candidate."""
+    """(node, root) of the nodes that have a link; None without any link."""
     base = written(orders(nodes), "orders")
     roots: DataFrame | None = None
     links: DataFrame | None = None
-    low, high = 0, LAGS[0]
-    rows = base.withColumn("comp", F.col("node"))
+
+    def across(pairs: DataFrame) -> DataFrame:
+        return with_roots(with_roots(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        asked = written(nodes.select("node", "doc_id", "key").join(asked, "node"), "asked")
+        return written(node_sets(docs, asked, width), "sets")
+
+    def link(chosen: DataFrame) -> bool:
+        nonlocal roots, links
+        ends = chosen.select(F.col("a").alias("node")).union(chosen.select(F.col("b").alias("node"))).distinct()
+        new = written(confirmed(chosen, sets_of(ends), similarity), "links")
+        if new.isEmpty():
+            return False
+        links = new if links is None else written(links.union(new), "links")
+        roots = connected_components(links)
+        return True
+
+    nothing = F.lit(None).cast("binary")
+    rows = base.withColumns({"comp": F.col("node"), "wide": nothing, "members": nothing})
+    pairs = written(window_pairs(rows, 0, NEIGHBOURS), "pairs")
+    for _ in range(FIRST_ROUNDS):  # each component's likeliest partner: most other pairs then lie inside a component
+        left = across(pairs)
+        ends = left.select("ra", "agree", "a", "b").union(left.select(F.col("rb").alias("ra"), "agree", "a", "b"))
+        best = ends.groupBy("ra").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        best = written(best, "candidates")
+        if best.isEmpty() or not link(best):
+            break
+        pairs = written(pairs.join(best, ["a", "b"], "left_anti"), "pairs")
+
+    low, high = 0, FIRST_REACH
     while True:
-        pairs = written(window_pairs(rows, low, high), "pairs")
-        for best_only in (True, False):
-            across = with_roots(with_roots(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
-            if best_only:  # each component's likeliest partner first: most other pairs then lie inside a component
-                ends = across.select("ra", "agree", "a", "b").union(across.select(F.col("rb").alias("ra"), "agree", "a", "b"))
-                across = ends.groupBy("ra").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-            across = written(across.select("a", "b"), "candidates")
-            if across.isEmpty():
-                break
-            ends = across.select(F.col("a").alias("node")).union(across.select(F.col("b").alias("node"))).distinct()
-            asked = written(nodes.select("node", "doc_id", "key").join(ends, "node"), "asked")
-            sets = written(node_sets(docs, asked, width), "sets")
-            new = written(confirmed(across, sets, similarity), "links")
-            if not new.isEmpty():
-                links = new if links is None else written(links.union(new), "links")
-                roots = connected_components(links)
-        low, high = high, LAGS[1] if high == LAGS[0] else 16 * high
-        marked = with_roots(base, roots, "node", "comp")
-        runs = (
-            marked.groupBy("tree", F.substring("place", 1, 2 * DEPTH).alias("head"))
-            .agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-            .where((F.col("size") > low + 1) & (F.col("x") != F.col("y")))
-            .select("tree", "head")
-        )
-        runs = written(runs, "mixed-runs")
+        head = F.substring("place", 1, 2 * DEPTH)
+        marked = with_roots(base, roots, "node", "comp").withColumn("head", head)
+        runs = marked.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+        runs = written(runs.where((F.col("size") > low + 1) & (F.col("x") != F.col("y"))).select("tree", "head"), "mixed-runs")
         if runs.isEmpty():
             return roots
-        inside = marked.withColumn("head", F.substring("place", 1, 2 * DEPTH)).join(runs, ["tree", "head"])
-        rows = written(inside.select("tree", "place", "node", "n", "comp"), "mixed-rows")
+        inside = written(marked.join(runs, ["tree", "head"]).select("tree", "place", "node", "n", "comp"), "mixed-rows")
+        known = sets_of(inside.select("node").distinct()).select("node", F.substring("members", 1, 8 * BOTTOM).alias("members"))
+        rows = inside.join(known.join(nodes.select("node", "wide"), "node"), "node")
+        found = written(window_pairs(rows, low, high, similarity).select("a", "b"), "candidates")
+        if not found.isEmpty():
+            link(found)
+        low, high = high, 16 * high
 
 
 def components(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
