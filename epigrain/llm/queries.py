@@ -12,6 +12,7 @@ from .html_text import extract
 from .language import predict, train
 from .near_duplicates import components
 from .packing import pack
+from . import decontamination, site_quality
 from . import quality_rules as rules
 from .token_files import token_digests
 from .warc import page_round_trip
@@ -129,3 +130,14 @@ FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 @query("op1_lsh_forest", NEAR_SQL)
 def lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), width=4, similarity=0.8)
+
+
+@query("op8_string_tiling")
+def string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_site_quality")
+def site_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return site_quality.judge(docs, labels).select("doc_id", "p_low", "p_toxic", "kept")
