@@ -1,8 +1,9 @@
-"""Document quality with site evidence: a naive Bayes classifier per document, combined with host and path posteriors.
+"""Document quality with site evidence: a classifier per document, combined with host and path posteriors.
 
-The document classifier has presence features in hashed buckets: words, word beginnings, word shapes with their share of the text,
-and the share of immediate repetition. It is fitted on at most ``TRAINING_DOCS`` labelled documents (those with the smallest id
-hashes); a feature counts only if it tells the classes apart by ``SIGNIFICANT`` standard errors.
+The document classifier is a ridge logistic regression on presence features in hashed buckets: words, word beginnings, word shapes
+with their share of the text, and the share of immediate repetition. It is fitted on at most ``TRAINING_DOCS`` labelled documents
+(those with the smallest id hashes) and on the ``MODEL_FEATURES`` features that tell the classes apart best, if they do so as
+``SIGNIFICANT`` standard errors would (likelihood ratio). Its log-odds less those of the base rate are a document's evidence.
 
 Sites get beta-binomial posteriors by grouped aggregation over all labels: a host's rate is shrunk toward the global rate, a path's
 toward its host's, with prior strengths estimated from the spread between sites (method of moments). A document's log-odds are its
@@ -31,12 +32,15 @@ from .words import FOLD, NOT_ALNUM, SPACE, in_pieces, mix
 BUCKETS = 1 << 20
 TRAINING_DOCS = 20_000
 SIGNIFICANT = 4.0
+#: Features that a target's classifier has at most, those that tell most.
+MODEL_FEATURES = 1024
+STEPS, RIDGE = 200, 1e-4
 SMOOTHING = 0.5
 REJECT = 0.5
 TARGETS = ("low", "toxic")
 #: Limits of an estimated prior strength, in labelled documents.
 STRENGTHS = (10.0, 1e6)
-BEGINNING = 5
+BEGINNING = 4
 ADDED = ("p_low", "p_toxic", "kept")
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -108,6 +112,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             first = np.flatnonzero(new)
             times = np.diff(np.concatenate((first, [len(text)])))
             level = np.floor(-np.log2(times / np.bincount(text, minlength=len(part))[text[first]])).astype(np.uint64)
+            keys.append((text[first], mix(shapes[first] ^ np.uint64(0x5A5A))))
             keys.append((text[first], mix(shapes[first] + np.minimum(level, np.uint64(4)) * _PRIME)))
         if keys:
             text = np.concatenate([k[0] for k in keys]).astype(np.int64)
@@ -128,22 +133,58 @@ def _targets(labels: DataFrame) -> DataFrame:
 
 @dataclass
 class DocumentModel:
-    weights: np.ndarray  #: log-odds per target and bucket, 0 where a feature does not count
+    weights: np.ndarray  #: per target and bucket, 0 for what is no feature of the model
+    offsets: np.ndarray  #: per target: intercept less the log-odds of the training set
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """The classifier's log-odds beyond the base rate, a row per target."""
         text, bucket = features(texts)
-        return np.stack([np.bincount(text, self.weights[k, bucket], len(texts)) for k in range(len(TARGETS))])
+        sums = [np.bincount(text, self.weights[k, bucket], len(texts)) for k in range(len(TARGETS))]
+        return np.stack(sums) + self.offsets[:, None]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> DocumentModel:
-    """Learn from at most ``most`` labelled documents. Only features that count come to the driver, at most one row per bucket."""
+def logistic(rows: np.ndarray, columns: np.ndarray, marks: np.ndarray, n_columns: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a ridge logistic regression on presence features, by Adam over all rows."""
+    n = len(marks)
+    value, mean, spread = np.zeros(n_columns + 1), np.zeros(n_columns + 1), np.zeros(n_columns + 1)
+    value[-1] = np.log((marks.sum() + SMOOTHING) / (n - marks.sum() + SMOOTHING))
+    for step in range(1, STEPS + 1):
+        odds = np.bincount(rows, value[columns], n) + value[-1]
+        miss = 1 / (1 + np.exp(-np.clip(odds, -50, 50))) - marks
+        slope = np.concatenate((np.bincount(columns, miss[rows], n_columns) / n + RIDGE * value[:-1], [miss.mean()]))
+        mean = 0.9 * mean + 0.1 * slope
+        spread = 0.99 * spread + 0.01 * slope**2
+        value -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
+    return value[:-1], float(value[-1])
+
+
+def _likelihood_ratio(good: Column, bad: Column, all_good: int, all_bad: int) -> Column:
+    """G statistic of a feature against the class, which holds for small counts; about a squared number of standard errors."""
+    share = (good + bad) / (all_good + all_bad)
+
+    def term(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    present = term(good, share * all_good) + term(bad, share * all_bad)
+    absent = term(all_good - good, (1 - share) * all_good) + term(all_bad - bad, (1 - share) * all_bad)
+    return 2 * (present + absent)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, features_each: int = MODEL_FEATURES) -> DocumentModel:
+    """Learn from at most ``most`` labelled documents. Only the chosen features and their places in these documents reach the driver."""
     chosen = _targets(labels).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    # the chosen ids are bounded by ``most``: 24 bytes a row
+    known = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("low", "toxic", F.col("text").cast("string"))
+    names = ["n00", "n01", "n10", "n11"]
+
+    def marks_of(batch):
+        return [np.array([-1 if x is None else x for x in batch.column(i).to_pylist()], dtype=int) for i in (0, 1)]
 
     def count(batches):
         total = np.zeros((4, BUCKETS), dtype=np.int32)
         sizes = np.zeros(4, dtype=np.int64)
         for batch in batches:
-            marks = [np.array([-1 if x is None else x for x in batch.column(i).to_pylist()]) for i in (0, 1)]
+            marks = marks_of(batch)
             text, bucket = features(batch.column(2).to_pylist())
             for k in range(4):
                 of = marks[k // 2] == k % 2
@@ -153,24 +194,49 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Docume
         rows = [np.concatenate((at, [-1])), *[np.concatenate((total[k, at], [sizes[k]])) for k in range(4)]]
         yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)) for r in rows], ["bucket", *names])
 
-    names = ["n00", "n01", "n10", "n11"]
-    # the chosen ids are bounded by ``most``: 24 bytes a row
-    known = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("low", "toxic", F.col("text").cast("string"))
     counted = known.mapInArrow(count, "bucket long, " + ", ".join(f"{n} long" for n in names))
     sums = written(counted.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]), "features")
     sizes = sums.where("bucket = -1").first()
-    weights = np.zeros((len(TARGETS), BUCKETS), dtype=np.float32)
-    if sizes is not None:
-        columns = []
-        for k in range(len(TARGETS)):
-            good, bad = F.col(names[2 * k]) + SMOOTHING, F.col(names[2 * k + 1]) + SMOOTHING
-            weight = F.log(bad / (sizes[names[2 * k + 1]] + 2 * SMOOTHING)) - F.log(good / (sizes[names[2 * k]] + 2 * SMOOTHING))
-            counts = F.abs(weight) >= SIGNIFICANT * F.sqrt(1 / bad + 1 / good)
-            columns.append(F.when(counts, weight).otherwise(0.0).cast("float").alias(f"w{k}"))
-        got = sums.where("bucket >= 0").select("bucket", *columns).where("w0 <> 0 OR w1 <> 0").toArrow()
-        for k in range(len(TARGETS)):
-            weights[k, got["bucket"].to_numpy()] = got[f"w{k}"].to_numpy()
-    return DocumentModel(weights)
+    model = DocumentModel(np.zeros((len(TARGETS), BUCKETS), dtype=np.float32), np.zeros(len(TARGETS)))
+    if sizes is None:
+        return model
+    picked = []
+    for k in range(len(TARGETS)):
+        good, bad = names[2 * k], names[2 * k + 1]
+        ratio = _likelihood_ratio(F.col(good), F.col(bad), sizes[good], sizes[bad])
+        best = sums.where("bucket >= 0").select("bucket", ratio.alias("g")).where(F.col("g") >= SIGNIFICANT**2)
+        picked.append(sorted(r.bucket for r in best.orderBy(F.desc("g"), "bucket").limit(features_each).collect()))
+    places = np.unique(np.array([b for p in picked for b in p], dtype=np.int64))
+    if not len(places):
+        return model
+    wanted = docs.sparkSession.sparkContext.broadcast(places)
+
+    def present(batches):
+        for batch in batches:
+            marks = marks_of(batch)
+            text, bucket = features(batch.column(2).to_pylist())
+            at = np.minimum(np.searchsorted(wanted.value, bucket), len(wanted.value) - 1)
+            hit = wanted.value[at] == bucket
+            lists = np.split(at[hit].astype(np.int32), np.searchsorted(text[hit], np.arange(1, batch.num_rows)))
+            arrays = [pa.array(m.astype(np.int32)) for m in marks] + [pa.array(lists[: batch.num_rows], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["low", "toxic", "places"])
+
+    got = known.mapInArrow(present, "low int, toxic int, places array<int>").toArrow()
+    lists = got["places"].combine_chunks()
+    lengths = np.asarray(lists.value_lengths()).astype(int)
+    rows, columns = np.repeat(np.arange(len(lengths)), lengths), np.asarray(lists.flatten())
+    for k, target in enumerate(TARGETS):
+        marks = got[target].to_numpy()
+        told = marks >= 0
+        bad = (marks == 1).sum()
+        if not bad or bad == told.sum():
+            continue
+        mine = np.isin(places, picked[k])[columns] & told[rows]
+        number = np.cumsum(told) - 1
+        weights, intercept = logistic(number[rows[mine]], columns[mine], (marks[told] == 1).astype(float), len(places))
+        model.weights[k, places] = weights
+        model.offsets[k] = intercept - np.log(bad / (told.sum() - bad))
+    return model
 
 
 def _strength(groups: DataFrame, n: str, bad: str, above: str) -> float:
