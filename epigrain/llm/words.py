@@ -83,7 +83,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[
     if not len(words):
         return np.empty(0, np.uint64), out_offsets
     total = np.zeros(len(words), dtype=np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(words))):
         total[: len(words) - k] = total[: len(words) - k] * _PRIME + words[k:]
     text = np.repeat(np.arange(len(counts)), made)
     at = offsets[:-1][text] + (np.arange(out_offsets[-1]) - out_offsets[:-1][text])
