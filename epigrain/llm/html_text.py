@@ -29,6 +29,8 @@ TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.3
 #: Without a marked article, a block with more of its characters in links than this is a menu.
 LINK_SHARE = 0.6
+#: Templates (16 bytes each and their host's name) that may be broadcast.
+BROADCAST_TEMPLATES = 500_000
 
 PARSED = (
     "key long, page_id long, url string, host string, page_hash long, blocks array<struct<text: string, path: array<long>>>"
@@ -155,7 +157,7 @@ class _Page:
             self.flush()
         above = self.stack[-1]
         main = max(above.main, 2 if tag == "article" else 1 if tag == "main" or 'role="main"' in attrs else 0)
-        skipped = above.skipped or _skips(tag, attrs, above.main == 2)
+        skipped = above.skipped or _skips(tag, attrs, above.main > 0)
         if tag == "a":
             self.links += 1
         self.stack.append(_Node(tag, above, len(self.blocks), skipped, main))
@@ -232,7 +234,7 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
-    return written(rows.mapInArrow(run, PARSED), "parsed-pages")
+    return written(rows.mapInArrow(run, PARSED), "parsed-pages", "zstd")
 
 
 _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))]))
@@ -244,6 +246,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
+def with_cuts(parsed: DataFrame, subtrees: DataFrame, templates: DataFrame, most: int = BROADCAST_TEMPLATES) -> DataFrame:
+    """Adds the hashes that are template on a page's host as ``cut``. Up to ``most`` templates are sent to every executor, grouped by
+    host; more are joined to the pages' subtrees. Both give a page the same blocks."""
+    if templates.count() <= most:
+        hosts = templates.groupBy("host").agg(F.collect_list("subtree").alias("cut"))
+        return parsed.join(F.broadcast(hosts), "host", "left")
+    cut = subtrees.join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("cut"))
+    return parsed.join(cut, "key", "left")
+
+
 def extract(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page row."""
     parsed = parsed_pages(pages)
@@ -255,8 +267,7 @@ def extract(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLA
     often = seen.where(F.col("pages") >= least)
     templates = often.join(hosts, "host").where(F.col("pages") >= share * F.col("of")).select("host", "subtree")
     templates = written(templates, "site-templates")
-    cut = subtrees.join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("cut"))
-    judged = parsed.join(cut, "key", "left")
+    judged = with_cuts(parsed, subtrees, templates)
     kept = F.filter("blocks", lambda b: F.col("cut").isNull() | ~F.arrays_overlap(b["path"], F.col("cut")))
     text = judged.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
     return text.withColumn("n_chars", F.length("text").cast("long"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from epigrain.session import checkpoint_dir
 
@@ -20,10 +22,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str = "stage") -> DataFrame:
+def written(df: DataFrame, label: str = "stage", compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and any executor can read it again."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,3 +47,15 @@ def write_whole(uri: str, attempt: str, fill) -> None:
     with system.open_output_stream(partial, compression=None) as out:
         fill(out)
     system.move(partial, path)
+
+
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bit per ``hash`` modulo ``bits`` (a power of two): at most bits / 64 rows come to the driver, whatever the number of hashes."""
+    place = f"pmod(hash, {bits}L)"
+    words = hashes.groupBy(F.expr(f"{place} DIV 64").cast("int").alias("at")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast(pmod({place}, 64L) AS int)))").alias("bits")
+    )
+    got = words.toArrow()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
