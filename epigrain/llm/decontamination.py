@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import bit_table, written
 from .words import NOT_ALNUM, in_pieces, shingle_hashes, word_hashes
 
 LEAST = 5
@@ -131,18 +131,6 @@ def item_seeds(items: DataFrame, least: int) -> DataFrame:
     return written(items.select("item", "words").mapInArrow(run, "seed long, item long"), "item-seeds")
 
 
-def seed_table(seeds: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
-    """A bit per seed hash modulo ``bits``: at most bits / 64 rows come to the driver, whatever the number of items."""
-    place = F.pmod(F.col("seed"), F.lit(bits))
-    words = seeds.groupBy(F.expr(f"pmod(seed, {bits}L) DIV 64").cast("int").alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits")
-    )
-    got = words.toArrow()
-    table = np.zeros(bits // 64, dtype=np.int64)
-    table[got["at"].to_numpy()] = got["bits"].to_numpy()
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-
-
 def suspect_segments(docs: DataFrame, table: np.ndarray, least: int) -> DataFrame:
     """(row, doc_id, starts, words, seeds): the runs of words of a document whose seeds may be an item's. A row without is null there."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
@@ -210,7 +198,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     item and null without a shared seed."""
     items = item_words(benchmark, least)
     seeds = item_seeds(items, least)
-    rows = suspect_segments(docs, seed_table(seeds), least)
+    rows = suspect_segments(docs, bit_table(seeds.select(F.col("seed").alias("hash")), TABLE_BITS), least)
     suspects = rows.where("starts IS NOT NULL")
     pairs = suspects.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row", "item").agg(F.count(F.lit(1)).alias("shared"))
     # a covered item shares a seed per tile at least; tiles of ``least`` words cover the fewest words per seed

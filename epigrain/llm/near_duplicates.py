@@ -6,13 +6,15 @@ whole word sequence if it is shorter. Documents with equal sets are one node.
 The forest has ``TREES`` orders. Order t sorts all nodes by the signature rotated to begin at value ``3 t``, so neighbours in an
 order are the nodes with the longest common prefix, however dense their region is: depth adapts by itself. Nodes that share the
 first ``DEPTH`` values form a run. First every node proposes the neighbour within ``NEIGHBOURS`` places that agrees with it best;
-proposals are confirmed on the whole sets and links make components. Then every run that holds several components is searched
-for pairs across components, at a distance that grows to the run's length: a pair must agree in ``AGREE`` of the values and reach the
-similarity on the smallest ``BOTTOM`` hashes (exact for smaller sets), and is confirmed on the whole sets. So every pair of a run is
-examined unless it is already connected; no link is dropped by a cap, and pairs that are no links are not written anywhere.
+proposals are confirmed on the whole sets and links make components. Then the runs that still hold several components are searched
+for pairs across components: a pair must agree in ``AGREE`` of the values and reach the similarity on the smallest ``BOTTOM`` hashes
+(exact for smaller sets), and is confirmed on the whole sets. So every pair of a run is examined unless it is already connected; no
+link is dropped by a cap, and pairs that are no links are not written anywhere. The work of the second search grows with the square
+of a run only as far as its nodes are not connected.
 
 The orders are cut into ranges of rows, not by key: a run that holds a third of the corpus spans many tasks. Pairs across the cuts
-are found by a second, much smaller pass over the rows beside the cuts.
+are found by a second, much smaller pass over the rows beside the cuts. In the second search a long run is dealt out as pairs of
+blocks.
 
 A pair of similarity 0.8 meets in some run with probability 1 - (1 - 0.8^3)^20, which is above 0.9999994, and fails the agreement
 test with probability below 0.000001.
@@ -34,17 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import bit_table, written
 from .words import distinct_per_text, in_pieces, mix, shingle_hashes, word_hashes
 
 TREES, DEPTH = 20, 3
 VALUES = TREES * DEPTH
 #: Values that must agree: fewer at similarity 0.8 has a probability below 0.000001.
 AGREE = 32
-#: Distance at which the first candidates are sought, and how often each component tries its likeliest one.
-NEIGHBOURS, FIRST_ROUNDS = 16, 3
-#: Distance at first for pairs across components; it grows by 16 until no run of several components is longer.
-FIRST_REACH = 256
+#: How far apart in an order the first candidates are sought.
+NEIGHBOURS = 16
+#: Nodes of a run that are compared with each other in one task; a longer run is dealt out as pairs of such blocks.
+BLOCK = 4096
+#: Limit of the bit table that tells which sets are needed (32 MB).
+MOST_BITS = 1 << 28
 #: Smallest shingle hashes of a set by which such pairs are compared before they are confirmed.
 BOTTOM = 1024
 #: Rows of an order per task.
@@ -77,6 +81,10 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def _key(members: bytes) -> bytes:
+    return hashlib.blake2b(members, digest_size=16).digest()
+
+
 def signed_rows(docs: DataFrame, width: int) -> DataFrame:
     """A row per document: set size, set digest, and the signature in 16 bits and in 8 bits a value."""
 
@@ -88,7 +96,7 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
                 n = len(at) - 1
                 values = signatures(hashes, at)
                 wide, narrow = values.astype(">u2"), (values >> np.uint64(16)).astype(np.uint8)
-                keys = [hashlib.blake2b(hashes[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() for i in range(n)]
+                keys = [_key(hashes[at[i] : at[i + 1]].astype("<u8").tobytes()) for i in range(n)]
                 arrays = [
                     pa.array([next(rows) for _ in range(n)], pa.int64()),
                     ids.slice(done, n),
@@ -119,131 +127,203 @@ def orders(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _near(tree, place, node, n, comp, low: int, high: int):
-    """Places i, j of candidate pairs of sorted rows, low + 1 to high apart in a run, and in how many values they agree."""
-    m = len(node)
-    head = np.ascontiguousarray(place[:, : 2 * DEPTH])
-    new = np.ones(m, dtype=bool)
-    new[1:] = (tree[1:] != tree[:-1]) | (head[1:] != head[:-1]).any(axis=1)
-    run = np.cumsum(new)
-    sig = place[:, 4 * DEPTH :]
-    for lag in range(low + 1, min(high, m - 1) + 1):
-        i = np.flatnonzero(run[lag:] == run[:-lag])
-        if not len(i):
-            break
-        j = i + lag
-        ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (comp[i] != comp[j])
-        i, j = i[ok], j[ok]
-        for s in range(0, len(i), 50_000):
-            a, b = i[s : s + 50_000], j[s : s + 50_000]
-            agree = (sig[a] == sig[b]).sum(axis=1)
-            good = agree >= AGREE
-            yield a[good], b[good], agree[good]
-
-
-def _likely(x: np.ndarray, y: np.ndarray, nx: int, ny: int, similarity: float) -> bool:
-    """Whether two sets can have the similarity, from their smallest ``BOTTOM`` hashes; certain if neither set has more."""
+def _likely(x: np.ndarray, y: np.ndarray, nx: int, ny: int, similarity: float, bottom: int) -> bool:
+    """Whether two sets can have the similarity, from their smallest ``bottom`` hashes; certain if neither set has more."""
     both = np.concatenate((x, y))
     both.sort()
     same = both[1:] == both[:-1]
-    if nx <= BOTTOM and ny <= BOTTOM:
+    if nx <= bottom and ny <= bottom:
         shared = int(np.count_nonzero(same))
         return 100 * shared >= round(100 * similarity) * (len(both) - shared)
-    last = np.concatenate((np.flatnonzero(np.concatenate(([True], ~same)))[BOTTOM : BOTTOM + 1], [len(both)]))[0]
+    last = np.concatenate((np.flatnonzero(np.concatenate(([True], ~same)))[bottom : bottom + 1], [len(both)]))[0]
     shared = int(np.count_nonzero(same[: last - 1]))
     union = last - shared
     return shared >= (similarity - 5 * (similarity * (1 - similarity) / union) ** 0.5) * union
 
 
-def window_pairs(rows: DataFrame, low: int, high: int, similarity: float | None = None) -> DataFrame:
-    """Candidate pairs (a, b, agree), a < b, of order rows (tree, place, node, n, comp, wide, members).
-
-    Without ``similarity``: for each row the later neighbour that agrees best, at most one pair a row. With it: every pair that
-    can have the similarity, told once, in the first order whose run holds both.
-    """
-    found = []
+def sorted_neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From order rows (tree, place, node, n): for each row the later neighbour in its run that agrees best, as pairs (a, b, agree)
+    with a < b, and the rows (tree, head, node) whose run holds another node."""
+    pairs = runs = None
     while True:
         total = rows.count()
         parts = -(-total // TASK_ROWS)
         whole = parts <= 1
         order = ["tree", "place", "node"]
         placed = (rows.coalesce(1) if whole else rows.repartitionByRange(parts, *order)).sortWithinPartitions(*order)
-        out = written(placed.select(*_ROW).mapInArrow(_window_task(low, high, not whole, similarity), _WINDOW), "window")
-        found.append(out.where("tree IS NULL").select("a", "b", "agree"))
+        out = written(placed.select("tree", "place", "node", "n").mapInArrow(_window_task(not whole), _WINDOW), "window")
+        new_pairs = out.where(f"kind = {PAIR}").select("a", "b", "agree")
+        new_runs = out.where(f"kind = {RUN}").select("tree", F.col("place").alias("head"), F.col("a").alias("node"))
+        pairs = new_pairs if pairs is None else pairs.union(new_pairs)
+        runs = new_runs if runs is None else runs.union(new_runs)
         if whole:
             break
-        rows = out.where("tree IS NOT NULL").select(
-            "tree", "place", F.col("a").alias("node"), "n", F.col("b").alias("comp"), "wide", "members"
-        )
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+        rows = out.where(f"kind = {EDGE}").select("tree", "place", F.col("a").alias("node"), F.col("agree").alias("n"))
+    return pairs, runs.distinct()
 
 
-_ROW = ["tree", "place", "node", "n", "comp", "wide", "members"]
-_WINDOW = "a long, b long, agree int, tree int, place binary, n int, wide binary, members binary"
+PAIR, EDGE, RUN = 0, 1, 2
+_WINDOW = "kind int, tree int, place binary, a long, b long, agree int"
+_WIDTH = 4 * DEPTH + VALUES
 
 
-def _window_task(low: int, high: int, with_edges: bool, similarity: float | None):
-    """Pairs of a sorted partition, read in blocks that overlap by ``high`` rows, and the rows beside its ends."""
-    width = 4 * DEPTH + VALUES
-    names = [c.split()[0] for c in _WINDOW.split(", ")]
+def _places(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, _WIDTH)
+
 
-    def pairs_of(table: pa.Table):
-        place = np.frombuffer(b"".join(table["place"].to_pylist()), dtype=np.uint8).reshape(-1, width)
-        tree, node, n, comp = (table[c].to_numpy() for c in ("tree", "node", "n", "comp"))
-        near = list(_near(tree, place, node, n, comp, low, high))
-        if not near:
+def _window_task(with_edges: bool):
+    """A sorted partition in blocks that overlap by ``NEIGHBOURS`` rows: its pairs, its rows in shared runs, and the rows beside its
+    ends, from which a later pass finds what the cut between two partitions parts."""
+    names = [c.split()[0] for c in _WINDOW.split(", ")]
+    reach = NEIGHBOURS
+
+    def rows_of(kind, tree, place, a, b, agree):
+        n = len(a)
+        nothing = pa.nulls(n, pa.int32()) if tree is None else tree, pa.nulls(n, pa.binary()) if place is None else place
+        arrays = [pa.array(np.full(n, kind, np.int32)), *nothing, a, pa.nulls(n, pa.int64()) if b is None else b]
+        arrays.append(pa.nulls(n, pa.int32()) if agree is None else agree)
+        arrays = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in arrays]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    def found(table: pa.Table):
+        place = _places(table["place"])
+        tree, node, n = (table[c].to_numpy() for c in ("tree", "node", "n"))
+        head = place[:, : 2 * DEPTH]
+        same = (tree[1:] == tree[:-1]) & (head[1:] == head[:-1]).all(axis=1)
+        if not same.any():
             return
+        inside = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+        heads = pa.array([h.tobytes() for h in head[inside]], pa.binary())
+        yield rows_of(RUN, pa.array(tree[inside]), heads, pa.array(node[inside]), None, None)
+        run = np.cumsum(np.concatenate(([True], ~same)))
+        near = []
+        for lag in range(1, min(reach, len(node) - 1) + 1):
+            i = np.flatnonzero(run[lag:] == run[:-lag])
+            if not len(i):
+                break
+            i = i[_same_size(n[i], n[i + lag]) & (node[i] != node[i + lag])]
+            agree = (place[i, 4 * DEPTH :] == place[i + lag, 4 * DEPTH :]).sum(axis=1)
+            good = agree >= AGREE
+            near.append((i[good], i[good] + lag, agree[good]))
         i, j, agree = (np.concatenate(x) for x in zip(*near, strict=True))
-        if similarity is None:
-            order = np.lexsort((j, -agree, i))
-            i, j, agree = i[order], j[order], agree[order]
-            best = np.ones(len(i), dtype=bool)
-            best[1:] = i[1:] != i[:-1]
-        else:
-            wide = np.frombuffer(b"".join(table["wide"].to_pylist()), dtype=">u2").reshape(-1, TREES, DEPTH)
-            members = [np.frombuffer(x, "<u8") for x in table["members"].to_pylist()]
-            best = np.zeros(len(i), dtype=bool)
-            for s in range(0, len(i), 50_000):
-                x, y = i[s : s + 50_000], j[s : s + 50_000]
-                first = (wide[x] == wide[y]).all(axis=2).argmax(axis=1) == tree[x]
-                for k in np.flatnonzero(first):
-                    best[s + k] = _likely(members[x[k]], members[y[k]], n[x[k]], n[y[k]], similarity)
-        a, b, agree = node[i[best]], node[j[best]], agree[best].astype(np.int32)
-        arrays = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree)]
-        none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays + none, names)
+        order = np.lexsort((j, -agree, i))
+        i, j, agree = i[order], j[order], agree[order]
+        best = np.ones(len(i), dtype=bool)
+        best[1:] = i[1:] != i[:-1]
+        a, b = node[i[best]], node[j[best]]
+        yield rows_of(PAIR, None, None, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree[best].astype(np.int32)))
 
     def edge(table: pa.Table):
-        columns = [table["node"], table["comp"], pa.nulls(table.num_rows, pa.int32())]
-        columns += [table[c] for c in ("tree", "place", "n", "wide", "members")]
-        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        return pa.Table.from_arrays(columns, names).to_batches()
+        return rows_of(EDGE, table["tree"], table["place"], table["node"], None, table["n"])
 
     def run(batches):
         block: pa.Table | None = None
         first: pa.Table | None = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                new = pa.Table.from_batches([batch.slice(at, 2_000)])
-                if with_edges and (first is None or first.num_rows < high):
-                    first = new.slice(0, high) if first is None else pa.concat_tables([first, new]).slice(0, high)
-                block = new if block is None else pa.concat_tables([block, new])
-                if block.num_rows >= 2 * high + 8_000:
-                    yield from pairs_of(block)
-                    block = block.slice(block.num_rows - high)
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            if with_edges and (first is None or first.num_rows < reach):
+                first = new.slice(0, reach) if first is None else pa.concat_tables([first, new]).slice(0, reach)
+            block = new if block is None else pa.concat_tables([block, new])
+            if block.num_rows >= 2 * reach + 10_000:
+                yield from found(block)
+                block = block.slice(block.num_rows - reach)
         if block is None:
             return
-        yield from pairs_of(block)
+        yield from found(block)
         if with_edges:
-            yield from edge(first)
-            yield from edge(block.slice(max(0, block.num_rows - high)))
+            yield edge(first)
+            yield edge(block.slice(max(0, block.num_rows - reach)))
 
     return run
 
 
+def _same_size(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sizes of two sets allow a similarity of 0.8."""
+    return 5 * np.minimum(x, y).astype(np.int64) >= 4 * np.maximum(x, y).astype(np.int64)
+
+
+def pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components in a shared run that can have the similarity, sought in the first order whose run holds
+    both. Once a certain pair has joined two components in a task, it tells no other pair of these.
+
+    ``rows`` are (tree, head, size, node, n, comp, wide, narrow, members). A run of more than ``BLOCK`` nodes is dealt out as
+    pairs of blocks, so a task holds two blocks at most, whatever the run's size.
+    """
+    dealt = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    group, bottom = ["tree", "head", "x", "y"], BOTTOM
+
+    def search(parts):
+        tree, x, y, own, node, n, comp, wide, narrow, members = parts
+        names, label = np.unique(comp, return_inverse=True)
+        joined = list(range(len(names)))  # components that links found here have put together
+
+        def find(c: int) -> int:
+            while joined[c] != c:
+                joined[c] = joined[joined[c]]
+                c = joined[c]
+            return c
+
+        for start in range(0, len(node), 512):
+            stop = min(start + 512, len(node))
+            i, j = np.nonzero(comp[start:stop, None] != comp[None, :])
+            i = i + start
+            ok = (node[i] < node[j]) & _same_size(n[i], n[j])
+            if x != y:
+                ok &= own[i] != own[j]
+            i, j = i[ok], j[ok]
+            for s in range(0, len(i), 100_000):
+                a, b = i[s : s + 100_000], j[s : s + 100_000]
+                good = (narrow[a] == narrow[b]).sum(axis=1) >= AGREE
+                a, b = a[good], b[good]
+                first = (wide[a] == wide[b]).all(axis=2).argmax(axis=1) == tree
+                for k, m in zip(a[first].tolist(), b[first].tolist(), strict=True):
+                    c, d = find(label[k]), find(label[m])
+                    if c != d and _likely(members[k], members[m], n[k], n[m], similarity, bottom):
+                        yield node[k], node[m]
+                        if n[k] <= bottom and n[m] <= bottom:  # then the link is certain
+                            joined[c] = d
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def done():
+            table = pa.Table.from_batches(held)
+            tree, _, x, y = key
+            wide = np.frombuffer(b"".join(table["wide"].to_pylist()), dtype=">u2").reshape(-1, TREES, DEPTH)
+            narrow = np.frombuffer(b"".join(table["narrow"].to_pylist()), dtype=np.uint8).reshape(-1, VALUES)
+            members = [np.frombuffer(m, "<u8") for m in table["members"].to_pylist()]
+            own, node, n, comp = (table[c].to_numpy() for c in ("own", "node", "n", "comp"))
+            pairs = list(search((tree, x, y, own, node, n, comp, wide, narrow, members)))
+            if pairs:
+                a, b = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True))
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != key and held:
+                    yield from done()
+                    held = []
+                key = keys[at]
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield from done()
+
+    placed = dealt.repartition(*group).sortWithinPartitions(*group)
+    columns = [*group, "own", "node", "n", "comp", "wide", "narrow", "members"]
+    return placed.select(*columns).mapInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity, computed on the whole sets."""
     percent = round(100 * similarity)
@@ -267,25 +347,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def node_sets(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """(node, members): the sorted shingle hashes of the asked nodes (node, doc_id, key), made again from the text."""
+    """(node, members): the sorted shingle hashes of the asked nodes (node, key), made again from the text.
+
+    The texts are not shuffled: a table of bits, one per key hash, tells each task which sets to send on; its size follows the number
+    of asked nodes up to ``MOST_BITS``, and the join on the whole key decides.
+    """
+    bits = 1 << 20
+    while bits < min(16 * asked.count(), MOST_BITS):
+        bits *= 2
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_table(asked.select(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long").alias("hash")), bits)))
 
     def run(batches):
+        known = np.unpackbits(shared.value, count=bits).astype(bool)
         for batch in batches:
-            ids, keys, seen = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
-            for hashes, at in shingle_sets(batch.column(1).to_pylist(), width):
+            for hashes, at in shingle_sets(batch.column(0).to_pylist(), width):
                 rows = []
                 for i in range(len(at) - 1):
                     members = hashes[at[i] : at[i + 1]].astype("<u8").tobytes()
-                    if hashlib.blake2b(members, digest_size=16).digest() == keys[seen + i]:
-                        rows.append((ids[seen + i], members))
-                seen += len(at) - 1
+                    key = _key(members)
+                    if known[int.from_bytes(key[:7], "big") & (bits - 1)]:
+                        rows.append((members, key))
                 if rows:
-                    node, members = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(members, pa.binary())], ["node", "members"])
+                    members, keys = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(keys, pa.binary())], ["members", "key"])
 
-    texts = _texts(docs).withColumnRenamed("doc_id", "id")
-    joined = texts.join(asked, texts.id.eqNullSafe(asked.doc_id)).select("node", "text", "key")
-    return joined.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
+    return _texts(docs).select("text").mapInArrow(run, "members binary, key binary").join(asked, "key").select("node", "members").dropDuplicates(["node"])
 
 
 def with_roots(rows: DataFrame, roots: DataFrame | None, name: str, out: str) -> DataFrame:
@@ -298,54 +384,26 @@ def with_roots(rows: DataFrame, roots: DataFrame | None, name: str, out: str) ->
 
 def node_components(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame | None:
     """(node, root) of the nodes that have a link; None without any link."""
-    base = written(orders(nodes), "orders")
-    roots: DataFrame | None = None
-    links: DataFrame | None = None
-
-    def across(pairs: DataFrame) -> DataFrame:
-        return with_roots(with_roots(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
-
-    def sets_of(asked: DataFrame) -> DataFrame:
-        asked = written(nodes.select("node", "doc_id", "key").join(asked, "node"), "asked")
-        return written(node_sets(docs, asked, width), "sets")
-
-    def link(chosen: DataFrame) -> bool:
-        nonlocal roots, links
-        ends = chosen.select(F.col("a").alias("node")).union(chosen.select(F.col("b").alias("node"))).distinct()
-        new = written(confirmed(chosen, sets_of(ends), similarity), "links")
-        if new.isEmpty():
-            return False
-        links = new if links is None else written(links.union(new), "links")
-        roots = connected_components(links)
-        return True
-
-    nothing = F.lit(None).cast("binary")
-    rows = base.withColumns({"comp": F.col("node"), "wide": nothing, "members": nothing})
-    pairs = written(window_pairs(rows, 0, NEIGHBOURS), "pairs")
-    for _ in range(FIRST_ROUNDS):  # each component's likeliest partner: most other pairs then lie inside a component
-        left = across(pairs)
-        ends = left.select("ra", "agree", "a", "b").union(left.select(F.col("rb").alias("ra"), "agree", "a", "b"))
-        best = ends.groupBy("ra").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        best = written(best, "candidates")
-        if best.isEmpty() or not link(best):
-            break
-        pairs = written(pairs.join(best, ["a", "b"], "left_anti"), "pairs")
-
-    low, high = 0, FIRST_REACH
-    while True:
-        head = F.substring("place", 1, 2 * DEPTH)
-        marked = with_roots(base, roots, "node", "comp").withColumn("head", head)
-        runs = marked.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-        runs = written(runs.where((F.col("size") > low + 1) & (F.col("x") != F.col("y"))).select("tree", "head"), "mixed-runs")
-        if runs.isEmpty():
-            return roots
-        inside = written(marked.join(runs, ["tree", "head"]).select("tree", "place", "node", "n", "comp"), "mixed-rows")
-        known = sets_of(inside.select("node").distinct()).select("node", F.substring("members", 1, 8 * BOTTOM).alias("members"))
-        rows = inside.join(known.join(nodes.select("node", "wide"), "node"), "node")
-        found = written(window_pairs(rows, low, high, similarity).select("a", "b"), "candidates")
-        if not found.isEmpty():
-            link(found)
-        low, high = high, 16 * high
+    pairs, run_rows = sorted_neighbours(orders(nodes))
+    run_rows = written(run_rows, "run-rows")
+    light = nodes.select("node", "n", "key", "wide", "narrow")
+    shared = written(light.join(run_rows.select("node").distinct(), "node"), "shared-nodes")
+    sets = written(node_sets(docs, shared.select("node", "key"), width), "sets")
+
+    # every node tries the neighbour that agrees best: most runs then hold one component
+    ends = pairs.select(F.col("a").alias("node"), "agree", "a", "b").union(pairs.select(F.col("b").alias("node"), "agree", "a", "b"))
+    best = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    links = written(confirmed(best, sets, similarity), "links")
+    roots = connected_components(links)
+
+    marked = with_roots(run_rows, roots, "node", "comp")
+    runs = marked.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    mixed = written(marked.join(runs.where("low <> high").select("tree", "head", "size"), ["tree", "head"]), "mixed-runs")
+    known = sets.select("node", F.substring("members", 1, 8 * BOTTOM).alias("members"))
+    rows = mixed.join(shared.drop("key"), "node").join(known, "node")
+    across = written(pairs_across(rows, similarity).distinct(), "candidates")
+    more = written(confirmed(across, sets, similarity), "links")
+    return connected_components(links.union(more)) if not more.isEmpty() else roots
 
 
 def components(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
