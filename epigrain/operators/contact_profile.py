@@ -3,10 +3,9 @@
 Scale values lie in [0, 1] and opening a gap costs 100, so for fragments no longer than the peptide the
 best placement never has a gap: the score is the maximum over offsets of the summed residue contacts.
 
-Plan: the sampled library is a parameter-sized table (lengths x seeds x libraries x depth), so it is
-counted, and while it is below ``MAX_LIBRARY_ROWS`` it travels to the executors once.  Peptides are then
-profiled, averaged over seeds and laid out wide inside one narrow Arrow-batched stage: no peptide-by-fragment
-row is ever shuffled.  A larger library takes the long route of :func:`profile_long`.
+Plan: the sampled library holds at most lengths x seeds x libraries x ``depth`` rows, all of them parameters, so it has a size
+bound that does not depend on the data and travels to the executors once.  Peptides are then profiled, averaged over seeds and
+laid out wide inside one narrow Arrow-batched stage: no peptide-by-fragment row is ever written or shuffled.
 """
 
 from __future__ import annotations
@@ -20,14 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.alphabet import AMINO_ACIDS
-from ..functions.distribution import MAD_SCALE, TRIM, distribution_stats
+from ..functions.distribution import MAD_SCALE, TRIM
 from ..functions.names import CPP, CPP_STATS, FeatureName, base_scale
 from ..session import spread
 from .fragments import library_sample
 
-MAX_LIBRARY_ROWS = 4_000_000
 MAX_SCALES = 2_000
-CHUNK = 5_000
 # Scores worked on at once, and the spread below which scores count as equal.
 CELLS = 1_000_000
 CONSTANT_SPREAD = 1e-12
@@ -193,9 +190,9 @@ def _prepare(library, scales, depth, libraries, seeds, scale_ids, frag_lens, fea
     return pairs, matrices, library_sample(needed, depth)
 
 
-def _collect_library(sample: DataFrame) -> SampledLibrary | None:
-    rows = sample.select("library", "frag_len", "seed", "fragment").limit(MAX_LIBRARY_ROWS + 1).collect()
-    return None if len(rows) > MAX_LIBRARY_ROWS else SampledLibrary(rows)
+def _collect_library(sample: DataFrame) -> SampledLibrary:
+    """The sampled rows; their number is bounded by the sampling parameters."""
+    return SampledLibrary(zip(*sample.select("library", "frag_len", "seed", "fragment").toArrow().to_pydict().values()))
 
 
 STAT_SCHEMA = T.StructType(
@@ -224,10 +221,7 @@ def cpp_stats(
 ) -> DataFrame:
     """Eleven statistics per (peptide, scale, length, library, seed)."""
     pairs, matrices, sample = _prepare(library, scales, depth, libraries, seeds, scale_ids, frag_lens, feature_set)
-    sampled = _collect_library(sample)
-    if sampled is None:
-        return profile_long(peptides, sample, pairs, matrices, depth)
-    shared = peptides.sparkSession.sparkContext.broadcast((sampled, matrices))
+    shared = peptides.sparkSession.sparkContext.broadcast((_collect_library(sample), matrices))
 
     def run(batches):
         lib, mats = shared.value
@@ -269,16 +263,13 @@ def cpp_features(
     """
     pairs, matrices, sample = _prepare(library, scales, depth, libraries, seeds, scale_ids, frag_lens, feature_set)
     names = cpp_feature_names(pairs, feature_set)
-    sampled = _collect_library(sample)
-    if sampled is None:
-        return features_from_stats(profile_long(peptides, sample, pairs, matrices, depth), names)
     slot = {name: i for i, name in enumerate(names)}
-    shared = peptides.sparkSession.sparkContext.broadcast((sampled, matrices))
+    shared = peptides.sparkSession.sparkContext.broadcast((_collect_library(sample), matrices))
+    step = max(1, CELLS // max(1, len(names)))
 
     def run(batches):
         lib, mats = shared.value
-        for pdf in batches:
-            sequences = pdf["peptide"]
+        for sequences in (pdf["peptide"].iloc[i : i + step] for pdf in batches for i in range(0, len(pdf), step)):
             sums: dict[str, np.ndarray] = {}
             seen: dict[str, np.ndarray] = {}
             for rows, scale, n, name, _seed, stats in lib.profile(sequences, pairs, mats):
@@ -305,60 +296,3 @@ def cpp_features(
         "library",
         *[F.when(~F.isnan(value[i]), value[i]).alias(name) for i, name in enumerate(names)],
     )
-
-
-def features_from_stats(stats: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Melt, mean over seeds, pivot with an explicit value list: the route for a long statistics table."""
-    long = stats.unpivot(
-        ["peptide", "aaindex_id", "frag_len", "frag_depth", "library", "seed"], list(CPP_STATS), "stat", "value"
-    )
-    feature = F.concat_ws("_", F.lit(CPP), "aaindex_id", "stat", F.col("frag_len").cast("string"))
-    return (
-        long.withColumn("feature", feature)
-        .groupBy("peptide", "frag_depth", "library")
-        .pivot("feature", list(names))
-        .agg(F.avg("value"))
-    )
-
-
-def profile_long(
-    peptides: DataFrame, sample: DataFrame, pairs, matrices: dict[str, np.ndarray], depth: int
-) -> DataFrame:
-    """Statistics for a library too large to ship: chunked scoring, then distributed order statistics.
-
-    The library is cut into chunks of ``CHUNK`` fragments; peptides meet the chunks through an equi-join on
-    the chunk number, scores leave each task as (score, multiplicity), and the statistics are taken with
-    bucketed running totals, so no (peptide, scale) distribution is held in one place.
-    """
-    size = sample.count()
-    n_chunks = max(1, -(-size // CHUNK))
-    chunked = (
-        sample.withColumn("_chunk", F.pmod(F.xxhash64("library", "frag_len", "seed", "id"), F.lit(n_chunks)))
-        .groupBy("_chunk", "library", "frag_len", "seed")
-        .agg(F.collect_list("fragment").alias("fragments"))
-    )
-    by_length: dict[int, list[str]] = {}
-    for scale, n in pairs:
-        by_length.setdefault(n, []).append(scale)
-    left = peptides.select("peptide").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    left = left.withColumn("_chunk", F.col("_chunk").cast("long"))
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for p, library, n, seed, fragments in zip(
-                pdf["peptide"], pdf["library"], pdf["frag_len"], pdf["seed"], pdf["fragments"]
-            ):
-                if n > len(p):
-                    continue
-                codes = np.stack([encode(f) for f in fragments])
-                for scale in by_length[n]:
-                    values = gapless_scores(encode(p)[None, :], codes, matrices[scale])[0]
-                    rows.extend((p, scale, n, library, seed, float(v)) for v in values)
-            yield pd.DataFrame(rows, columns=["peptide", "aaindex_id", "frag_len", "library", "seed", "score"])
-
-    scores = left.join(chunked, "_chunk").mapInPandas(
-        run, "peptide string, aaindex_id string, frag_len int, library string, seed int, score double"
-    )
-    stats = distribution_stats(scores, ["peptide", "aaindex_id", "frag_len", "library", "seed"], "score")
-    return stats.withColumn("frag_depth", F.lit(depth)).select(*STAT_SCHEMA.names)

@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     ingest_queries,
     model_queries,
     profile_queries,
+    scan_queries,
     sequence_queries,
     source_queries,
 )

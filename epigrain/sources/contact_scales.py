@@ -26,8 +26,10 @@ def read_pair_table(spark: SparkSession, path: str) -> DataFrame:
 def contact_matrices(pairs: DataFrame) -> DataFrame:
     """(aaindex_id, aa1, aa2, value): mirrored, rescaled, plus ``<id>inv`` built from negated values.
 
-    A pair given in both orientations keeps its own value; a missing orientation takes the other's.
+    A pair given in both orientations keeps its own value; a missing orientation or an empty cell
+    takes the other's.
     """
+    pairs = pairs.where(F.col("value").isNotNull())
     given = pairs.select("aaindex_id", "pair", "value", F.lit(0).alias("_prio"))
     mirrored = pairs.select("aaindex_id", F.reverse("pair").alias("pair"), "value", F.lit(1).alias("_prio"))
     full = keep_first(given.unionByName(mirrored), ["aaindex_id", "pair"], ["_prio"])
