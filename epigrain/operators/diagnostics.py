@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import null_safe_join
+from ..functions.joins import join_groups, null_safe_join
 from ..functions.ordered import quantile_terms, running_totals
 from ..functions.special import beta_quantile
 
@@ -93,7 +93,7 @@ def cum_gain_at(gain: DataFrame, level: float = GAIN_LEVEL, window: int = GAIN_W
     """
     distance = F.pow(F.col("cum_event_pct") - level, F.lit(2.0))
     nearest = gain.groupBy("group").agg(F.min_by("point", F.struct(distance, F.col("point"))).alias("_near"))
-    local = null_safe_join(gain, nearest, ["group"]).where(F.abs(F.col("point") - F.col("_near")) <= window)
+    local = join_groups(gain, nearest, ["group"]).where(F.abs(F.col("point") - F.col("_near")) <= window)
     heights = local.groupBy("group", "cum_event_pct").agg(
         F.avg("cum_tested_pct").alias("_x"), F.count("*").alias("_n")
     )

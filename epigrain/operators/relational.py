@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import null_safe_join
+from ..functions.joins import join_groups
 from ..functions.ordered import exact_quantiles
 
 MAX_VENN_SETS = 5
@@ -15,7 +15,10 @@ MAX_DUMMY_COLUMNS = 10_000
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """First row per key in an explicit order, as a map-side-combined minimum instead of a sorted window."""
+    """First row per key in an explicit order, as a minimum that is taken before the shuffle and after it.
+
+    A record has no fixed width, so both steps sort their rows by key; what is shuffled is one row per key and task.
+    """
     order_key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     rest = [c for c in df.columns if c not in keys]
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order_key).alias("_first"))
@@ -72,9 +75,10 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
 def sort_by_median(df: DataFrame, group: str, value: str, descending: bool = False) -> DataFrame:
     """All rows with their group's exact median, ordered by it."""
     medians = exact_quantiles(df, [group], value, {"group_median": 0.5})
-    joined = null_safe_join(df, medians, [group])
+    joined = join_groups(df, medians, [group])
     order = F.col("group_median").desc() if descending else F.col("group_median").asc()
-    return joined.orderBy(order, group)
+    # the value spreads a large group over the ranges of the sort
+    return joined.orderBy(order, group, value)
 
 
 def fast_unique(df: DataFrame, column: str) -> DataFrame:
@@ -99,7 +103,7 @@ def venn_regions(df: DataFrame, item: str, set_name: str, sets: Sequence[str]) -
 def rescale(df: DataFrame, keys: Sequence[str], value: str, out: str = "rescaled") -> DataFrame:
     """Min-max rescale to [0, 1] within ``keys``; a constant group maps to 0.5."""
     spans = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    joined = null_safe_join(df, spans, list(keys))
+    joined = join_groups(df, spans, list(keys))
     scaled = F.when(F.col("_hi") == F.col("_lo"), F.lit(0.5)).otherwise(
         (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     )

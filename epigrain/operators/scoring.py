@@ -13,10 +13,12 @@ maximum), so raw values are used.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,61 +68,79 @@ def class_weights(df: DataFrame, label: str = "immunogenicity") -> DataFrame:
 
 @dataclass
 class Forest:
-    """Trees of all (seed, fold) models; trees are heap-indexed: node i has children 2i+1 and 2i+2."""
+    """Trees of all (seed, fold) models in one node table. The first nodes are the roots, in tree order; an inner node's children are
+    ``left`` and ``left + 1``; a leaf has feature -1."""
 
     features: list[str]
     models: list[tuple[int, int]]
     trees_per_model: int
     feature: np.ndarray
     threshold: np.ndarray
+    left: np.ndarray
     prob: np.ndarray
+    tree: np.ndarray
+
+    @classmethod
+    def planted(cls, features: list[str], models: list[tuple[int, int]], trees_per_model: int) -> "Forest":
+        n = len(models) * trees_per_model
+        return cls(
+            features, models, trees_per_model, np.full(n, -1, np.int32), np.zeros(n), np.full(n, -1, np.int64),
+            np.full(n, 0.5), np.arange(n),
+        )
+
+    @property
+    def n_trees(self) -> int:
+        return len(self.models) * self.trees_per_model
 
     def model_of_tree(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.models)), self.trees_per_model)
 
     def nodes(self, x: np.ndarray) -> np.ndarray:
         """The node each row reaches in each tree."""
-        n, trees = len(x), len(self.feature)
-        at = np.zeros((n, trees), dtype=np.int64)
-        rows, cols = np.arange(n)[:, None], np.arange(trees)[None, :]
+        at = np.tile(np.arange(self.n_trees), (len(x), 1))
+        rows = np.arange(len(x))[:, None]
         while True:
-            f = self.feature[cols, at]
+            f = self.feature[at]
             inner = f >= 0
             if not inner.any():
                 return at
-            right = x[rows, np.where(inner, f, 0)] >= self.threshold[cols, at]
-            at = np.where(inner, 2 * at + 1 + right, at)
+            right = x[rows, np.where(inner, f, 0)] >= self.threshold[at]
+            at = np.where(inner, self.left[at] + right, at)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Mean positive probability per row and model."""
-        reached = self.prob[np.arange(len(self.prob))[None, :], self.nodes(x)]
-        return reached.reshape(len(x), len(self.models), self.trees_per_model).mean(axis=2)
+        return self.prob[self.nodes(x)].reshape(len(x), len(self.models), self.trees_per_model).mean(axis=2)
+
+    def split(self, nodes: np.ndarray, feature: np.ndarray, threshold: np.ndarray, prob: np.ndarray) -> np.ndarray:
+        """Give nodes two children each; ``prob`` has a column per child. Returns the numbers of the left children."""
+        left = len(self.feature) + 2 * np.arange(len(nodes))
+        self.feature[nodes], self.threshold[nodes], self.left[nodes] = feature, threshold, left
+        n = 2 * len(nodes)
+        self.feature = np.concatenate((self.feature, np.full(n, -1, np.int32)))
+        self.threshold = np.concatenate((self.threshold, np.zeros(n)))
+        self.left = np.concatenate((self.left, np.full(n, -1, np.int64)))
+        self.prob = np.concatenate((self.prob, prob.reshape(-1)))
+        self.tree = np.concatenate((self.tree, np.repeat(self.tree[nodes], 2)))
+        return left
 
     def to_table(self, spark: SparkSession) -> DataFrame:
-        """One row per tree, for saving as Parquet."""
-        owner = self.model_of_tree()
-        rows = [
-            (*self.models[owner[t]], t, self.feature[t].tolist(), self.threshold[t].tolist(), self.prob[t].tolist(), self.features)
-            for t in range(len(owner))
-        ]
-        return spark.createDataFrame(
-            rows,
-            "seed int, fold int, tree int, feature array<int>, threshold array<double>, prob array<double>, "
-            "names array<string>",
-        )
+        """One row per node, for saving as Parquet; the roots also carry the feature names."""
+        seed, fold = (np.array(m)[self.model_of_tree()[self.tree]] for m in zip(*self.models))
+        names = [self.features if i < self.n_trees else None for i in range(len(self.feature))]
+        columns = {
+            "node": np.arange(len(self.feature)), "seed": seed, "fold": fold, "tree": self.tree, "feature": self.feature,
+            "threshold": self.threshold, "left": self.left, "prob": self.prob,
+        }
+        arrays = {k: pa.array(v) for k, v in columns.items()} | {"names": pa.array(names, pa.list_(pa.string()))}
+        return spark.createDataFrame(pa.table(arrays))
 
     @classmethod
     def from_table(cls, table: DataFrame) -> "Forest":
-        rows = table.orderBy("tree").collect()
-        models = list(dict.fromkeys((r["seed"], r["fold"]) for r in rows))
-        return cls(
-            list(rows[0]["names"]),
-            models,
-            len(rows) // len(models),
-            np.array([r["feature"] for r in rows], dtype=np.int32),
-            np.array([r["threshold"] for r in rows]),
-            np.array([r["prob"] for r in rows]),
-        )
+        rows = table.orderBy("node").toArrow().to_pydict()
+        roots = sum(n is not None for n in rows["names"])
+        models = list(dict.fromkeys(zip(rows["seed"][:roots], rows["fold"][:roots])))
+        arrays = [np.array(rows[c], t) for c, t in (("feature", np.int32), ("threshold", float), ("left", np.int64), ("prob", float), ("tree", np.int64))]
+        return cls(list(rows["names"][0]), models, roots // len(models), *arrays)
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
@@ -188,43 +208,37 @@ def train_models(
     feature_set: Sequence[str] | None = None,
     seeds: Sequence[int] = (1, 2, 3, 4, 5),
     n_trees: int = 500,
-    max_depth: int = 8,
+    max_depth: int | None = None,
     mtry: int = FEATURES_PER_SPLIT,
 ) -> tuple[Forest, DataFrame]:
     """Grow ``n_trees`` extremely randomised trees per (seed, fold); returns them and the training table.
 
-    ``max_depth`` bounds the model a driver holds: nodes per tree, not rows.
+    Trees grow until every leaf is pure or has no cut; ``max_depth`` stops them earlier, for trials. A fully grown forest has
+    at most two nodes per training row and tree, which the driver and the executors hold.
     """
     table, names = training_table(features, metadata, feature_set, seeds)
     models = [(s, k) for s in seeds for k in range(1, N_FOLDS + 1)]
-    n_models, total = len(models), len(models) * n_trees
-    owner = np.repeat(np.arange(n_models), n_trees)
     weights = _model_weights(table, seeds)
-    size = 2 ** (max_depth + 1) - 1
-    forest = Forest(
-        names, models, n_trees, np.full((total, size), -1, np.int32), np.zeros((total, size)), np.full((total, size), 0.5)
-    )
+    forest = Forest.planted(names, models, n_trees)
+    owner = forest.model_of_tree()
     rng = np.random.default_rng(list(seeds))
     tries = min(mtry, len(names))
     context = table.sparkSession.sparkContext
-    frontier = [(t, 0) for t in range(total)]
-    for _ in range(max_depth):
-        if not frontier:
-            break
-        slot = np.full((total, size), -1, np.int64)
-        for i, (t, node) in enumerate(frontier):
-            slot[t, node] = i
-        candidates = np.stack([rng.choice(len(names), tries, replace=False) for _ in frontier])
+    frontier = np.arange(forest.n_trees)
+    depth = 0
+    while len(frontier) and (max_depth is None or depth < max_depth):
+        slot = np.full(len(forest.feature), -1, np.int64)
+        slot[frontier] = np.arange(len(frontier))
+        candidates = rng.random((len(frontier), len(names))).argsort(axis=1)[:, :tries]
         draws = rng.random((len(frontier), tries))
-        # The tree prefix is copied so that broadcasts of earlier levels stay what they were.
-        grown = Forest(names, models, n_trees, forest.feature.copy(), forest.threshold.copy(), forest.prob.copy())
-        shared = context.broadcast((grown, slot, candidates, owner, weights))
+        # The node table is copied so that broadcasts of earlier levels stay what they were.
+        shared = context.broadcast((deepcopy(forest), slot, candidates, owner, weights))
         ranges = _level_ranges(table, shared, tries)
         low, high = ranges[:, :tries], ranges[:, tries:]
         cuts = low + (high - low) * draws
-        shared_cuts = context.broadcast(cuts)
-        sums = _level_sums(table, shared, shared_cuts, tries)
-        frontier = _split_nodes(forest, frontier, candidates, low, high, cuts, sums, tries, max_depth)
+        sums = _level_sums(table, shared, context.broadcast(cuts), tries)
+        frontier = _split_nodes(forest, frontier, candidates, low, high, cuts, sums, tries)
+        depth += 1
     return forest, table
 
 
@@ -253,12 +267,12 @@ def _level_ranges(table: DataFrame, shared, tries: int) -> np.ndarray:
         for t in range(len(owner)):
             seed_index, fold = divmod(int(owner[t]), N_FOLDS)
             rows = np.flatnonzero(folds[:, seed_index] != fold + 1)
-            order, ids, starts = _node_sums(nodes[rows, t], slot[t])
+            order, ids, starts = _node_sums(nodes[rows, t], slot)
             if not ids.size:
                 continue
             picked = rows[order]
-            slots = slot[t, ids]
-            cand = candidates[slot[t, nodes[picked, t]]]
+            slots = slot[ids]
+            cand = candidates[slot[nodes[picked, t]]]
             values = x[picked[:, None], cand]
             yield slots, np.hstack([np.fmin.reduceat(values, starts), -np.fmax.reduceat(values, starts)])
 
@@ -284,16 +298,16 @@ def _level_sums(table: DataFrame, shared, shared_cuts, tries: int) -> np.ndarray
         for t in range(len(owner)):
             seed_index, fold = divmod(int(owner[t]), N_FOLDS)
             rows = np.flatnonzero(folds[:, seed_index] != fold + 1)
-            order, ids, starts = _node_sums(nodes[rows, t], slot[t])
+            order, ids, starts = _node_sums(nodes[rows, t], slot)
             if not ids.size:
                 continue
             picked = rows[order]
-            slots_row = slot[t, nodes[picked, t]]
+            slots_row = slot[nodes[picked, t]]
             w = weights[owner[t], label[picked]]
             classes = np.stack([w * (label[picked] == 0), w * (label[picked] == 1)], axis=1)
             left = ~(x[picked[:, None], candidates[slots_row]] >= cuts[slots_row])
             sides = (left[:, :, None] * classes[:, None, :]).reshape(len(picked), 2 * tries)
-            yield slot[t, ids], np.add.reduceat(np.hstack([classes, sides]), starts)
+            yield slot[ids], np.add.reduceat(np.hstack([classes, sides]), starts)
 
     partial = _per_level(table, per_tree, len(shared.value[3]), np.add)
     rows = partial.groupBy("slot").agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(2 + 2 * tries)]).collect()
@@ -311,8 +325,8 @@ def _gini(weights: np.ndarray) -> np.ndarray:
     return total * 2 * p * (1 - p)
 
 
-def _split_nodes(forest, frontier, candidates, low, high, cuts, sums, tries, max_depth):
-    """Close pure nodes, give the others their best cut, and list the next level's open nodes."""
+def _split_nodes(forest, frontier, candidates, low, high, cuts, sums, tries):
+    """Close pure nodes, give the others their best cut, and return the next level's open nodes."""
     parent = sums[:, :2]
     left = sums[:, 2:].reshape(-1, tries, 2)
     right = np.maximum(parent[:, None, :] - left, 0.0)
@@ -320,21 +334,15 @@ def _split_nodes(forest, frontier, candidates, low, high, cuts, sums, tries, max
     usable = (high > low) & (left.sum(axis=2) > 0) & (right.sum(axis=2) > 1e-15)
     after = np.where(usable, after, np.inf)
     best = after.argmin(axis=1)
-    following = []
-    for i, (t, node) in enumerate(frontier):
-        weight = parent[i].sum()
-        if weight > 0:
-            forest.prob[t, node] = parent[i, 1] / weight
-        b = best[i]
-        if parent[i].min() <= 1e-15 or not np.isfinite(after[i, b]):
-            continue
-        forest.feature[t, node] = candidates[i, b]
-        forest.threshold[t, node] = cuts[i, b]
-        for child, side in ((2 * node + 1, left[i, b]), (2 * node + 2, right[i, b])):
-            forest.prob[t, child] = side[1] / side.sum()
-            if side.min() > 1e-15:
-                following.append((t, child))
-    return following
+    rows = np.arange(len(frontier))
+    weight = parent.sum(axis=1)
+    forest.prob[frontier] = np.where(weight > 0, parent[:, 1] / np.where(weight > 0, weight, 1), forest.prob[frontier])
+    grows = np.flatnonzero((parent.min(axis=1) > 1e-15) & np.isfinite(after[rows, best]))
+    b = best[grows]
+    sides = np.stack([left[grows, b], right[grows, b]], axis=1)
+    children = forest.split(frontier[grows], candidates[grows, b], cuts[grows, b], sides[:, :, 1] / sides.sum(axis=2))
+    mixed = sides.min(axis=2) > 1e-15
+    return (children[:, None] + np.arange(2))[mixed]
 
 
 def internal_scores(forest: Forest, table: DataFrame) -> DataFrame:
@@ -343,7 +351,7 @@ def internal_scores(forest: Forest, table: DataFrame) -> DataFrame:
     seeds = list(dict.fromkeys(s for s, _ in forest.models))
 
     def run(batches):
-        for pdf in _pieces(batches, len(shared.value.feature)):
+        for pdf in _pieces(batches, shared.value.n_trees):
             scores = shared.value.scores(_matrix(pdf)).reshape(len(pdf), len(seeds), N_FOLDS)
             folds = np.vstack(pdf["folds"].to_numpy())
             held = np.take_along_axis(scores, (folds - 1)[:, :, None], axis=2)[:, :, 0]
@@ -407,7 +415,7 @@ def predict_external(forest: Forest, features: DataFrame, data: str | None = Non
     )
 
     def run(batches):
-        for pdf in _pieces(batches, len(shared.value.feature)):
+        for pdf in _pieces(batches, shared.value.n_trees):
             yield pdf[keys].assign(scores=list(shared.value.scores(_matrix(pdf))))
 
     schema = ", ".join(f"{k} {packed.schema[k].dataType.simpleString()}" for k in keys) + ", scores array<double>"

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash
-from ..functions.joins import null_safe_join
+from ..functions.joins import join_groups
 from ..functions.names import CPP, DESCRIPTOR, FeatureName, base_scale
 from ..functions.ordered import hash_rank
 from ..session import stage
@@ -58,7 +58,7 @@ def cluster_representative(metadata: DataFrame, seed: int) -> DataFrame:
     sizes = metadata.groupBy("immunogenicity").agg(F.count("*").alias("_n"))
     # When the classes are equally frequent the negatives count as the rarer one.
     tie = F.when(F.col("immunogenicity") == "Negative", 0).otherwise(1)
-    ranked = null_safe_join(metadata, sizes, ["immunogenicity"])
+    ranked = join_groups(metadata, sizes, ["immunogenicity"])
     order = F.struct(F.col("_n"), tie, seeded_hash(seed, F.col("peptide")), F.col("peptide"))
     payload = F.struct(*[c for c in metadata.columns if c != "cluster"])
     per_cluster = ranked.groupBy("cluster").agg(F.min_by(payload, order).alias("p"), F.min(order).alias("o"))
@@ -202,7 +202,7 @@ def cor_filter(prepared: Prepared, threshold: float = 0.75) -> Prepared:
 def with_class_weight(df: DataFrame, label: str = "immunogenicity") -> DataFrame:
     """Add numeric ``_label`` (1 positive) and the weight 1 / class size."""
     sizes = df.groupBy(label).agg((1.0 / F.count("*")).alias("_weight"))
-    return null_safe_join(df, sizes, [label]).withColumn("_label", (F.col(label) == "Positive").cast("double"))
+    return join_groups(df, sizes, [label]).withColumn("_label", (F.col(label) == "Positive").cast("double"))
 
 
 def forest_importance(df: DataFrame, names: Sequence[str], seed: int, n_trees: int = 100) -> list[tuple[str, float]]:

@@ -194,7 +194,7 @@ def q_prioritize_e2e(spark, sf_dir):
     """Train on labelled document words, then mutate, score, connect and rank every benchmark word."""
     settings = prioritization.Settings(
         frag_lens=(3, 4), depth=CPP_DEPTH, library="Weighted", feature_set=E2E_FEATURES, seeds=(1, 2), n_trees=4,
-        max_depth=4,
+        all_targets=False,  # only the ranked originals are returned
     )
     freq = stage(fragments.fragment_freq(receptors(spark, sf_dir), "cdr3b", (3, 4)))
     sampled = fragments.sample_weighted(freq, (3, 4), settings.seeds, 300)

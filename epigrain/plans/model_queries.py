@@ -215,7 +215,7 @@ def q_minimum_features(spark, sf_dir):
 def q_score_oof(spark, sf_dir):
     metadata = embedding_metadata(spark, sf_dir).drop("cluster")
     forest, rows = scoring.train_models(
-        embedding_features(spark, sf_dir), metadata, FEATURES, seeds=(1, 2), n_trees=5, max_depth=4
+        embedding_features(spark, sf_dir), metadata, FEATURES, seeds=(1, 2), n_trees=5
     )
     return scoring.summarize_scores(scoring.internal_scores(forest, rows))
 
@@ -224,7 +224,7 @@ def q_score_oof(spark, sf_dir):
 def q_predict_external(spark, sf_dir):
     metadata = embedding_metadata(spark, sf_dir).drop("cluster")
     features = embedding_features(spark, sf_dir)
-    forest, _ = scoring.train_models(features, metadata, FEATURES, seeds=(1,), n_trees=5, max_depth=4)
+    forest, _ = scoring.train_models(features, metadata, FEATURES, seeds=(1,), n_trees=5)
     external = table(spark, sf_dir, "embeddings").select(
         F.col("label").alias("data"),
         F.col("vec_id").cast("string").alias("peptide"),

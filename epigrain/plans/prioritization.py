@@ -26,8 +26,8 @@ class Settings:
     feature_set: Sequence[str] | None = None
     seeds: Sequence[int] = (1, 2, 3, 4, 5)
     n_trees: int = 500
-    max_depth: int = 8
-    all_targets: bool = False
+    max_depth: int | None = None
+    all_targets: bool = True
 
 
 def feature_table(
@@ -66,8 +66,9 @@ def prioritize_epitopes(
 ) -> DataFrame:
     """Ranked original peptides with their cluster average and escape potential.
 
-    Only originals are clustered unless ``all_targets`` asks for every mutant.  With ``out_dir`` the feature table
-    is resumable and the side tables are written there.
+    Every peptide's ego graph is clustered; without ``all_targets`` only those of the originals are, which gives the same ranked
+    rows.  With ``out_dir`` the feature table is resumable and the side tables are written there, cluster membership and cluster
+    features with the type of each peptide.
     """
     cfg = settings or Settings()
     spark = originals.sparkSession
@@ -106,11 +107,15 @@ def prioritize_epitopes(
     edges = stage(network.neighbor_weighted(pairs, slim, score="immunogenicity_score"))
     targets = None if cfg.all_targets else originals
     clusters = communities.ego_clusters(edges, slim, targets)
+    if out_dir is not None:
+        clusters = stage(clusters)
     measured = stage(communities.escape_potential(clusters))
     ranked = communities.prioritize(scores, measured, originals)
     if out_dir is not None:
         save_csv(scores, f"{out_dir}/scores")
         edges.write.mode("overwrite").parquet(f"{out_dir}/neighbor_network")
-        save_csv(measured, f"{out_dir}/cluster_features")
+        types = scores.select("peptide", "peptide_type")
+        clusters.join(types, "peptide", "left").write.mode("overwrite").parquet(f"{out_dir}/clusters")
+        save_csv(measured.join(types, "peptide", "left"), f"{out_dir}/cluster_features")
         save_csv(ranked, f"{out_dir}/summary")
     return ranked

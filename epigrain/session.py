@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the application ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on whose machines it is not installed."""
+    folder = Path(tempfile.mkdtemp(prefix="epigrain-package-"))  # on the driver; Spark copies the archive to the executors
+    package = Path(__file__).resolve().parent
+    spark.sparkContext.addPyFile(shutil.make_archive(str(folder / "epigrain"), "zip", package.parent, package.name))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it back.
 
@@ -44,6 +59,7 @@ def stage(df: DataFrame) -> DataFrame:
     costs a re-read, not the whole lineage.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    remove_at_end(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
