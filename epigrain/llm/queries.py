@@ -12,8 +12,9 @@ from .html_text import extract
 from .language import predict, train
 from .near_duplicates import components
 from .packing import pack
-from . import decontamination, site_quality
+from . import decontamination, site_quality, url_lists
 from . import quality_rules as rules
+from .shared import written
 from .token_files import token_digests
 from .warc import page_round_trip
 
@@ -141,3 +142,64 @@ def string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return site_quality.judge(docs, labels).select("doc_id", "p_low", "p_toxic", "kept")
+
+
+#: The pages have no dates: a capture is made on the day of its page_id in the year, and lists are derived from all hosts seen.
+LISTS_SQL = f"""
+WITH c AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 365)::INT AS fetched_at,
+        lower(regexp_extract(url, '{url_lists.HOST}', 1)) AS host, lower(regexp_extract(url, '{url_lists.PATH}', 1)) AS path FROM pages),
+h AS (SELECT host, min(page_id) AS lo, count(*) AS n FROM c WHERE host <> '' GROUP BY host),
+d AS (SELECT regexp_extract(host, '[^.]+[.][^.]+$') AS domain, min(page_id) AS lo FROM c WHERE host <> '' GROUP BY 1),
+f AS (SELECT host || '/' || split_part(path, '/', 2) || '/' AS dir, min(page_id) AS lo FROM c
+      WHERE host <> '' AND len(string_split(path, '/')) > 2 GROUP BY 1),
+e AS (SELECT 'hosts' AS list_name, false AS allows, host AS pattern, 'add' AS action, DATE '2024-01-01' + (lo % 200)::INT AS dated FROM h
+      UNION ALL SELECT 'hosts', false, host, 'remove', DATE '2024-01-01' + (lo % 200 + n % 90 + 1)::INT FROM h
+      UNION ALL SELECT 'hosts', false, host, 'add', DATE '2024-10-27' FROM h
+      UNION ALL SELECT 'domains', false, domain, 'add', DATE '2024-01-01' + (lo % 331)::INT FROM d WHERE domain <> ''
+      UNION ALL SELECT 'allowed', true, dir, 'add', DATE '2024-01-01' + (lo % 300)::INT FROM f
+      UNION ALL SELECT 'allowed', true, dir, 'remove', DATE '2024-01-01' + (lo % 300 + 45)::INT FROM f),
+i AS (SELECT list_name, allows, pattern, dated AS since, action,
+        lead(dated) OVER (PARTITION BY list_name, pattern ORDER BY dated) AS until
+      FROM (SELECT list_name, allows, pattern, dated, max(action) AS action FROM e GROUP BY ALL)),
+r AS (SELECT *, row_number() OVER () AS rid FROM c),
+m AS (SELECT rid, list_name, allows FROM r JOIN i ON i.action = 'add' AND fetched_at >= since AND (until IS NULL OR fetched_at < until)
+      AND host <> '' AND (host = pattern OR ends_with(host, '.' || pattern)
+        OR (contains(pattern, '/') AND starts_with(host || path, pattern)))),
+g AS (SELECT rid, count(*) FILTER (NOT allows) AS n_block, count(*) FILTER (allows) AS n_allow,
+        array_to_string(list_sort(list(DISTINCT list_name)), ',') AS lists FROM m GROUP BY rid)
+SELECT page_id, url, fetched_at, coalesce(n_block, 0) > 0 AND coalesce(n_allow, 0) = 0 AS blocked, coalesce(n_block, 0) AS n_block,
+    coalesce(n_allow, 0) AS n_allow, coalesce(lists, '') AS lists FROM r LEFT JOIN g USING (rid)
+"""
+
+
+def dated_lists(captures: DataFrame) -> DataFrame:
+    """List entries made from the hosts, registered domains and first directories of all captures."""
+    seen = captures.select("page_id", url_lists.host_of(F.col("url")).alias("host"), F.lower(F.regexp_extract("url", url_lists.PATH, 1)).alias("path")).where("host <> ''")
+    hosts = seen.groupBy("host").agg(F.min("page_id").alias("lo"), F.count(F.lit(1)).alias("n"))
+    domains = seen.groupBy(F.regexp_extract("host", "[^.]+[.][^.]+$", 0).alias("domain")).agg(F.min("page_id").alias("lo")).where("domain <> ''")
+    folders = seen.where(F.size(F.split("path", "/")) > 2)
+    folders = folders.groupBy(F.concat("host", F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2)), F.lit("/")).alias("dir")).agg(F.min("page_id").alias("lo"))
+
+    def entry(rows, name, allows, pattern, action, day):
+        at = F.expr(f"date_add(DATE '2024-01-01', cast({day} AS int))")
+        return rows.select(F.lit(name).alias("list_name"), F.lit(allows).alias("allows"), F.col(pattern).alias("pattern"), F.lit(action).alias("action"), at.alias("at"))
+
+    parts = [
+        entry(hosts, "hosts", False, "host", "add", "lo % 200"),
+        entry(hosts, "hosts", False, "host", "remove", "lo % 200 + n % 90 + 1"),
+        entry(hosts, "hosts", False, "host", "add", "300"),
+        entry(domains, "domains", False, "domain", "add", "lo % 331"),
+        entry(folders, "allowed", True, "dir", "add", "lo % 300"),
+        entry(folders, "allowed", True, "dir", "remove", "lo % 300 + 45"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("op6_temporal_url_lists", LISTS_SQL)
+def temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.expr("date_add(DATE '2024-01-01', cast(page_id % 365 AS int))")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_at"))
+    return url_lists.judge(captures, written(dated_lists(captures), "url-lists"))
