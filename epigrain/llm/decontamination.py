@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bit_table, written
-from .words import NOT_ALNUM, in_pieces, shingle_hashes, word_hashes
+from .words import NOT_ALNUM, in_pieces, shingle_hashes, slices_of, word_hashes
 
 LEAST = 5
 COVERAGE = 0.5
@@ -38,10 +38,12 @@ def _raw(texts: list[str | None]) -> list[bytes]:
     return [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
 
 
-def words_of(texts: list[str | None]):
-    raw = _raw(texts)
-    for a, b in in_pieces(raw):
-        yield word_hashes(raw[a:b], NOT_ALNUM)
+def words_of(texts: pa.Array):
+    """Word hashes of the texts of a column, some texts at a time."""
+    for some in slices_of(texts):
+        raw = _raw(some)
+        for a, b in in_pieces(raw):
+            yield word_hashes(raw[a:b], NOT_ALNUM)
 
 
 def seeds_of(words: np.ndarray, least: int) -> np.ndarray:
@@ -103,7 +105,7 @@ def item_words(benchmark: DataFrame, least: int) -> DataFrame:
         rows = count(TaskContext.get().partitionId() << 33)
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
-            for words, offsets in words_of(batch.column(1).to_pylist()):
+            for words, offsets in words_of(batch.column(1)):
                 got = [
                     (next(rows), ids[at + i], words[offsets[i] : offsets[i + 1]].tobytes())
                     for i in range(len(offsets) - 1)
@@ -141,7 +143,7 @@ def suspect_segments(docs: DataFrame, table: np.ndarray, least: int) -> DataFram
         rows = count(TaskContext.get().partitionId() << 33)
         for batch in batches:
             ids, at = batch.column(0), 0
-            for words, offsets in words_of(batch.column(1).to_pylist()):
+            for words, offsets in words_of(batch.column(1)):
                 n = len(offsets) - 1
                 hashes, places = shingle_hashes(words, offsets, least)
                 hit = known[(hashes & np.uint64(size - 1)).astype(np.int64)]

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import slices_of
+
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
 UNKNOWN = "und"
@@ -114,7 +116,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         texts_of: dict[str, int] = {}
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             by: dict[str, list[str]] = {}
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(name, []).append(t or "")
@@ -155,7 +157,11 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", out: tupl
 
     @F.arrow_udf("struct<name: string, score: double>")
     def judge(texts: pa.Array) -> pa.Array:
-        names, scores = shared.value.score(texts.to_pylist())
+        names, scores = [], []
+        for some in slices_of(texts):
+            name, score = shared.value.score(some)
+            names += name
+            scores += score
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["name", "score"])
 
     scored = docs.withColumn("_language", judge(F.col(text).cast("string")))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import bit_table, written
-from .words import distinct_per_text, in_pieces, mix, shingle_hashes, word_hashes
+from .words import distinct_per_text, in_pieces, mix, shingle_hashes, slices_of, word_hashes
 
 TREES, DEPTH = 20, 3
 VALUES = TREES * DEPTH
@@ -61,13 +61,13 @@ def _factors(n: int, seed: int = 20240229) -> np.ndarray:
     return np.random.default_rng(seed).integers(1 << 62, (1 << 63) - 1, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: list[str | None], width: int):
-    """The sorted distinct shingle hashes of each text."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    for a, b in in_pieces(raw):
-        words, offsets = word_hashes(raw[a:b])
-        hashes, at = distinct_per_text(*shingle_hashes(words, offsets, width))
-        yield hashes, at
+def shingle_sets(texts: pa.Array, width: int):
+    """The sorted distinct shingle hashes of each text of a column, some texts at a time."""
+    for some in slices_of(texts):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in some]
+        for a, b in in_pieces(raw):
+            words, offsets = word_hashes(raw[a:b])
+            yield distinct_per_text(*shingle_hashes(words, offsets, width))
 
 
 def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -92,7 +92,7 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
         rows = count(TaskContext.get().partitionId() << 33)
         for batch in batches:
             ids, done = batch.column(0), 0
-            for hashes, at in shingle_sets(batch.column(1).to_pylist(), width):
+            for hashes, at in shingle_sets(batch.column(1), width):
                 n = len(at) - 1
                 values = signatures(hashes, at)
                 wide, narrow = values.astype(">u2"), (values >> np.uint64(16)).astype(np.uint8)
@@ -360,7 +360,7 @@ def node_sets(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     def run(batches):
         known = np.unpackbits(shared.value, count=bits).astype(bool)
         for batch in batches:
-            for hashes, at in shingle_sets(batch.column(0).to_pylist(), width):
+            for hashes, at in shingle_sets(batch.column(0), width):
                 rows = []
                 for i in range(len(at) - 1):
                     members = hashes[at[i] : at[i + 1]].astype("<u8").tobytes()

@@ -116,7 +116,7 @@ def pack(
             rows.clear()
             return pa.RecordBatch.from_arrays(arrays, fields)
 
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 for doc_id, body in zip(ids[a:b], encode(texts[a:b]), strict=True):

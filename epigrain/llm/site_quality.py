@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .words import FOLD, NOT_ALNUM, SPACE, in_pieces, mix
+from .words import FOLD, NOT_ALNUM, SPACE, in_pieces, mix, slices_of
 
 BUCKETS = 1 << 20
 TRAINING_DOCS = 20_000
@@ -180,10 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, features_
     def marks_of(batch):
         return [np.array([-1 if x is None else x for x in batch.column(i).to_pylist()], dtype=int) for i in (0, 1)]
 
+    def small(batches):
+        return (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256))
+
     def count(batches):
         total = np.zeros((4, BUCKETS), dtype=np.int32)
         sizes = np.zeros(4, dtype=np.int64)
-        for batch in batches:
+        for batch in small(batches):
             marks = marks_of(batch)
             text, bucket = features(batch.column(2).to_pylist())
             for k in range(4):
@@ -212,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, features_
     wanted = docs.sparkSession.sparkContext.broadcast(places)
 
     def present(batches):
-        for batch in batches:
+        for batch in small(batches):
             marks = marks_of(batch)
             text, bucket = features(batch.column(2).to_pylist())
             at = np.minimum(np.searchsorted(wanted.value, bucket), len(wanted.value) - 1)
@@ -285,7 +288,8 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
     @F.arrow_udf("struct<low: double, toxic: double>")
     def evidence(texts: pa.Array) -> pa.Array:
-        low, toxic = model.value.evidence(texts.to_pylist()) if len(texts) else (np.empty(0), np.empty(0))
+        parts = [model.value.evidence(some) for some in slices_of(texts)]
+        low, toxic = np.concatenate(parts, axis=1) if parts else (np.empty(0), np.empty(0))
         return pa.StructArray.from_arrays([pa.array(low), pa.array(toxic)], ["low", "toxic"])
 
     renamed = rates.select(*[F.col(c).alias(f"_site_{c}") for c in rates.columns])

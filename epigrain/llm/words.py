@@ -13,7 +13,7 @@ _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
 
 #: Bytes of text handled at once, so that the arrays of a task stay small whatever an Arrow batch holds.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 500_000
 
 
 def _folding() -> np.ndarray:
@@ -110,6 +110,12 @@ def distinct_per_text(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     return hashes[keep], np.concatenate(([0], np.cumsum(counts)))
 
 
+def slices_of(column, rows: int = 256) -> Iterator[list]:
+    """The values of an Arrow column, some rows at a time, so that a batch is never held as Python objects whole."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 def in_pieces(texts: list[bytes], most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes together; one longer text is a range of its own."""
     start, size = 0, 0
