@@ -100,7 +100,7 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
     FROM comp""",
 )
 def q_compressed_to_dummy(spark, sf_dir):
-    return relational.compressed_to_dummy(_compressed(spark, sf_dir), "types", EVENT_TYPES)
+    return relational.compressed_to_dummy(_compressed(spark, sf_dir), "types")
 
 
 @query(
@@ -156,16 +156,18 @@ def q_fast_unique(spark, sf_dir):
 
 @query(
     "venn_regions",
-    """WITH m AS (SELECT user_id, bit_or(CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 4
-                  END) AS mask FROM events WHERE event_type IN ('click', 'purchase', 'error') GROUP BY 1)
-SELECT CAST(mask AS INTEGER) AS mask, count(*) AS n_items,
-       array_to_string(list_filter([CASE WHEN mask & 1 > 0 THEN 'click' END, CASE WHEN mask & 2 > 0 THEN 'purchase' END,
-         CASE WHEN mask & 4 > 0 THEN 'error' END], lambda s: s IS NOT NULL), '&') AS region
-FROM m GROUP BY mask""",
+    """WITH t AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS place FROM (SELECT DISTINCT event_type FROM events)),
+m AS (SELECT user_id, bit_or(1 << place::INT) AS mask FROM events JOIN t USING (event_type) GROUP BY 1),
+n AS (SELECT mask, count(*) AS n_items FROM m GROUP BY mask)
+SELECT CAST(mask AS INTEGER) AS mask, n_items,
+       (SELECT string_agg(event_type, '&' ORDER BY place) FROM t WHERE (mask >> place::INT) & 1 = 1) AS region
+FROM n""",
 )
 def q_venn_regions(spark, sf_dir):
+    """All event types that occur are the sets."""
     events = table(spark, sf_dir, "events")
-    return relational.venn_regions(events, "user_id", "event_type", ["click", "purchase", "error"])
+    found = sorted(r[0] for r in events.select("event_type").where("event_type IS NOT NULL").distinct().collect())
+    return relational.venn_regions(events, "user_id", "event_type", found)
 
 
 @query(
