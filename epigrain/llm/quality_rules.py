@@ -3,6 +3,7 @@
 Each line that holds a word is judged by itself:
 
 * punctuation: some word of the line ends a sentence (``.``, ``!``, ``?``, an ellipsis, then closing quotes or brackets at most);
+* symbols: at most one in ``SYMBOL_RATE`` of its word characters is one of ``SYMBOLS``;
 * navigation: fewer than ``MAX_SEPARATORS`` words of the line are bare separators such as ``|`` or ``>``;
 * boilerplate: the line has no notice phrase, or is long enough (``NOTICE_WORDS``) to be prose that mentions one.
 
@@ -29,6 +30,7 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MAX_SEPARATORS = 2
 NOTICE_WORDS = 25
+SYMBOL_RATE = 5
 MAX_LOST_PERCENT = 50
 
 SENTENCE_END = "[.!?…][\"'”’»)\\]]*([\\x20\\x09-\\x0D]|$)"
@@ -36,7 +38,7 @@ SEPARATOR_WORD = "(^|[\\x20\\x09-\\x0D])[|>»›·•/]+($|[\\x20\\x09-\\x0D])"
 NOTICE = (
     "(cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|all rights reserved|enable javascript|"
     "sign in|log in|sign up|subscribe (now|to)|click here|read more|skip to (main )?content|back to top|"
-    "share (this|on)|follow us|licensed under|released under the)"
+    "share (this|on)|follow us)"
 )
 WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -81,7 +83,8 @@ def line_fails(line: Column) -> Column:
     spaced = F.regexp_replace(line, SPACE_RUN, "  ")  # neighbouring separators then share no space
     separators = F.size(F.split(spaced, SEPARATOR_WORD)) - 1
     short = F.size(F.split(F.btrim(line, F.lit(SPACES)), SPACE_RUN)) < NOTICE_WORDS
-    return ~line.rlike(SENTENCE_END) | (separators >= MAX_SEPARATORS) | (F.lower(line).rlike(NOTICE) & short)
+    symbols = SYMBOL_RATE * (F.length(line) - without(line, SYMBOLS)) > without(line, SPACES)
+    return ~line.rlike(SENTENCE_END) | symbols | (separators >= MAX_SEPARATORS) | (F.lower(line).rlike(NOTICE) & short)
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -83,6 +83,7 @@ r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) A
 c AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM r) GROUP BY rid),
 g AS (SELECT w.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
         list_filter(lines, lambda l: regexp_matches(l, '{rules.SENTENCE_END.replace("'", "''")}')
+            AND {rules.SYMBOL_RATE} * (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) <= length(regexp_replace(l, '{rules.SPACE_RUN}', '', 'g'))
             AND len(regexp_extract_all(regexp_replace(l, '{rules.SPACE_RUN}', '  ', 'g'), '{rules.SEPARATOR_WORD}')) < {rules.MAX_SEPARATORS}
             AND NOT (regexp_matches(lower(l), '{rules.NOTICE}') AND len(regexp_extract_all(l, '{rules.WORD}+')) < {rules.NOTICE_WORDS})
         ) AS good FROM w LEFT JOIN c USING (rid)),

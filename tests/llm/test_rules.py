@@ -15,6 +15,7 @@ def plain(text):
         x
         for x in lines
         if re.search(rules.SENTENCE_END, x)
+        and rules.SYMBOL_RATE * sum(c in rules.SYMBOLS for c in x) <= sum(map(len, WORD.findall(x)))
         and len(re.findall(rules.SEPARATOR_WORD, re.sub(rules.SPACE_RUN, "  ", x))) < rules.MAX_SEPARATORS
         and not (re.search(rules.NOTICE, x.lower()) and len(WORD.findall(x)) < rules.NOTICE_WORDS)
     ]
@@ -38,7 +39,7 @@ def test_counts_and_verdicts_match_a_plain_version(documents):
     texts = [
         None, "", " \n\t", "one two", prose, prose + prose, prose * 3, "a b c d e " * 30, "word " * 4000,
         prose + "Home | About | Contact | Help\nAll rights reserved.\n", "Home | News | Sport\nA > B > C\n" + prose,
-        "no end of sentence in this line at all, it goes on\n" * 2 + prose, "x#*$%&|<> y", "été l'école № 5.\r\nÀ bientôt!\x0bOui… «oui.»\n",
+        "no end of sentence in this line at all, it goes on\n" * 2 + prose, "x#*$%&|<> y", "ab%%% cd*** ef. " * 9, "été l'école № 5.\r\nÀ bientôt!\x0bOui… «oui.»\n",
         "Accept cookies\n" + prose, "\x1cnot\x1ca space", "same line here.\nsame line here.\nother line here.",
     ]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "repeated id, with its own text. It has more than ten words in it.")]
