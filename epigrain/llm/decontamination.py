@@ -32,6 +32,8 @@ LEAST = 5
 COVERAGE = 0.5
 #: Bits of the table of seeds.
 TABLE_BITS = 1 << 23
+#: Places of equal seeds that are laid out at once within a pair.
+MATCHES = 1 << 20
 
 
 def _raw(texts: list[str | None]) -> list[bytes]:
@@ -53,6 +55,16 @@ def seeds_of(words: np.ndarray, least: int) -> np.ndarray:
     return shingle_hashes(words, np.array([0, len(words)]), least)[0].view(np.int64)
 
 
+def _joined(i: np.ndarray, j: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (start in item, start in segment, seeds), those that follow one another on a diagonal made one."""
+    along = np.lexsort((i, j - i))
+    i, j, lengths = i[along], j[along], lengths[along]
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (i[1:] != i[:-1] + lengths[:-1]) | (j[1:] != j[:-1] + lengths[:-1])
+    starts = np.flatnonzero(new)
+    return i[starts], j[starts], np.add.reduceat(lengths, starts) if len(starts) else lengths
+
+
 def tiles(item: np.ndarray, segments: list[np.ndarray], least: int = LEAST) -> list[tuple[int, int, int, int]]:
     """Greedy tiling of an item by the segments of a document: (start in item, segment, start in segment, length), longest first.
 
@@ -68,20 +80,22 @@ def tiles(item: np.ndarray, segments: list[np.ndarray], least: int = LEAST) -> l
         counts = high - low
         if not counts.any():
             continue
-        j = np.repeat(np.arange(len(theirs)), counts)
-        i = order[np.repeat(low, counts) + np.arange(len(j)) - np.repeat(np.cumsum(counts) - counts, counts)]
-        along = np.lexsort((i, j - i))
-        i, j = i[along], j[along]
-        new = np.ones(len(i), dtype=bool)
-        new[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
-        starts = np.flatnonzero(new)
-        lengths = np.diff(np.concatenate((starts, [len(i)]))) + least - 1
-        heap += [(-int(n), int(i[k]), s, int(j[k])) for k, n in zip(starts, lengths, strict=True)]
+        some, ends = [], np.cumsum(counts)
+        a = 0
+        while a < len(theirs):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + MATCHES, "right")))
+            n = counts[a:b]
+            j = np.repeat(np.arange(a, b), n)
+            i = order[np.repeat(low[a:b], n) + np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)]
+            some.append(_joined(i, j, np.ones(len(i), dtype=np.int64)))
+            a = b
+        i, j, lengths = _joined(*map(np.concatenate, zip(*some, strict=True)))
+        heap += zip((1 - least - lengths).tolist(), i.tolist(), [s] * len(i), j.tolist(), strict=True)
     heapq.heapify(heap)
     marked_item = np.zeros(len(item), dtype=bool)
     marked = [np.zeros(len(w), dtype=bool) for w in segments]
-    out = []
-    while heap:
+    out, left = [], len(item)
+    while heap and left >= least:
         n, i, s, j = heapq.heappop(heap)
         n = -n
         taken = marked_item[i : i + n] | marked[s][j : j + n]
@@ -89,6 +103,7 @@ def tiles(item: np.ndarray, segments: list[np.ndarray], least: int = LEAST) -> l
             marked_item[i : i + n] = True
             marked[s][j : j + n] = True
             out.append((i, s, j, n))
+            left -= n
             continue
         free = np.concatenate(([0], (~taken).astype(np.int8), [0]))
         edges = np.flatnonzero(np.diff(free))
@@ -122,15 +137,16 @@ def item_words(benchmark: DataFrame, least: int) -> DataFrame:
 
 
 def item_seeds(items: DataFrame, least: int) -> DataFrame:
-    """The distinct (seed, item) pairs."""
+    """The distinct (seed, item) pairs, and how often the seed occurs in the item."""
 
     def run(batches):
         for batch in batches:
             for item, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seeds = np.unique(seeds_of(np.frombuffer(body, np.uint64), least))
-                yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(np.full(len(seeds), item))], ["seed", "item"])
+                seeds, times = np.unique(seeds_of(np.frombuffer(body, np.uint64), least), return_counts=True)
+                arrays = [pa.array(seeds), pa.array(np.full(len(seeds), item)), pa.array(times, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["seed", "item", "times"])
 
-    return written(items.select("item", "words").mapInArrow(run, "seed long, item long"), "item-seeds")
+    return written(items.select("item", "words").mapInArrow(run, "seed long, item long, times long"), "item-seeds")
 
 
 def suspect_segments(docs: DataFrame, table: np.ndarray, least: int) -> DataFrame:
@@ -197,13 +213,13 @@ def tiled_pairs(pairs: DataFrame, least: int) -> DataFrame:
 
 def judge(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, contaminated, kept, item_id, matched_words, item_words) per document row; the last three are of the best covered
-    item and null without a shared seed."""
+    item and null where no item shares enough seeds to be covered to ``coverage``."""
     items = item_words(benchmark, least)
     seeds = item_seeds(items, least)
     rows = suspect_segments(docs, bit_table(seeds.select(F.col("seed").alias("hash")), TABLE_BITS), least)
     suspects = rows.where("starts IS NOT NULL")
-    pairs = suspects.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row", "item").agg(F.count(F.lit(1)).alias("shared"))
-    # a covered item shares a seed per tile at least; tiles of ``least`` words cover the fewest words per seed
+    pairs = suspects.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row", "item").agg(F.sum("times").alias("shared"))
+    # a tile of n words holds n - least + 1 places of shared seeds, so n <= least * places; a seed counts as often as the item has it
     sized = items.withColumn("size", (F.octet_length("words") / 8).cast("long"))
     pairs = pairs.join(sized, "item").where(F.col("shared") * least >= coverage * F.col("size") - least)
     full = pairs.join(suspects.select("row", F.col("words").alias("segments")), "row")

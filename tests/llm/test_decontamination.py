@@ -61,3 +61,25 @@ def test_planted_passages(spark, documents):
     assert dc.clean(docs, bench).columns == docs.columns
     assert dc.judge(docs, bench.limit(0)).where("kept").count() == 10
     assert dc.judge(documents([]), bench).count() == 0
+
+
+def test_an_item_that_repeats_itself(spark, documents):
+    refrain = " ".join(f"line{i}" for i in range(10))
+    items = [(1, " ".join([refrain] * 20)), (2, "ha " * 300)]
+    texts = {1: f"before it {items[0][1]} and after", 2: items[1][1] + "ho", 3: f"once only {refrain} and no more", 4: "ha " * 100 + "ho"}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = dc.judge(documents(texts.items()), bench)
+    bad = {r.doc_id: (r.item_id, r.matched_words, r.item_words) for r in got.where("contaminated").collect()}
+    assert bad == {1: (1, 200, 200), 2: (2, 300, 300)}
+
+
+def test_tiles_laid_out_in_parts(monkeypatch):
+    draw = random.Random(4)
+    cases = [([draw.randrange(3) for _ in range(40)], [draw.randrange(3) for _ in range(60)]) for _ in range(40)]
+
+    def all_tiles():
+        return [dc.tiles(np.array(a, np.uint64), [np.array(b, np.uint64)], 3) for a, b in cases]
+
+    whole = all_tiles()
+    monkeypatch.setattr(dc, "MATCHES", 7)
+    assert all_tiles() == whole
