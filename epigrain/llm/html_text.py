@@ -3,7 +3,9 @@
 A page is parsed once into text blocks, each with the hashes of the block-level subtrees around it. Spark counts, per host, on how
 many different pages each subtree occurs; subtrees that occur on many pages of their host are template, and their blocks go.
 Structure decides first where it can: parts that are never article text (menus, forms, scripts, notices, reader comments, ...)
-are skipped, and if a page marks its article or main part, only that part is read.
+are skipped, and if a page marks its article or main part, and most of its text is there, only that part is read. Names and forms
+are judged once the page is parsed: an element around the main part is never skipped, and one that holds more than a small share
+of the page's text is a wrapper, unless it is mostly links or its very name says so beside a marked article.
 
 Null html is an empty page, null url an empty host; empty pages give an empty text. Pages that repeat (the same blocks) count once
 per host, so copies of an article do not make it a template. Rows that repeat a page_id stay separate rows. Other columns are
@@ -29,6 +31,8 @@ TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.3
 #: Without a marked article, a block with more of its characters in links than this is a menu.
 LINK_SHARE = 0.6
+#: Elements that one name or tag marks as side matter hold no more than this share of a page's text together.
+SIDE_SHARE = 0.3
 #: Templates (16 bytes each and their host's name) that may be broadcast.
 BROADCAST_TEMPLATES = 500_000
 
@@ -39,6 +43,8 @@ PARSED = (
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "title", "audio", "video")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = set("nav footer aside form menu dialog button fieldset datalist label".split())
+#: Of these and of headers outside an article, no share of the text makes a wrapper.
+SURE = set("nav footer menu dialog button datalist header".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption "
@@ -74,52 +80,61 @@ def host_of(url: str | None) -> str:
     return found[1].lower().removeprefix("www.") if found else ""
 
 
-def _skips(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element and all in it is never article text."""
+def _reasons(tag: str, attrs: str, in_article: bool) -> set[str]:
+    """Why an element and all in it may be side matter: ``hidden``, ``sure``, or names; ``=`` stands before a name that is a whole
+    class or id."""
+    if tag in ("html", "body", "main"):
+        return set()
+    out = set()
     if tag in SKIP or (tag == "header" and not in_article):
-        return True
-    if not attrs or tag in ("html", "body", "main", "article") and "comment" not in attrs.lower():
-        return False
+        out.add("sure" if tag in SURE else tag)
+    if not attrs or tag == "article" and "comment" not in attrs.lower():
+        return out
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
+            out.add("hidden")
         if name == "role" and value in SKIP_ROLES:
-            return True
+            out.add(value)
         if name in ("class", "id"):
-            if SKIP_NAMES.intersection(re.split(r"[^a-z0-9]+", value)):
-                return True
-            if not in_article and HEAD_NAMES.intersection(value.split()):
-                return True
-    return False
+            out |= SKIP_NAMES.intersection(re.split(r"[^a-z0-9]+", value))
+            whole = value.split()
+            out.update("=" + w for w in SKIP_NAMES.intersection(whole))
+            if not in_article:
+                out |= HEAD_NAMES.intersection(whole)
+    return out
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "digest", "begin", "skipped", "main")
+    __slots__ = ("tag", "parent", "digest", "begin", "end", "reasons", "main", "chars", "linked", "skipped")
 
-    def __init__(self, tag, parent, begin, skipped, main):
-        self.tag, self.parent, self.begin, self.skipped, self.main = tag, parent, begin, skipped, main
+    def __init__(self, tag, parent, begin, reasons, main):
+        self.tag, self.parent, self.begin, self.reasons, self.main = tag, parent, begin, reasons, main
         self.digest: int | None = None
+        self.end, self.chars, self.linked, self.skipped = begin, 0, 0, False
+
+    def around(self):
+        node = self.parent
+        while node is not None:
+            yield node
+            node = node.parent
 
 
 class _Page:
-    """One pass over a page: blocks of text with the block-level elements around them, and a hash per such element."""
+    """One pass over a page: blocks of text with the block-level elements around them; then over its elements, to tell side matter."""
 
     def __init__(self):
-        root = _Node("html", None, 0, False, 0)
+        root = _Node("html", None, 0, set(), 0)
         self.stack = [root]
-        self.parts: list[str] = []
-        self.linked = 0
+        self.nodes = [root]  # parents come first
+        self.parts: list[tuple[str, _Node, bool]] = []  # text, innermost element, whether in a link
         self.links = 0
-        self.blocks: list[tuple[str, _Node, int, int]] = []  # text, innermost element, main rank, characters in links
+        self.blocks: list[tuple[list[tuple[str, _Node, bool]], _Node]] = []  # parts, innermost block-level element
 
     def flush(self) -> None:
         if self.parts:
-            text = " ".join(html.unescape("".join(self.parts)).split())
+            self.blocks.append((self.parts, self.holder()))
             self.parts = []
-            if text:
-                self.blocks.append((text, self.holder(), self.stack[-1].main, self.linked))
-            self.linked = 0
 
     def holder(self) -> _Node:
         return next(n for n in reversed(self.stack) if n.tag in BLOCK)
@@ -132,9 +147,7 @@ class _Page:
             node = self.stack.pop()
             if node.tag == "a":
                 self.links -= 1
-            if node.tag in BLOCK:
-                inside = "\n".join(b[0] for b in self.blocks[node.begin :])
-                node.digest = xxhash.xxh64_intdigest(f"{node.tag}\n{inside}".encode("utf-8", "surrogatepass")) - (1 << 63)
+            node.end = len(self.blocks)
 
     def find(self, tags: set[str], stops: set[str]) -> int | None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -156,22 +169,71 @@ class _Page:
         if tag in BLOCK:
             self.flush()
         above = self.stack[-1]
-        main = max(above.main, 2 if tag == "article" else 1 if tag == "main" or 'role="main"' in attrs else 0)
-        skipped = above.skipped or _skips(tag, attrs, above.main > 0)
+        reasons = _reasons(tag, attrs, above.main > 0)
+        marks = 2 if tag == "article" and not reasons else 1 if tag == "main" or 'role="main"' in attrs else 0
         if tag == "a":
             self.links += 1
-        self.stack.append(_Node(tag, above, len(self.blocks), skipped, main))
+        node = _Node(tag, above, len(self.blocks), reasons, max(above.main, marks))
+        self.stack.append(node)
+        self.nodes.append(node)
 
     def end(self, tag: str) -> None:
         if (i := self.find({tag}, {"table"} if tag not in ("table", "body", "html", "article", "main", "div") else set())) is not None:
             self.close(i)
 
     def text(self, raw: str) -> None:
-        if self.stack[-1].skipped or not raw:
+        if not raw:
             return
-        self.parts.append(raw)
+        node = self.stack[-1]
+        self.parts.append((raw, node, self.links > 0))
+        n = len(raw.strip())
+        node.chars += n
         if self.links:
-            self.linked += len(raw)
+            node.linked += n
+
+    def judge(self) -> int:
+        """Mark the elements that are side matter; the result is the rank of the blocks to read."""
+        for node in reversed(self.nodes[1:]):
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+        total = self.nodes[0].chars
+        marked = [n for n in self.nodes[1:] if n.main > n.parent.main]
+        shown = [n for n in marked if not any("hidden" in a.reasons for a in n.around())]
+        biggest = max(shown or marked, key=lambda n: n.chars, default=None)
+        spared = {id(n) for n in (biggest, *biggest.around())} if biggest else set()
+        named = [n for n in self.nodes if n.reasons and id(n) not in spared]
+        held: dict[str, int] = {}
+        for n in named:
+            if n.chars <= SIDE_SHARE * total:
+                above = set().union(*(a.reasons for a in n.around() if id(a) not in spared and a.chars <= SIDE_SHARE * total))
+                for r in n.reasons - above:
+                    held[r] = held.get(r, 0) + n.chars
+        for n in named:
+            n.skipped = (
+                "sure" in n.reasons
+                or "hidden" in n.reasons
+                or n.linked > LINK_SHARE * n.chars
+                or n.chars <= SIDE_SHARE * total and any(held[r] <= SIDE_SHARE * total for r in n.reasons)
+                or bool(biggest) and biggest not in n.around() and any(r[0] == "=" for r in n.reasons)
+            )
+        for n in self.nodes[1:]:
+            n.skipped = n.skipped or n.parent.skipped
+        # what is side matter within a marked part still speaks for that part
+        weight = [0, 0, 0]
+        for parts, _ in self.blocks:
+            for raw, node, _ in parts:
+                if not node.skipped or node.main and not self.top(node).skipped:
+                    weight[node.main] += len(raw.strip())
+        if not biggest or weight[1] + weight[2] < weight[0]:
+            return 0
+        return 2 if weight[2] >= weight[1] else 1
+
+    @staticmethod
+    def top(node: _Node) -> _Node:
+        """The outermost marked element around a node."""
+        while node.parent is not None and node.parent.main:
+            node = node.parent
+        return node
 
 
 def parse(source: str | None) -> list[tuple[str, list[int]]]:
@@ -198,10 +260,16 @@ def parse(source: str | None) -> list[tuple[str, list[int]]]:
     page.text(source[at:])
     page.flush()
     page.close(0)
-    rank = max((b[2] for b in page.blocks), default=0)
+    rank = page.judge()
+    texts = [" ".join(html.unescape("".join(raw for raw, n, _ in parts if not n.skipped)).split()) for parts, _ in page.blocks]
+    for node in page.nodes:
+        if node.tag in BLOCK:
+            inside = "\n".join(t for t in texts[node.begin : node.end] if t)
+            node.digest = xxhash.xxh64_intdigest(f"{node.tag}\n{inside}".encode("utf-8", "surrogatepass")) - (1 << 63)
     out = []
-    for text, node, main, linked in page.blocks:
-        if main < rank or rank == 0 and linked > LINK_SHARE * len(text):
+    for text, (parts, node) in zip(texts, page.blocks, strict=True):
+        linked = sum(len(raw) for raw, n, in_link in parts if in_link and not n.skipped)
+        if not text or max(n.main for _, n, _ in parts) < rank or rank == 0 and linked > LINK_SHARE * len(text):
             continue
         path, n = [], node
         while n is not None:

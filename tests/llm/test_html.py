@@ -18,6 +18,18 @@ def test_structure():
     assert len(text("<p>" + "long " * 100_000)) == 5 * 100_000 - 1
 
 
+def test_wrappers_are_no_side_matter():
+    story = " ".join(f"told{i}" for i in range(60))
+    for name in ('class="layout with-sidebar"', 'class="no-banner"', 'class="long-form"', 'id="form"'):
+        assert text(f'<div {name}><p>{story}</p><div class="sidebar">aside</div></div><footer>f</footer>') == story
+        assert text(f'<div {name}><article><p>short</p></article></div><p class="ad">{story}</p><nav>m</nav>') == "short"
+    assert text(f'<form id="aspnetForm"><nav>{story}</nav><div><p>{story}</p></div></form>') == story
+    assert text(f'<main><p>{story}</p><article class="card">A teaser</article></main><p>out</p>') == f"{story} A teaser"
+    assert text(f'<main><p>{story}</p></main><div class="related"><article>A teaser</article></div>') == story
+    assert text("".join(f'<div class="elementor-widget"><p>{story} {i}</p></div>' for i in range(9))).count("told0") == 9
+    assert text('<p>foo<b>bar</b> baz<span class="share">x</span>qux ' + story) == "foobar bazqux " + story
+
+
 def site(n, host):
     return [
         (i, f"http://{host}/p{i}", f"<body><div><p>Our site says hello</p><p>Find us there</p></div><div><p>Story {i} of {host}, told once.</p><p>Shared by two: {i // 2}.</p></div></body>")
