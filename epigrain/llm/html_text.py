@@ -1,14 +1,16 @@
 """Main text of web pages by site template removal.
 
 A page is parsed once into text blocks, each with the hashes of the block-level subtrees around it. Spark counts, per host, on how
-many different pages each subtree occurs; subtrees that occur on many pages of their host are template, and their blocks go.
+many different pages each subtree occurs, side matter included. Of those that recur, a subtree is template if it is on a share of
+the host's pages, or of the pages that have an element at its place (tags, classes and ids down to it: a layout), or if it is
+mostly links or side matter by structure on most of its pages. Blocks under template subtrees go.
 Structure decides first where it can: parts that are never article text (menus, forms, scripts, notices, reader comments, ...)
 are skipped, and if a page marks its article or main part, and most of its text is there, only that part is read. Names and forms
 are judged once the page is parsed: an element around the main part is never skipped, and one that holds more than a small share
 of the page's text is a wrapper, unless it is mostly links or its very name says so beside a marked article.
 
-Null html is an empty page, null url an empty host; empty pages give an empty text. Pages that repeat (the same blocks) count once
-per host, so copies of an article do not make it a template. Rows that repeat a page_id stay separate rows. Other columns are
+Null html is an empty page, null url an empty host; empty pages give an empty text. Pages whose longest blocks, of ``SAME_SHARE`` of
+their text, are the same count once per host, so copies of an article that differ in a date do not make it a template. Rows that repeat a page_id stay separate rows. Other columns are
 ignored. Nothing is cut, whatever the length of a page.
 """
 
@@ -26,18 +28,21 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: A subtree is template when it occurs on so many different pages of its host, and on this share of them.
+#: A subtree is template when it occurs on so many different pages of its host, and on this share of them or of those with its place.
 TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.3
 #: Without a marked article, a block with more of its characters in links than this is a menu.
 LINK_SHARE = 0.6
 #: Elements that one name or tag marks as side matter hold no more than this share of a page's text together.
 SIDE_SHARE = 0.3
+#: Pages are copies when their longest blocks, up to this share of the text to read, agree.
+SAME_SHARE = 0.9
 #: Templates (16 bytes each and their host's name) that may be broadcast.
 BROADCAST_TEMPLATES = 500_000
 
 PARSED = (
-    "key long, page_id long, url string, host string, page_hash long, blocks array<struct<text: string, path: array<long>>>"
+    "key long, page_id long, url string, host string, page_hash long, blocks array<struct<text: string, path: array<int>>>, "
+    "marks array<struct<subtree: long, place: long, side: boolean, read: boolean>>"
 )
 
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "title", "audio", "video")
@@ -105,12 +110,23 @@ def _reasons(tag: str, attrs: str, in_article: bool) -> set[str]:
     return out
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _names(attrs: str) -> str:
+    """Classes and ids, as far as they do not number the element."""
+    found = [m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id")] if attrs else []
+    return " ".join(w for v in found for w in v.split() if not any(c.isdigit() for c in w))
+
+
 class _Node:
-    __slots__ = ("tag", "parent", "digest", "begin", "end", "reasons", "main", "chars", "linked", "skipped")
+    __slots__ = ("tag", "parent", "place", "mark", "begin", "end", "reasons", "main", "chars", "linked", "skipped")
 
-    def __init__(self, tag, parent, begin, reasons, main):
+    def __init__(self, tag, parent, begin, reasons, main, names=""):
         self.tag, self.parent, self.begin, self.reasons, self.main = tag, parent, begin, reasons, main
-        self.digest: int | None = None
+        self.place = _hash(f"{parent.place if parent else ''} {tag} {names}")
+        self.mark: int | None = None
         self.end, self.chars, self.linked, self.skipped = begin, 0, 0, False
 
     def around(self):
@@ -173,7 +189,7 @@ class _Page:
         marks = 2 if tag == "article" and not reasons else 1 if tag == "main" or 'role="main"' in attrs else 0
         if tag == "a":
             self.links += 1
-        node = _Node(tag, above, len(self.blocks), reasons, max(above.main, marks))
+        node = _Node(tag, above, len(self.blocks), reasons, max(above.main, marks), _names(attrs))
         self.stack.append(node)
         self.nodes.append(node)
 
@@ -237,7 +253,15 @@ class _Page:
 
 
 def parse(source: str | None) -> list[tuple[str, list[int]]]:
-    """Blocks that may be article text, in page order, each with the hashes of the subtrees around it."""
+    """Blocks that may be article text, in page order, each with the places in ``marked(source)[1]`` of the subtrees around it."""
+    return marked(source)[0]
+
+
+def marked(source: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int, bool]]]:
+    """The blocks of ``parse``, and (hash, place, whether side matter or mostly links) of all subtrees with text, side matter too.
+
+    Each block of text is a subtree of its own, for it may stand beside text that changes.
+    """
     page, at = _Page(), 0
     source = source or ""
     while (m := _TOKEN.search(source, at)) is not None:
@@ -262,22 +286,44 @@ def parse(source: str | None) -> list[tuple[str, list[int]]]:
     page.close(0)
     rank = page.judge()
     texts = [" ".join(html.unescape("".join(raw for raw, n, _ in parts if not n.skipped)).split()) for parts, _ in page.blocks]
+    whole = [
+        text if not any(n.skipped for _, n, _ in parts) else " ".join(html.unescape("".join(raw for raw, _, _ in parts)).split())
+        for text, (parts, _) in zip(texts, page.blocks, strict=True)
+    ]
+    marks: list[tuple[int, int, bool]] = []
     for node in page.nodes:
-        if node.tag in BLOCK:
-            inside = "\n".join(t for t in texts[node.begin : node.end] if t)
-            node.digest = xxhash.xxh64_intdigest(f"{node.tag}\n{inside}".encode("utf-8", "surrogatepass")) - (1 << 63)
+        if node.tag in BLOCK and node.chars:
+            inside = "\n".join(t for t in whole[node.begin : node.end] if t)
+            node.mark = len(marks)
+            marks.append((_hash(f"{node.tag}\n{inside}"), node.place, node.skipped or node.linked > LINK_SHARE * node.chars))
     out = []
-    for text, (parts, node) in zip(texts, page.blocks, strict=True):
-        linked = sum(len(raw) for raw, n, in_link in parts if in_link and not n.skipped)
-        if not text or max(n.main for _, n, _ in parts) < rank or rank == 0 and linked > LINK_SHARE * len(text):
+    for text, all_text, (parts, node) in zip(texts, whole, page.blocks, strict=True):
+        if not all_text:
             continue
+        linked = sum(len(raw) for raw, n, in_link in parts if in_link and not n.skipped)
         path, n = [], node
         while n is not None:
-            if n.digest is not None:
-                path.append(n.digest)
+            if n.mark is not None:
+                path.append(n.mark)
             n = n.parent
+        if node.end - node.begin > 1:
+            path.append(len(marks))
+            marks.append((_hash(f"{node.tag}\n{all_text}"), node.place, not text or linked > LINK_SHARE * len(text)))
+        if not text or max(n.main for _, n, _ in parts) < rank or rank == 0 and linked > LINK_SHARE * len(text):
+            continue
         out.append((text, path))
-    return out
+    return out, marks
+
+
+def same_page(texts: list[str]) -> int:
+    """A hash of the longest texts that hold ``SAME_SHARE`` of all."""
+    left, some = SAME_SHARE * sum(map(len, texts)), []
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+        if left <= 0:
+            break
+        some.append(i)
+        left -= len(texts[i])
+    return _hash("\n".join(texts[i] for i in sorted(some)))
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
@@ -289,9 +335,12 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
             columns = [batch.column(i).to_pylist() for i in range(3)]
             rows, held = [], 0
             for page_id, url, source in zip(*columns, strict=True):
-                blocks = parse(source)
-                whole = xxhash.xxh64_intdigest("\n".join(t for t, _ in blocks).encode("utf-8", "surrogatepass")) - (1 << 63)
-                rows.append((next(keys), page_id, url, host_of(url), whole, [{"text": t, "path": p} for t, p in blocks]))
+                blocks, marks = marked(source)
+                whole = same_page([t for t, _ in blocks])
+                blocks = [{"text": t, "path": p} for t, p in blocks]
+                read = {i for b in blocks for i in b["path"]}
+                marks = [{"subtree": d, "place": at, "side": side, "read": i in read} for i, (d, at, side) in enumerate(marks)]
+                rows.append((next(keys), page_id, url, host_of(url), whole, blocks, marks))
                 held += len(source or "")
                 if held > 2_000_000:
                     yield _batch(rows)
@@ -305,12 +354,13 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, PARSED), "parsed-pages", "zstd")
 
 
-_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))]))
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int32()))]))
+_MARKS = pa.list_(pa.struct([("subtree", pa.int64()), ("place", pa.int64()), ("side", pa.bool_()), ("read", pa.bool_())]))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), _BLOCKS]
-    names = ["key", "page_id", "url", "host", "page_hash", "blocks"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), _BLOCKS, _MARKS]
+    names = ["key", "page_id", "url", "host", "page_hash", "blocks", "marks"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
@@ -324,18 +374,45 @@ def with_cuts(parsed: DataFrame, subtrees: DataFrame, templates: DataFrame, most
     return parsed.join(cut, "key", "left")
 
 
+def site_templates(parsed: DataFrame, least: int, share: float) -> DataFrame:
+    """(host, subtree) of the subtrees that are template. Only those on ``least`` page rows, and on any around a block that structure
+    leaves, are counted by different pages."""
+    marks = parsed.select("host", "page_hash", F.explode("marks").alias("m")).select("host", "page_hash", "m.*")
+    often = marks.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("rows"), F.max("read").alias("read"))
+    often = often.where("read").where(F.col("rows") >= least)
+    often = written(often.select("host", "subtree"), "often")
+    few = F.broadcast if often.count() <= BROADCAST_TEMPLATES else lambda df: df
+    seen = marks.join(few(often), ["host", "subtree"]).groupBy("host", "subtree", "place", "page_hash").agg(F.max("side").alias("side"))
+    seen = written(seen, "recurring")
+    on = seen.groupBy("host", "subtree", "page_hash").agg(F.max("side").alias("side"))
+    on = on.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"), F.count_if("side").alias("sides"))
+    hosts = parsed.select("host", "page_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    by_host = on.where(F.col("pages") >= least).join(hosts, "host")
+    by_host = by_host.where((F.col("pages") >= share * F.col("of")) | (2 * F.col("sides") > F.col("pages")))
+    at = seen.groupBy("host", "subtree", "place").agg(F.count(F.lit(1)).alias("pages"))
+    at = written(at.where(F.col("pages") >= least), "recurring-places")
+    places = at.select("host", "place").distinct()
+    few = F.broadcast if places.count() <= BROADCAST_TEMPLATES else lambda df: df
+    having = marks.select("host", "place", "page_hash").join(few(places), ["host", "place"]).distinct()
+    having = having.groupBy("host", "place").agg(F.count(F.lit(1)).alias("of"))
+    by_place = at.join(having, ["host", "place"]).where(F.col("pages") >= share * F.col("of"))
+    return by_host.select("host", "subtree").unionByName(by_place.select("host", "subtree")).distinct()
+
+
+def judged_blocks(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
+    """(page_id, url, blocks, kept) of every page row: the blocks that structure leaves, and those of them under no template."""
+    parsed = parsed_pages(pages)
+    templates = written(site_templates(parsed, least, share), "site-templates")
+    subtrees = parsed.select("key", "host", F.explode(F.array_distinct("marks.subtree")).alias("subtree"))
+    judged = with_cuts(parsed, subtrees, templates).withColumn("cut", F.array_intersect("marks.subtree", "cut"))
+    gone = F.transform("marks", lambda m, i: F.when(F.array_contains("cut", m["subtree"]), i))
+    judged = judged.withColumn("gone", F.filter(gone, lambda i: i.isNotNull()))
+    kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["path"], F.col("gone")))
+    return judged.select("page_id", "url", "blocks", kept.alias("kept"))
+
+
 def extract(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page row."""
-    parsed = parsed_pages(pages)
-    subtrees = parsed.select(
-        "key", "host", "page_hash", F.explode(F.array_distinct(F.flatten(F.col("blocks.path")))).alias("subtree")
-    )
-    seen = subtrees.select("host", "subtree", "page_hash").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
-    hosts = parsed.select("host", "page_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    often = seen.where(F.col("pages") >= least)
-    templates = often.join(hosts, "host").where(F.col("pages") >= share * F.col("of")).select("host", "subtree")
-    templates = written(templates, "site-templates")
-    judged = with_cuts(parsed, subtrees, templates)
-    kept = F.filter("blocks", lambda b: F.col("cut").isNull() | ~F.arrays_overlap(b["path"], F.col("cut")))
-    text = judged.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
+    text = F.array_join(F.transform("kept", lambda b: b["text"]), " ")
+    text = judged_blocks(pages, least, share).select("page_id", "url", text.alias("text"))
     return text.withColumn("n_chars", F.length("text").cast("long"))

@@ -54,3 +54,20 @@ def test_templates_go_by_host(spark, monkeypatch):
     assert texts[300, None] == texts[301, "http://a.example/"] == "" and texts[5, "http://a.example/x"] == "same id again"
     assert all(r[3] == len(r[2]) for r in got) and len(got) == len(rows)
     assert ht.extract(pages.limit(0)).count() == 0
+
+
+def test_templates_of_a_layout_and_near_copies(spark):
+    def page(i, layout, extra=""):
+        return f'<div class="{layout}"><div class="about">Text of layout {layout} here.</div>{extra}<p>Entry {i} of {layout} is told in these words.</p></div>'
+
+    rows = [(i, page(i, "wiki")) for i in range(60)] + [(100 + i, page(i, "shop")) for i in range(6)]
+    links = '<ul><li><a href="/a">All offers of the day</a></li></ul> Now: '
+    rows += [(200 + i, page(i, "wiki", links + str(i)).replace("of wiki is", "linked")) for i in range(6)]
+    copy = "<article><p>One story that many pages of this host tell again and again, word for word, whatever the counter below says of its readers.</p><p>seen {} times</p></article>"
+    rows += [(300 + i, copy.format(i)) for i in range(8)]
+    pages = spark.createDataFrame([(i, "http://a.example/", h) for i, h in rows], "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in ht.extract(pages).collect()}
+    assert texts[3] == "Entry 3 of wiki is told in these words."
+    assert texts[103] == "Entry 3 of shop is told in these words."
+    assert texts[203] == "Now: 3 Entry 3 linked told in these words."
+    assert texts[303].startswith("One story")
