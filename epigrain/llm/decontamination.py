@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are lower-cased runs of letters and digits. A document and an item that share a seed, a run of ``LEAST`` words, form a pair.
+Words are lower-cased runs of letters, digits and marks of any script; in scripts written without spaces (Chinese, Japanese, Thai,
+Lao, Khmer, Burmese, ...) each character is a word. A document and an item that share a seed, a run of ``LEAST`` words, form a pair.
 Within a pair the longest common run of words is marked on both sides, again and again, as long as an unmarked run of at least
 ``LEAST`` words is left; runs are found by Karp-Rabin hashes of width ``LEAST``. The marked share of the item is its coverage, so
 passages whose parts were moved around, or that have text in between, are found too. A document with an item covered to
@@ -17,6 +18,7 @@ table on either side contaminates nothing.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from itertools import count
 
 import numpy as np
@@ -36,8 +38,39 @@ TABLE_BITS = 1 << 23
 MATCHES = 1 << 20
 
 
+#: Names of characters of scripts without spaces between words begin so.
+UNSPACED = (
+    "CJK UNIFIED", "CJK COMPATIBILITY", "IDEOGRAPHIC", "HIRAGANA", "KATAKANA", "HENTAIGANA", "HALFWIDTH KATAKANA", "BOPOMOFO", "THAI", "LAO",
+    "KHMER", "MYANMAR", "TIBETAN", "YI ", "NEW TAI LUE", "TAI THAM", "TAI LE", "TAI VIET", "JAVANESE", "BALINESE", "NUSHU", "TANGUT",
+)
+
+
+class _Words(dict):
+    """For ``str.translate``: a space for what is in no word, spaces around characters that are words of their own."""
+
+    def __missing__(self, code: int):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind[0] not in "LNM":
+            # soft hyphens, joiners and the like are inside words and not seen
+            to = "" if kind == "Cf" else " "
+        elif code >= 0x0E00 and unicodedata.name(c, "").startswith(UNSPACED):
+            to = f" {c} " if kind[0] != "M" else c
+        else:
+            to = c
+        self[code] = to
+        return to
+
+
+_WORDS = _Words()
+
+
 def _raw(texts: list[str | None]) -> list[bytes]:
-    return [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    return [_spaced(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def _spaced(text: str) -> str:
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower().translate(_WORDS)
 
 
 def words_of(texts: pa.Array):

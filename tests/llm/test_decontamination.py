@@ -83,3 +83,17 @@ def test_tiles_laid_out_in_parts(monkeypatch):
     whole = all_tiles()
     monkeypatch.setattr(dc, "MATCHES", 7)
     assert all_tiles() == whole
+
+
+def test_words_of_all_scripts(spark, documents):
+    chinese, thai = "北京是中华人民共和国的首都，人口众多。", "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
+    dashed = "the well known author—born in “Lisbon”—wrote seven long novels"
+    items = [(1, chinese), (2, thai), (3, dashed)]
+    texts = {
+        1: "前言" + chinese + "后记", 2: "ก่อน" + thai, 3: dashed.replace("—", " - ").replace("“", '"').replace("”", '"'),
+        4: "上海很大", 5: "北京是很大的城市",
+    }
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = dc.judge(documents(texts.items()), bench)
+    assert {r.doc_id: r.item_id for r in got.where("contaminated").collect()} == {1: 1, 2: 2, 3: 3}
+    assert got.count() == 5
