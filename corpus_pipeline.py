@@ -31,13 +31,18 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays, and one row of it."""
-    judged = near_duplicates.components(docs, width=5, similarity=0.8)
-    kept = judged.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("_kept")
-    kept = written(kept, "kept-ids")
-    stay = docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept_id")))
-    once = stay.where("_rows = 1 OR doc_id IS NULL").select(*docs.columns)
-    return once.unionByName(stay.where("_rows > 1 AND doc_id IS NOT NULL").select(*docs.columns).dropDuplicates())
+    """Of near duplicates (five-word shingles, similarity 0.8) one row stays, with the smallest doc_id; null is the largest."""
+    once = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 OR doc_id IS NULL").isEmpty()
+    if once:
+        kept = near_duplicates.components(docs, width=5, similarity=0.8).where("kept").select(F.col("doc_id").alias("_kept_id"))
+        return docs.join(written(kept, "kept-ids"), F.col("doc_id") == F.col("_kept_id")).select(*docs.columns)
+    # ids do not tell the rows apart: numbers do, written so that they stay
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    judged = near_duplicates.components(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, similarity=0.8)
+    named = judged.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    kept = written(named.groupBy("component_id").agg(first.alias("_kept_row")).select("_kept_row"), "kept-rows")
+    return rows.join(kept, F.col("_row") == F.col("_kept_row")).select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,13 @@ def test_each_stage_stands_an_empty_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SMALL).count() == 0
+
+
+def test_one_row_of_each_group_stays_without_good_ids(spark, documents):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcd"]
+    rows = [(None, texts[0])] * 3 + [(7, texts[1]), (7, texts[2]), (3, texts[1]), (None, texts[2]), (None, texts[3]), (9, texts[3] + " end")]
+    got = corpus_pipeline.keep_one_of_each_group(spark, documents(rows), SMALL)
+    want = [(None, texts[0]), (3, texts[1]), (7, texts[2]), (9, texts[3] + " end")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    good = corpus_pipeline.keep_one_of_each_group(spark, documents([(1, texts[0]), (2, texts[0]), (5, texts[1])]), SMALL)
+    assert sorted(r.doc_id for r in good.collect()) == [1, 5]
