@@ -75,3 +75,19 @@ def test_unwanted_payloads_are_stepped_over(tmp_path):
 
 def test_empty_table(spark):
     assert warc.page_round_trip(pages_of(spark, [])).count() == 0
+
+
+def test_digests_of_foreign_archives(spark):
+    folder = new_folder(spark, "w")
+    warc.write_warc(pages_of(spark, ROWS), folder)
+    system, path = warc.open_filesystem(folder)
+    bodies = {1: b"", 2: b"WARC-Payload-Digest: md5:0123456789abcdef0123456789abcdef\r\n"}
+    with system.open_output_stream(f"{path}/foreign.warc.gz", compression=None) as out:
+        for i, line in bodies.items():
+            plain = warc.record("response", f"<f:{i}>", "u", None, hashlib.sha1(b"x").hexdigest(), 0, b"foreign")
+            head, _, rest = plain.partition(b"WARC-Payload-Digest:")
+            out.write(warc.member(head + line + rest.partition(b"\r\n")[2]))
+    archive = warc.read_warc(spark, folder)
+    want = warc.bare_digest(hashlib.sha1(b"foreign").digest())
+    assert {r.record_id for r in archive.where(F.col("payload_digest") == want).collect()} == {"<f:1>", "<f:2>"}
+    assert archive.where("payload_digest IS NULL").count() == 0
