@@ -2,12 +2,14 @@
 
 A tokenizer of the byte-pair kind treats the pieces between its word boundaries independently, so a text's ids are the ids of
 its pieces in order. Texts are cut only where a boundary is certain: at a single space or line feed between two characters
-that are not white space. Each distinct piece is encoded once per worker and kept in a bounded table.
+that are not white space. Each distinct piece is encoded once per worker and kept in a bounded table; a word with marks after it is the
+ids of the word and those of the marks, which byte-pair tokenizers always part.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 
@@ -20,16 +22,10 @@ _RARE_SPACES = "\t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 _PLAIN = re.compile(r"[^\s|\0]+")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-
-
-class _Kept(dict):
-    """Ids by piece; notes the pieces that are asked for and not there."""
-
-    def __init__(self):
-        self.unseen: list[str] = []
-
-    def __missing__(self, piece: str) -> None:
-        self.unseen.append(piece)
+#: Letters and marks that a tokenizer's word pattern parts; an apostrophe is none of them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_MARKED = re.compile(f"([{_LETTERS}]+)([,.;:!?%$#&*]*)")
+_CASES = " ".join(chr(c) for c in [*range(0x41, 0x5B), *range(0xC0, 0xDF)] if c != 0xD7)
 
 
 class PieceEncoder:
@@ -40,10 +36,15 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
-        self.kept = _Kept()
+        upper, lower = self.tokenizer.encode_batch_fast([_CASES, _CASES.lower()], add_special_tokens=False)
+        self.folds_case = upper.ids == lower.ids
+        self.kept: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
-        """A text's pieces. With ``keeps_space``, those after the first lack their space; one that begins with a line feed keeps it."""
+        """A text's pieces. With ``keeps_space``, those after the first lack their space; one that begins with a line feed keeps it.
+
+        The first one gets a space, with which no other begins, so it is told from the same word after a space.
+        """
         if not self.keeps_space:
             return text.replace("\n", " ").split(" ")
         pieces = text.replace("\n", " \n").split(" ")
@@ -51,13 +52,13 @@ class PieceEncoder:
             first, *rest = _CUT.split(text)
             pieces = [first, *[p[1:] if p[0] == " " else p for p in rest]]
         if pieces[0]:
-            pieces[0] = "\0" + pieces[0]  # tells a text's first piece from the same word after a space
+            pieces[0] = " " + pieces[0]
         return pieces
 
     def _singly(self, pieces: list[str]) -> dict[str, bytes]:
         asked = pieces
         if self.keeps_space:
-            asked = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in pieces]
+            asked = [p[1:] if p[:1] == " " else p if p[:1] == "\n" else " " + p for p in pieces]
         made = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
         return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, made, strict=True)}
 
@@ -79,25 +80,47 @@ class PieceEncoder:
         out = {p: raw[a:b] for p, a, b in zip(plain, begins, ends, strict=True)}
         return out | self._singly([p for p in pieces if p not in out])
 
+    def _new(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not kept, and of the words and marks they are made of."""
+        kept, apart, ask = self.kept, [], set()
+        for piece in pieces:
+            word = _MARKED.fullmatch(piece)
+            if not word:
+                ask.add(piece)
+                continue
+            letters, marks = word.groups()
+            if self.folds_case:
+                letters = letters.lower()
+            if letters not in kept:
+                ask.add(letters)
+            if marks:
+                marks = " " * self.keeps_space + marks
+                if marks not in kept:
+                    ask.add(marks)
+            if marks or letters != piece:
+                apart.append((piece, letters, marks))
+        new = self._together(list(ask))
+        for piece, letters, marks in apart:
+            ids = kept[letters] if letters in kept else new[letters]
+            new[piece] = ids + (kept[marks] if marks in kept else new[marks]) if marks else ids
+        return new
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; a null or empty text has none."""
-        kept, unseen = self.kept, self.kept.unseen
+        kept = self.kept
         pieces = [self._pieces(t) if t else [] for t in texts]
-        found: list[list | None] = []
-        for p in pieces:
-            before = len(unseen)
-            ids = list(map(kept.__getitem__, p))
-            found.append(ids if len(unseen) == before else None)
-        if unseen:
-            new = self._together(list(set(unseen)))
-            unseen.clear()
-            kept.update(new)
-            found = [list(map(kept.__getitem__, p)) if b is None else b for b, p in zip(found, pieces, strict=True)]
-            for p in [p for p in new if len(p) > LONGEST_KEPT]:
-                del kept[p]
+        flat = list(chain.from_iterable(pieces))
+        found = list(map(kept.get, flat))
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        if absent:
+            new = self._new({flat[i] for i in absent})
+            for i in absent:
+                found[i] = new[flat[i]]
+            kept.update(new if max(map(len, new)) <= LONGEST_KEPT else {p: x for p, x in new.items() if len(p) <= LONGEST_KEPT})
             if len(kept) > KEPT_PIECES:
                 kept.clear()
-        return [b"".join(b) for b in found]
+        ends = list(accumulate(map(len, pieces), initial=0))
+        return [b"".join(found[a:b]) for a, b in pairwise(ends)]
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}

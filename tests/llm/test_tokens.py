@@ -24,6 +24,8 @@ def plain_ids(path, texts):
 def test_pieces_give_the_ids_of_whole_texts(path, keeps_space):
     draw = random.Random(7)
     texts = ["".join(draw.choice(TRICKY) for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    texts += ["one two \0three four", "three", "\0three", "a \0", "\0 \0a", "Word, word. WORD!! ÉCOLE, école; it's, 's. #Ab &ab"]
+    texts += ["".join(draw.choice(["Ab", "ab", "É", "é", ",", "!!", ".", "'", " ", " ", "\0", "1", "ſ", "×"]) for _ in range(20)) for _ in range(2000)]
     texts += ["", " ", "\n", None, "word " * 500, "x" * 5000, "Some words, and more words.\nA line. " * 20]
     encoder = PieceEncoder(path, keeps_space)
     for _ in range(2):  # the second time from the kept pieces
