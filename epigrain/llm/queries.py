@@ -12,7 +12,7 @@ from .html_text import extract
 from .language import predict, train
 from .near_duplicates import components
 from .packing import pack
-from . import decontamination, site_quality, url_lists
+from . import decontamination, resampling, site_quality, spelling, url_lists
 from . import quality_rules as rules
 from .shared import written
 from .token_files import token_digests
@@ -204,3 +204,13 @@ def temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.expr("date_add(DATE '2024-01-01', cast(page_id % 365 AS int))")
     captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_at"))
     return url_lists.judge(captures, written(dated_lists(captures), "url-lists"))
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), slip_every=31))
+
+
+@query("op13_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
