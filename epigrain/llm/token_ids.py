@@ -8,6 +8,7 @@ ids of the word and those of the marks, which byte-pair tokenizers always part.
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import accumulate, chain, pairwise
 
@@ -27,6 +28,10 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _MARKED = re.compile(f"([{_LETTERS}]+)([,.;:!?%$#&*]*)")
 _CASES = " ".join(chr(c) for c in [*range(0x41, 0x5B), *range(0xC0, 0xDF)] if c != 0xD7)
 
+#: The letters that stand for bytes in byte-level tokenizers: printable Latin-1 for itself, the others from U+0100 on in order. Fixed values.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE) if b != 0x0A}
+
 
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids. ``keeps_space``: whether the tokenizer sees the space before a word."""
@@ -38,6 +43,9 @@ class PieceEncoder:
         self.keeps_space = keeps_space
         upper, lower = self.tokenizer.encode_batch_fast([_CASES, _CASES.lower()], add_special_tokens=False)
         self.folds_case = upper.ids == lower.ids
+        stated = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        steps = stated.get("pretokenizers", [stated])
+        self.byte_level = bool(steps) and steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space")
         self.kept: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
@@ -62,6 +70,14 @@ class PieceEncoder:
         made = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
         return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, made, strict=True)}
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters alone go straight to the tokenizer's model, as it would see them: in its letters for bytes, with their space."""
+        if not (self.byte_level and words):
+            return self._together(words)
+        space, tokenize = " " * self.keeps_space, self.tokenizer.model.tokenize
+        seen = "\n".join([space + w for w in words]).encode().decode("latin-1").translate(_BYTE_LETTERS).split("\n")
+        return {w: np.array([t.id for t in tokenize(x)], "<u4").tobytes() for w, x in zip(words, seen, strict=True)}
+
     def _together(self, pieces: list[str]) -> dict[str, bytes]:
         """Plain words are encoded as one text, parted by a token that none of them holds."""
         part = "\n " if self.keeps_space else " | "
@@ -82,7 +98,7 @@ class PieceEncoder:
 
     def _new(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that are not kept, and of the words and marks they are made of."""
-        kept, apart, ask = self.kept, [], set()
+        kept, apart, ask, words = self.kept, [], set(), set()
         for piece in pieces:
             word = _MARKED.fullmatch(piece)
             if not word:
@@ -92,14 +108,14 @@ class PieceEncoder:
             if self.folds_case:
                 letters = letters.lower()
             if letters not in kept:
-                ask.add(letters)
+                words.add(letters)
             if marks:
                 marks = " " * self.keeps_space + marks
                 if marks not in kept:
                     ask.add(marks)
             if marks or letters != piece:
                 apart.append((piece, letters, marks))
-        new = self._together(list(ask))
+        new = self._together(list(ask)) | self._words(list(words))
         for piece, letters, marks in apart:
             ids = kept[letters] if letters in kept else new[letters]
             new[piece] = ids + (kept[marks] if marks in kept else new[marks]) if marks else ids
