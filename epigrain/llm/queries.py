@@ -12,7 +12,7 @@ from .html_text import extract
 from .language import predict, train
 from .near_duplicates import components
 from .packing import pack
-from . import decontamination, resampling, site_quality, spelling, url_lists
+from . import decontamination, personal_data, resampling, site_quality, spelling, url_lists
 from . import quality_rules as rules
 from .shared import written
 from .token_files import token_digests
@@ -214,3 +214,9 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_importance_resampling")
 def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_personal_data")
+def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.find(docs, personal_data.train(docs))
