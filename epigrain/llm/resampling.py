@@ -35,8 +35,9 @@ from .shared import written
 from .words import in_pieces, slices_of
 
 BUCKETS = 10_000
-#: Words of the head, those of them whose pairs are kept, and the longest word of the head in bytes: they bound the broadcast.
-HEAD_WORDS, PAIR_WORDS, LONGEST_WORD = 65_536, 1_024, 60
+#: A head word is at least one in so many of all words, so there are at most so many; PAIR_WORDS of them have their pairs kept. With the
+#: longest word of the head in bytes they bound the broadcast.
+HEAD_WORDS, PAIR_WORDS, LONGEST_WORD = 1 << 18, 1_024, 60
 #: Distinct words that a counting task holds before it hands them on.
 HELD_WORDS = 200_000
 
@@ -49,7 +50,7 @@ def _tokens(texts: list[str | None]) -> list[list[bytes]]:
 
 
 def head_words(texts: DataFrame, most: int = HEAD_WORDS) -> list[bytes]:
-    """The most frequent words of all texts (ties: in byte order), counted over the whole table; at most ``most`` come to the driver."""
+    """Words that are at least one in ``most`` of all words, the most frequent first (ties: in byte order), counted over the whole table."""
 
     def count(batches):
         held: Counter = Counter()
@@ -68,8 +69,10 @@ def head_words(texts: DataFrame, most: int = HEAD_WORDS) -> list[bytes]:
         yield hand_on()
 
     counted = texts.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r.word) for r in top.select("word").collect()]
+    counts = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") * most >= total).collect() if most else []
+    return [bytes(r.word) for r in sorted(found, key=lambda r: (-r.n, bytes(r.word)))]
 
 
 def _shift_tables(longest: int) -> np.ndarray:
