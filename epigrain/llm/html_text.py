@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import tidy, written
 
 #: A subtree is template when it occurs on so many different pages of its host, and on this share of them or of those with its place.
 TEMPLATE_PAGES = 5
@@ -41,11 +41,13 @@ SAME_SHARE = 0.9
 BROADCAST_TEMPLATES = 500_000
 
 PARSED = (
-    "key long, page_id long, url string, host string, page_hash long, blocks array<struct<text: string, path: array<int>>>, "
-    "marks array<struct<subtree: long, place: long, side: boolean, read: boolean>>"
+    "key long, page_id long, url string, host string, page_hash long, blocks array<string>, "
+    "marks array<struct<subtree: long, place: long, side: boolean, read: boolean, first: int, past: int>>"
 )
 
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "title", "audio", "video")
+RAW = ("script", "style", "noscript", "iframe", "textarea", "title")
+#: What is in these is no text of the page either, but one that is never closed is an empty element.
+FILLED = ("template", "svg", "math", "select", "object", "canvas", "audio", "video")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = set("nav footer aside form menu dialog button fieldset datalist label".split())
 #: Of these and of headers outside an article, no share of the text makes a wrapper.
@@ -76,6 +78,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_FILLED_TAG = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in FILLED}
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -121,13 +124,14 @@ def _names(attrs: str) -> str:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "place", "mark", "begin", "end", "reasons", "main", "chars", "linked", "skipped")
+    __slots__ = ("tag", "parent", "place", "begin", "end", "reasons", "main", "chars", "linked", "skipped", "above", "under")
 
     def __init__(self, tag, parent, begin, reasons, main, names=""):
         self.tag, self.parent, self.begin, self.reasons, self.main = tag, parent, begin, reasons, main
         self.place = _hash(f"{parent.place if parent else ''} {tag} {names}")
-        self.mark: int | None = None
         self.end, self.chars, self.linked, self.skipped = begin, 0, 0, False
+        self.above: frozenset[str] = frozenset()  # reasons of small elements around
+        self.under = False  # whether the part to read lies around
 
     def around(self):
         node = self.parent
@@ -142,6 +146,7 @@ class _Page:
     def __init__(self):
         root = _Node("html", None, 0, set(), 0)
         self.stack = [root]
+        self.open: dict[str, int] = {}
         self.nodes = [root]  # parents come first
         self.parts: list[tuple[str, _Node, bool]] = []  # text, innermost element, whether in a link
         self.links = 0
@@ -161,11 +166,15 @@ class _Page:
             self.flush()
         while len(self.stack) > depth:
             node = self.stack.pop()
+            if node is not self.nodes[0]:
+                self.open[node.tag] -= 1
             if node.tag == "a":
                 self.links -= 1
             node.end = len(self.blocks)
 
     def find(self, tags: set[str], stops: set[str]) -> int | None:
+        if not any(self.open.get(t) for t in tags):
+            return None
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
                 return i
@@ -192,6 +201,7 @@ class _Page:
         node = _Node(tag, above, len(self.blocks), reasons, max(above.main, marks), _names(attrs))
         self.stack.append(node)
         self.nodes.append(node)
+        self.open[tag] = self.open.get(tag, 0) + 1
 
     def end(self, tag: str) -> None:
         if (i := self.find({tag}, {"table"} if tag not in ("table", "body", "html", "article", "main", "div") else set())) is not None:
@@ -214,15 +224,22 @@ class _Page:
             node.parent.linked += node.linked
         total = self.nodes[0].chars
         marked = [n for n in self.nodes[1:] if n.main > n.parent.main]
-        shown = [n for n in marked if not any("hidden" in a.reasons for a in n.around())]
+        hidden = {id(self.nodes[0]): False}
+        for n in self.nodes[1:]:
+            hidden[id(n)] = hidden[id(n.parent)] or "hidden" in n.parent.reasons
+        shown = [n for n in marked if not hidden[id(n)]]
         biggest = max(shown or marked, key=lambda n: n.chars, default=None)
         spared = {id(n) for n in (biggest, *biggest.around())} if biggest else set()
         named = [n for n in self.nodes if n.reasons and id(n) not in spared]
         held: dict[str, int] = {}
+        for n in self.nodes[1:]:
+            a = n.parent
+            adds = bool(a.reasons) and id(a) not in spared and a.chars <= SIDE_SHARE * total and not a.reasons <= a.above
+            n.above = a.above | a.reasons if adds else a.above
+            n.under = a.under or a is biggest
         for n in named:
             if n.chars <= SIDE_SHARE * total:
-                above = set().union(*(a.reasons for a in n.around() if id(a) not in spared and a.chars <= SIDE_SHARE * total))
-                for r in n.reasons - above:
+                for r in n.reasons - n.above:
                     held[r] = held.get(r, 0) + n.chars
         for n in named:
             n.skipped = (
@@ -230,41 +247,58 @@ class _Page:
                 or "hidden" in n.reasons
                 or n.linked > LINK_SHARE * n.chars
                 or n.chars <= SIDE_SHARE * total and any(held[r] <= SIDE_SHARE * total for r in n.reasons)
-                or bool(biggest) and biggest not in n.around() and any(r[0] == "=" for r in n.reasons)
+                or bool(biggest) and not n.under and any(r[0] == "=" for r in n.reasons)
             )
         for n in self.nodes[1:]:
             n.skipped = n.skipped or n.parent.skipped
         # what is side matter within a marked part still speaks for that part
         weight = [0, 0, 0]
+        tops: dict[int, _Node] = {}  # the outermost marked element around each node, or the node
+        for n in self.nodes:
+            tops[id(n)] = tops[id(n.parent)] if n.parent is not None and n.parent.main else n
         for parts, _ in self.blocks:
             for raw, node, _ in parts:
-                if not node.skipped or node.main and not self.top(node).skipped:
+                if not node.skipped or node.main and not tops[id(node)].skipped:
                     weight[node.main] += len(raw.strip())
         if not biggest or weight[1] + weight[2] < weight[0]:
             return 0
         return 2 if weight[2] >= weight[1] else 1
 
-    @staticmethod
-    def top(node: _Node) -> _Node:
-        """The outermost marked element around a node."""
-        while node.parent is not None and node.parent.main:
-            node = node.parent
-        return node
-
 
-def parse(source: str | None) -> list[tuple[str, list[int]]]:
-    """Blocks that may be article text, in page order, each with the places in ``marked(source)[1]`` of the subtrees around it."""
+def parse(source: str | None) -> list[str]:
+    """Blocks that may be article text, in page order."""
     return marked(source)[0]
 
 
-def marked(source: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int, bool]]]:
-    """The blocks of ``parse``, and (hash, place, whether side matter or mostly links) of all subtrees with text, side matter too.
+def _closed(source: str) -> dict[int, int]:
+    """Where the elements of FILLED end, by where their start tags do; only those that are closed before another of their kind begins."""
+    out = {}
+    for tag, pattern in _FILLED_TAG.items():
+        begun = None
+        for m in pattern.finditer(source) if f"<{tag}" in source or re.search(f"<{tag}", source, re.I) else ():
+            if not m[1]:
+                begun = m.end()
+            elif begun is not None:
+                out[begun], begun = m.end(), None
+    return out
+
+
+#: Multiplier of the hash of a run of blocks.
+_RUN = 0x9E3779B97F4A7C15 | 1
+_MASK = (1 << 64) - 1
 
-    Each block of text is a subtree of its own, for it may stand beside text that changes.
+
+def marked(source: str | None) -> tuple[list[str], list[tuple[int, int, bool, int, int]]]:
+    """The blocks of ``parse``, and (hash, place, whether side matter or mostly links, first block, block past the last) of all
+    subtrees with text, side matter too.
+
+    Each block of text is a subtree of its own, for it may stand beside text that changes. A subtree's hash is made of those of its
+    blocks and its tag, and subtrees are told by the blocks they span, so the work grows with the page and not with its depth.
     """
     page, at = _Page(), 0
     source = source or ""
-    while (m := _TOKEN.search(source, at)) is not None:
+    last, filled = source.rfind(">"), _closed(source)
+    while at <= last and (m := _TOKEN.search(source, at)) is not None:
         page.text(source[at : m.start()])
         at = m.end()
         tag = m["tag"] or m["tag2"]
@@ -277,11 +311,14 @@ def marked(source: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[
             if not attrs.endswith("/") or tag in ("script", "style"):
                 close = _RAW_END[tag].search(source, at)
                 at = close.end() if close else len(source)
+        elif tag in _FILLED_TAG:
+            at = filled.get(at, at)
         else:
             page.start(tag, attrs)
             if attrs.endswith("/") and tag not in VOID and tag not in BLOCK:
                 page.end(tag)
-    page.text(source[at:])
+    rest = source[at:]
+    page.text(rest[: min(i for i in (rest.find("<!--"), rest.find("<![CDATA["), len(rest)) if i >= 0)])
     page.flush()
     page.close(0)
     rank = page.judge()
@@ -290,29 +327,35 @@ def marked(source: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[
         text if not any(n.skipped for _, n, _ in parts) else " ".join(html.unescape("".join(raw for raw, _, _ in parts)).split())
         for text, (parts, _) in zip(texts, page.blocks, strict=True)
     ]
-    marks: list[tuple[int, int, bool]] = []
-    for node in page.nodes:
-        if node.tag in BLOCK and node.chars:
-            inside = "\n".join(t for t in whole[node.begin : node.end] if t)
-            node.mark = len(marks)
-            marks.append((_hash(f"{node.tag}\n{inside}"), node.place, node.skipped or node.linked > LINK_SHARE * node.chars))
-    out = []
-    for text, all_text, (parts, node) in zip(texts, whole, page.blocks, strict=True):
-        if not all_text:
-            continue
-        linked = sum(len(raw) for raw, n, in_link in parts if in_link and not n.skipped)
-        path, n = [], node
-        while n is not None:
-            if n.mark is not None:
-                path.append(n.mark)
-            n = n.parent
-        if node.end - node.begin > 1:
-            path.append(len(marks))
-            marks.append((_hash(f"{node.tag}\n{all_text}"), node.place, not text or linked > LINK_SHARE * len(text)))
-        if not text or max(n.main for _, n, _ in parts) < rank or rank == 0 and linked > LINK_SHARE * len(text):
-            continue
-        out.append((text, path))
-    return out, marks
+    # the hash of a run of blocks is a polynomial in those of its blocks; before[i] and full[i] are of the first i
+    before, full, powers = [0], [0], [1]
+    for text in whole:
+        before.append((before[-1] * _RUN + _hash(text)) & _MASK if text else before[-1])
+        full.append(full[-1] + bool(text))
+        powers.append(powers[-1] * _RUN & _MASK)
+
+    def run_hash(tag: str, a: int, b: int) -> int:
+        inside = (before[b] - before[a] * powers[full[b] - full[a]]) & _MASK
+        return _hash(f"{tag}\n{full[b] - full[a]}\n{inside}")
+
+    out, places = [], [0]
+    alone = []
+    for k, (text, all_text, (parts, node)) in enumerate(zip(texts, whole, page.blocks, strict=True)):
+        read = False
+        if all_text:
+            linked = sum(len(raw) for raw, n, in_link in parts if in_link and not n.skipped)
+            if node.end - node.begin > 1:
+                alone.append((run_hash(node.tag, k, k + 1), node.place, not text or linked > LINK_SHARE * len(text), k))
+            read = bool(text) and not (max(n.main for _, n, _ in parts) < rank or rank == 0 and linked > LINK_SHARE * len(text))
+        if read:
+            out.append(text)
+        places.append(len(out))
+    marks = [
+        (run_hash(n.tag, n.begin, n.end), n.place, n.skipped or n.linked > LINK_SHARE * n.chars, places[n.begin], places[n.end])
+        for n in page.nodes
+        if n.tag in BLOCK and n.chars
+    ]
+    return out, marks + [(h, place, side, places[k], places[k + 1]) for h, place, side, k in alone]
 
 
 def same_page(texts: list[str]) -> int:
@@ -336,10 +379,8 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
             rows, held = [], 0
             for page_id, url, source in zip(*columns, strict=True):
                 blocks, marks = marked(source)
-                whole = same_page([t for t, _ in blocks])
-                blocks = [{"text": t, "path": p} for t, p in blocks]
-                read = {i for b in blocks for i in b["path"]}
-                marks = [{"subtree": d, "place": at, "side": side, "read": i in read} for i, (d, at, side) in enumerate(marks)]
+                whole = same_page(blocks)
+                marks = [{"subtree": d, "place": at, "side": side, "read": a < b, "first": a, "past": b} for d, at, side, a, b in marks]
                 rows.append((next(keys), page_id, url, host_of(url), whole, blocks, marks))
                 held += len(source or "")
                 if held > 2_000_000:
@@ -351,11 +392,13 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
-    return written(rows.mapInArrow(run, PARSED), "parsed-pages", "zstd")
+    return written(rows.mapInArrow(tidy(run), PARSED), "parsed-pages", "zstd")
 
 
-_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int32()))]))
-_MARKS = pa.list_(pa.struct([("subtree", pa.int64()), ("place", pa.int64()), ("side", pa.bool_()), ("read", pa.bool_())]))
+_BLOCKS = pa.list_(pa.string())
+_MARKS = pa.list_(
+    pa.struct([("subtree", pa.int64()), ("place", pa.int64()), ("side", pa.bool_()), ("read", pa.bool_()), ("first", pa.int32()), ("past", pa.int32())])
+)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -405,14 +448,18 @@ def judged_blocks(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float =
     templates = written(site_templates(parsed, least, share), "site-templates")
     subtrees = parsed.select("key", "host", F.explode(F.array_distinct("marks.subtree")).alias("subtree"))
     judged = with_cuts(parsed, subtrees, templates).withColumn("cut", F.array_intersect("marks.subtree", "cut"))
-    gone = F.transform("marks", lambda m, i: F.when(F.array_contains("cut", m["subtree"]), i))
-    judged = judged.withColumn("gone", F.filter(gone, lambda i: i.isNotNull()))
-    kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["path"], F.col("gone")))
+    gone = F.filter("marks", lambda m: m["read"] & F.array_contains("cut", m["subtree"]))
+    gone = F.array_sort(F.transform(gone, lambda m: F.struct(m["first"].alias("first"), (-m["past"]).alias("past"))))
+    # of runs in order, those within an earlier one say nothing new
+    outer = F.expr("""aggregate(gone, struct(array(struct(0 AS first, 0 AS past)) AS runs, 0 AS reach), (a, g) -> if(-g.past <= a.reach, a,
+        struct(concat(a.runs, array(struct(g.first AS first, -g.past AS past))) AS runs, -g.past AS reach))).runs""")
+    judged = judged.withColumn("gone", gone).withColumn("gone", F.when(F.size("gone") > 0, outer))
+    kept = F.filter("blocks", lambda b, i: F.col("gone").isNull() | ~F.exists("gone", lambda g: (g["first"] <= i) & (i < g["past"])))
     return judged.select("page_id", "url", "blocks", kept.alias("kept"))
 
 
 def extract(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page row."""
-    text = F.array_join(F.transform("kept", lambda b: b["text"]), " ")
+    text = F.array_join("kept", " ")
     text = judged_blocks(pages, least, share).select("page_id", "url", text.alias("text"))
     return text.withColumn("n_chars", F.length("text").cast("long"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epigrain.session import checkpoint_dir
@@ -59,3 +63,73 @@ def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
     table = np.zeros(bits // 64, dtype=np.int64)
     table[got["at"].to_numpy()] = got["bits"].to_numpy()
     return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+
+
+#: Bits of the table by which rows are told from unwanted ones; with 64 to a row of 16 bytes it is broadcast at 4 MB at most.
+MOST_ROW_BITS = 1 << 24
+
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A table that a worker keeps from task to task; tasks that name another one empty it (``tidy``)."""
+    return _CACHES.setdefault(name, {})
+
+
+def release(keeps: str = "") -> None:
+    """Empty the other caches of this worker and give freed memory back, for workers serve one stage after the other."""
+    for name, held in _CACHES.items():
+        if name != keeps:
+            held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def tidy(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """A task function that begins and ends with ``release``."""
+
+    def task(batches: Iterator) -> Iterator:
+        release(keeps)
+        yield from run(batches)
+        release(keeps)
+
+    return task
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` does not have."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, key: Column, unwanted: DataFrame) -> DataFrame:
+    """The rows whose key is not in the only column of ``unwanted``; a null key never is.
+
+    A bit table of fixed size tells the rows that can be unwanted, and only those are moved to be joined: while few rows go, few are
+    moved, and once the table is full this is a plain anti-join.
+    """
+    unwanted = written(unwanted.toDF("value").where("value IS NOT NULL").distinct(), "unwanted")
+    n = unwanted.count()
+    if not n:
+        return docs
+    bits = 1 << 16
+    while bits < min(16 * n, MOST_ROW_BITS):
+        bits *= 2
+    place, value, at, word = fresh(docs, "place", "value", "at", "word")
+    table = unwanted.select(F.expr(f"pmod(xxhash64(value), {bits}L)").alias(place)).groupBy(F.expr(f"{place} DIV 64").alias(at))
+    table = table.agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod({place}, 64L) AS int)))").alias(word))
+    marked = docs.withColumn(value, key).withColumn(place, F.expr(f"pmod(xxhash64({value}), {bits}L)"))
+    marked = marked.join(F.broadcast(table), F.expr(f"{place} DIV 64") == F.col(at), "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned({word}, cast(pmod({place}, 64L) AS int)) & 1L") == 1, F.lit(False))
+    other = unwanted.withColumnRenamed("value", at + "_")
+    rest = marked.where(hit).drop(at, word, place).join(other, F.col(value) == F.col(at + "_"), "left_anti")
+    return marked.where(~hit).select(*docs.columns).union(rest.select(*docs.columns))
