@@ -33,7 +33,9 @@ NOTICE_WORDS = 25
 SYMBOL_RATE = 5
 MAX_LOST_PERCENT = 50
 
-SENTENCE_END = "[.!?…][\"'”’»)\\]]*([\\x20\\x09-\\x0D]|$)"
+#: Marks that end a sentence in the scripts of the world. Fixed values.
+TERMINALS = ".!?…‥։؟۔܀܁܂߹।॥၊။።፧፨᙮᠃᠉។៕‼‽⁇⁈⁉⸮。．！？｡꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫"
+SENTENCE_END = f"[{TERMINALS}][\"'”’»)\\]）」』】》〉]*([\\x20\\x09-\\x0D]|$)"
 SEPARATOR_WORD = "(^|[\\x20\\x09-\\x0D])[|>»›·•/]+($|[\\x20\\x09-\\x0D])"
 NOTICE = (
     "(cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|all rights reserved|enable javascript|"

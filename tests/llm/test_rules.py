@@ -59,3 +59,9 @@ def test_empty_table(documents):
 def test_plan_has_no_python(documents, capsys):
     rules.judge(documents([(1, "a")])).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_sentences_of_other_scripts_end_too(documents):
+    texts = ["यह एक साफ वाक्य है जिसमें काफी शब्द हैं और यह ठीक है।", "هذه جملة نظيفة فيها كلمات كثيرة و هي جيدة جدا هنا؟", "一 二 三 四 五 六 七 八 九 十 这是一个句子。", "no end of a sentence in this line of ten words at all"]
+    rows = {r.doc_id: r.kept for r in rules.judge(documents(list(enumerate(texts)))).collect()}
+    assert [rows[i] for i in range(4)] == [True, True, True, False]
