@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh, release, tidy
 from .words import slices_of
 
 BUCKETS = 1 << 16
@@ -33,7 +34,7 @@ def _fold() -> np.ndarray:
     global _FOLD
     if _FOLD is None:
         fold = np.zeros(0x110000, dtype=np.uint32)
-        for i in range(0x30000):
+        for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()
@@ -132,7 +133,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows[0])), *map(pa.array, rows)], ["lang", "bucket", "n"])
 
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
     names, bucket, n = got["lang"].to_pylist(), got["bucket"].to_numpy(), got["n"].to_numpy()
     languages = sorted(set(names))
@@ -157,6 +158,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", out: tupl
 
     @F.arrow_udf("struct<name: string, score: double>")
     def judge(texts: pa.Array) -> pa.Array:
+        release()
         names, scores = [], []
         for some in slices_of(texts):
             name, score = shared.value.score(some)
@@ -164,5 +166,6 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", out: tupl
             scores += score
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["name", "score"])
 
-    scored = docs.withColumn("_language", judge(F.col(text).cast("string")))
-    return scored.withColumns({out[0]: F.col("_language.name"), out[1]: F.col("_language.score")}).drop("_language")
+    (judged,) = fresh(docs, "judged")
+    scored = docs.withColumn(judged, judge(F.col(text).cast("string")))
+    return scored.withColumns({out[0]: F.col(f"{judged}.name"), out[1]: F.col(f"{judged}.score")}).drop(judged)

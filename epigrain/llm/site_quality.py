@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import fresh, release, tidy, written
 from .words import FOLD, NOT_ALNUM, SPACE, in_pieces, mix, slices_of
 
 BUCKETS = 1 << 20
@@ -174,7 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, features_
     """Learn from at most ``most`` labelled documents. Only the chosen features and their places in these documents reach the driver."""
     chosen = _targets(labels).orderBy(F.xxhash64("_id"), "_id").limit(most)
     # the chosen ids are bounded by ``most``: 24 bytes a row
-    known = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("low", "toxic", F.col("text").cast("string"))
+    chosen = chosen.select(F.col("_id").alias("key"), "low", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    known = texts.join(F.broadcast(chosen), "key").select("key", "low", "toxic", "text")
+    # rows that repeat an id count once, the first in the order of a hash, so the bound holds for rows too
+    known = known.groupBy("key", "low", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    known = written(known.drop("key"), "labelled")
     names = ["n00", "n01", "n10", "n11"]
 
     def marks_of(batch):
@@ -197,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, features_
         rows = [np.concatenate((at, [-1])), *[np.concatenate((total[k, at], [sizes[k]])) for k in range(4)]]
         yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)) for r in rows], ["bucket", *names])
 
-    counted = known.mapInArrow(count, "bucket long, " + ", ".join(f"{n} long" for n in names))
+    counted = known.mapInArrow(tidy(count), "bucket long, " + ", ".join(f"{n} long" for n in names))
     sums = written(counted.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]), "features")
     sizes = sums.where("bucket = -1").first()
     model = DocumentModel(np.zeros((len(TARGETS), BUCKETS), dtype=np.float32), np.zeros(len(TARGETS)))
@@ -224,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, features_
             arrays = [pa.array(m.astype(np.int32)) for m in marks] + [pa.array(lists[: batch.num_rows], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["low", "toxic", "places"])
 
-    got = known.mapInArrow(present, "low int, toxic int, places array<int>").toArrow()
+    got = known.mapInArrow(tidy(present), "low int, toxic int, places array<int>").toArrow()
     lists = got["places"].combine_chunks()
     lengths = np.asarray(lists.value_lengths()).astype(int)
     rows, columns = np.repeat(np.arange(len(lengths)), lengths), np.asarray(lists.flatten())
@@ -288,24 +293,24 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
     @F.arrow_udf("struct<low: double, toxic: double>")
     def evidence(texts: pa.Array) -> pa.Array:
+        release()
         parts = [model.value.evidence(some) for some in slices_of(texts)]
         low, toxic = np.concatenate(parts, axis=1) if parts else (np.empty(0), np.empty(0))
         return pa.StructArray.from_arrays([pa.array(low), pa.array(toxic)], ["low", "toxic"])
 
-    renamed = rates.select(*[F.col(c).alias(f"_site_{c}") for c in rates.columns])
-    hosts = renamed.select("_site_host", *[F.col(f"_site_host_{t}").alias(f"_only_{t}") for t in TARGETS]).distinct()
-    hosts = hosts.withColumnRenamed("_site_host", "_only_host")
-    scored = docs.withColumn("_evidence", evidence(F.col("text").cast("string")))
+    found, site, only = fresh(docs, "evidence", "site", "only")
+    paths = rates.select(F.struct(*[c for c in rates.columns if c not in {f"host_{t}" for t in TARGETS}]).alias(site))
+    hosts = rates.select(F.struct("host", *[F.col(f"host_{t}").alias(t) for t in TARGETS]).alias(only)).distinct()
+    scored = docs.withColumn(found, evidence(F.col("text").cast("string")))
     here, below = F.coalesce(F.col(host), F.lit("")), F.coalesce(F.col(path), F.lit(""))
-    paths = renamed.drop(*[f"_site_host_{t}" for t in TARGETS])
-    joined = scored.join(paths, (here == F.col("_site_host")) & (below == F.col("_site_path")), "left")
-    joined = joined.join(hosts, here == F.col("_only_host"), "left")
+    joined = scored.join(paths, (here == F.col(f"{site}.host")) & (below == F.col(f"{site}.path")), "left")
+    joined = joined.join(hosts, here == F.col(f"{only}.host"), "left")
 
     def probability(t: str) -> Column:
         if overall[t] <= 0:
             return F.lit(0.0)
-        rate = F.coalesce(F.col(f"_site_rate_{t}"), F.col(f"_only_{t}"), F.lit(overall[t]))
-        odds = F.col(f"_evidence.{t}") + F.log(rate / (1 - rate))
+        rate = F.coalesce(F.col(f"{site}.rate_{t}"), F.col(f"{only}.{t}"), F.lit(overall[t]))
+        odds = F.col(f"{found}.{t}") + F.log(rate / (1 - rate))
         return 1 / (1 + F.exp(-odds))
 
     added = {f"p_{t}": probability(t) for t in TARGETS}

@@ -46,6 +46,21 @@ def test_a_text_is_scored_alike_in_any_batch():
             assert together == sorted(x for x in b.tolist() if x < language.BUCKETS)
 
 
+def test_letters_of_every_plane_are_letters(spark, documents):
+    model = language.train(spark.createDataFrame([(1, "\U00030000\U000313ab", "zh"), (2, "abc", "en")], "doc_id long, text string, lang string"))
+    got = language.predict(documents([(1, "\U00030000"), (2, "\U0001f600")]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["zh", "und"]
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    frame = spark.createDataFrame([(1, "the text", "en", "s", 5, 6, 7)], "doc_id long, text string, lang string, source string, judged int, evidence int, site int")
+    got = language.predict(frame, language.train(frame)).first()
+    assert (got.judged, got.lang_pred) == (5, "en")
+    marks = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    judged = site_quality.judge(frame, marks).first()
+    assert (judged.evidence, judged.site) == (6, 7)
+
+
 def test_without_training_rows(spark, documents):
     model = language.train(documents([]))
     assert [r.lang_pred for r in language.predict(documents([(1, "words")]), model).collect()] == ["und"]
