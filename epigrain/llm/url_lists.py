@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -58,6 +60,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         F.max(F.size(F.split(F.regexp_extract("pattern", "^[^/]*", 0), r"\."))).alias("labels"), F.max(F.size(F.split(path, "/")) - 2).alias("directories")
     ).first()
     rows = captures.select("page_id", "url", "fetched_at").withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows, "captures")  # a repeated task then gives a row the number it had
     keys = rows.select("row", "fetched_at", F.explode(url_keys(F.col("url"), deepest.labels or 1, max(deepest.directories or 0, 0))).alias("pattern"))
     active = keys.join(spans, "pattern").where("fetched_at >= since AND (until IS NULL OR fetched_at < until)")
     told = active.groupBy("row").agg(
