@@ -24,10 +24,10 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bit_table, written
+from .shared import bit_table, tidy, without, written
 from .words import NOT_ALNUM, in_pieces, shingle_hashes, slices_of, word_hashes
 
 LEAST = 5
@@ -183,7 +183,7 @@ def item_seeds(items: DataFrame, least: int) -> DataFrame:
 
 
 def suspect_segments(docs: DataFrame, table: np.ndarray, least: int) -> DataFrame:
-    """(row, doc_id, starts, words, seeds): the runs of words of a document whose seeds may be an item's. A row without is null there."""
+    """(row, doc_id, digest, starts, words, seeds): the runs of words of a document whose seeds may be an item's. A row without is null there."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
     size = len(table)
 
@@ -191,7 +191,7 @@ def suspect_segments(docs: DataFrame, table: np.ndarray, least: int) -> DataFram
         known = np.unpackbits(shared.value, count=size).astype(bool)
         rows = count(TaskContext.get().partitionId() << 33)
         for batch in batches:
-            ids, at = batch.column(0), 0
+            ids, digests, at = batch.column(0), batch.column(2), 0
             for words, offsets in words_of(batch.column(1)):
                 n = len(offsets) - 1
                 hashes, places = shingle_hashes(words, offsets, least)
@@ -212,16 +212,22 @@ def suspect_segments(docs: DataFrame, table: np.ndarray, least: int) -> DataFram
                 arrays = [
                     pa.array([next(rows) for _ in range(n)], pa.int64()),
                     ids.slice(at, n),
+                    digests.slice(at, n),
                     pa.array(starts_of, pa.list_(pa.int64())),
                     pa.array(words_in, pa.list_(pa.binary())),
                     pa.array(seeds_in, pa.list_(pa.int64())),
                 ]
                 at += n
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "starts", "words", "seeds"])
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "digest", "starts", "words", "seeds"])
 
-    schema = "row long, doc_id long, starts array<long>, words array<binary>, seeds array<long>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(run, schema), "segments")
+    schema = "row long, doc_id long, digest string, starts array<long>, words array<binary>, seeds array<long>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest_of("text").alias("digest"))
+    return written(rows.mapInArrow(tidy(run), schema), "segments")
+
+
+def digest_of(text: str) -> Column:
+    """What tells texts apart when contaminated ones are taken out."""
+    return F.md5(F.col(text).cast("string").cast("binary"))
 
 
 def tiled_pairs(pairs: DataFrame, least: int) -> DataFrame:
@@ -240,13 +246,18 @@ def tiled_pairs(pairs: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["row", "item_id", "matched_words", "item_words"])
 
     return pairs.select("row", "segments", "item_id", "words").mapInArrow(
-        run, "row long, item_id long, matched_words long, item_words long"
+        tidy(run), "row long, item_id long, matched_words long, item_words long"
     )
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, contaminated, kept, item_id, matched_words, item_words) per document row; the last three are of the best covered
     item and null where no item shares enough seeds to be covered to ``coverage``."""
+    return judged_rows(docs, benchmark, least, coverage).drop("digest")
+
+
+def judged_rows(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """As ``judge``, with the digest of each row's text."""
     items = item_words(benchmark, least)
     seeds = item_seeds(items, least)
     rows = suspect_segments(docs, bit_table(seeds.select(F.col("seed").alias("hash")), TABLE_BITS), least)
@@ -259,12 +270,15 @@ def judge(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     best = tiled_pairs(full, least).groupBy("row").agg(
         F.max_by(F.struct("item_id", "matched_words", "item_words"), F.struct(F.col("matched_words") / F.col("item_words"), -F.col("item_id"))).alias("best")
     )
-    out = rows.select("row", "doc_id").join(best, "row", "left")
+    out = rows.select("row", "doc_id", "digest").join(best, "row", "left")
     bad = F.coalesce(F.col("best.matched_words") >= coverage * F.col("best.item_words"), F.lit(False))
-    return out.select("doc_id", bad.alias("contaminated"), (~bad).alias("kept"), "best.*")
+    return out.select("digest", "doc_id", bad.alias("contaminated"), (~bad).alias("kept"), "best.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
-    """The documents none of whose rows is contaminated, with all their columns."""
-    bad = judge(docs, benchmark, least, coverage).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows whose text is not contaminated, with all their columns.
+
+    A verdict depends on the text alone, so rows are told by a digest of it: a missing or repeated doc_id takes no clean row along.
+    """
+    bad = judged_rows(docs, benchmark, least, coverage).where("contaminated").select("digest")
+    return without(docs, digest_of("text"), bad)

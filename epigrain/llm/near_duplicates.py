@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bit_table, written
+from .shared import bit_table, tidy, written
 from .words import distinct_per_text, in_pieces, mix, shingle_hashes, slices_of, word_hashes
 
 TREES, DEPTH = 20, 3
 VALUES = TREES * DEPTH
+#: Depth, agreement and the rule on sizes lose no link from this similarity on.
+LEAST_SIMILARITY = 0.8
 #: Values that must agree: fewer at similarity 0.8 has a probability below 0.000001.
 AGREE = 32
 #: How far apart in an order the first candidates are sought.
@@ -108,7 +110,7 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
                 done += n
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n", "key", "wide", "narrow"])
 
-    return written(_texts(docs).mapInArrow(run, _SIGNED), "signed")
+    return written(_texts(docs).mapInArrow(tidy(run), _SIGNED), "signed")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -151,7 +153,7 @@ def sorted_neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         whole = parts <= 1
         order = ["tree", "place", "node"]
         placed = (rows.coalesce(1) if whole else rows.repartitionByRange(parts, *order)).sortWithinPartitions(*order)
-        out = written(placed.select("tree", "place", "node", "n").mapInArrow(_window_task(not whole), _WINDOW), "window")
+        out = written(placed.select("tree", "place", "node", "n").mapInArrow(tidy(_window_task(not whole)), _WINDOW), "window")
         new_pairs = out.where(f"kind = {PAIR}").select("a", "b", "agree")
         new_runs = out.where(f"kind = {RUN}").select("tree", F.col("place").alias("head"), F.col("a").alias("node"))
         pairs = new_pairs if pairs is None else pairs.union(new_pairs)
@@ -321,7 +323,7 @@ def pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
 
     placed = dealt.repartition(*group).sortWithinPartitions(*group)
     columns = [*group, "own", "node", "n", "comp", "wide", "narrow", "members"]
-    return placed.select(*columns).mapInArrow(run, "a long, b long")
+    return placed.select(*columns).mapInArrow(tidy(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -329,7 +331,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     percent = round(100 * similarity)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
@@ -343,7 +345,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(tidy(run), "a long, b long")
 
 
 def node_sets(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
@@ -371,7 +373,7 @@ def node_sets(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
                     members, keys = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(keys, pa.binary())], ["members", "key"])
 
-    return _texts(docs).select("text").mapInArrow(run, "members binary, key binary").join(asked, "key").select("node", "members").dropDuplicates(["node"])
+    return _texts(docs).select("text").mapInArrow(tidy(run), "members binary, key binary").join(asked, "key").select("node", "members").dropDuplicates(["node"])
 
 
 def with_roots(rows: DataFrame, roots: DataFrame | None, name: str, out: str) -> DataFrame:
@@ -407,7 +409,12 @@ def node_components(docs: DataFrame, nodes: DataFrame, width: int, similarity: f
 
 
 def components(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row; component_id is the smallest doc_id that links reach."""
+    """(doc_id, n_shingles, component_id, kept) per row; component_id is the smallest doc_id that links reach.
+
+    The forest is laid out for a similarity of 0.8 or more; with less it would lose links, so that is refused.
+    """
+    if not LEAST_SIMILARITY <= similarity <= 1:
+        raise ValueError(f"similarity must be from {LEAST_SIMILARITY} to 1, not {similarity}")
     rows = signed_rows(docs, width)
     groups = written(
         rows.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")),

@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_ids import encoder, slices
+from .shared import tidy
+from .token_ids import CACHE, encoder, slices
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -143,4 +144,4 @@ def pack(
             yield batch_of()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return texts.mapInArrow(tidy(run, CACHE), PIECES + (", ids array<int>" if with_ids else ""))

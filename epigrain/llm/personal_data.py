@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sequence_tagger import Tagger
+from .shared import tidy
 from .token_ids import slices
 from .words import slices_of
 
@@ -371,4 +372,4 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

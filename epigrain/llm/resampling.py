@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import tidy, worker_cache, written
 from .words import in_pieces, slices_of
 
 BUCKETS = 10_000
@@ -68,7 +68,7 @@ def head_words(texts: DataFrame, most: int = HEAD_WORDS) -> list[bytes]:
                         yield hand_on()
         yield hand_on()
 
-    counted = texts.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long")
+    counted = texts.select(F.col("text").cast("string")).mapInArrow(tidy(count), "word binary, n long")
     counts = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     found = counts.where(F.col("n") * most >= total).collect() if most else []
@@ -147,13 +147,14 @@ class Features:
 def _made(shared) -> Features:
     """This worker's tables for a broadcast head."""
     key = (shared.value["key"],)
-    if key not in _FEATURES:
-        _FEATURES.clear()
-        _FEATURES[key] = Features(shared.value["head"], shared.value["pairs"], shared.value["buckets"])
-    return _FEATURES[key]
+    made = worker_cache(CACHE)
+    if key not in made:
+        made.clear()
+        made[key] = Features(shared.value["head"], shared.value["pairs"], shared.value["buckets"])
+    return made[key]
 
 
-_FEATURES: dict[tuple, Features] = {}
+CACHE = "n-gram states"
 
 
 def share(spark: SparkSession, head: list[bytes], pairs: int = PAIR_WORDS, buckets: int = BUCKETS):
@@ -175,7 +176,7 @@ def bucket_totals(texts: DataFrame, shared) -> np.ndarray:
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(totals[used], pa.int64())], ["bucket", "n"])
 
-    counted = texts.select(F.col("text").cast("string")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = texts.select(F.col("text").cast("string")).mapInArrow(tidy(count, CACHE), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(shared.value["buckets"], np.int64)
     for row in counted.collect():
         out[row.bucket] = row.n
@@ -208,7 +209,7 @@ def weigh(docs: DataFrame, gains: np.ndarray, shared) -> DataFrame:
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    return rows.mapInArrow(tidy(run, CACHE), "doc_id long, n_words long, n_features long, weight long")
 
 
 def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import new_folder, open_filesystem, write_whole, written
-from .token_ids import encoder, slices
+from .shared import new_folder, open_filesystem, tidy, write_whole, written
+from .token_ids import CACHE, encoder, slices
 
 FRAME_TOKENS = 1 << 18
 INDEX_MAGIC, SEEK_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -190,7 +190,7 @@ def write_token_files(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    return written(spread.mapInArrow(write, MANIFEST), "token-manifest")
+    return written(spread.mapInArrow(tidy(write, CACHE), MANIFEST), "token-manifest")
 
 
 def with_starts(files: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from itertools import accumulate, chain, pairwise
 
 import numpy as np
 
+from .shared import worker_cache
+
 #: Pieces kept per worker, and the longest piece that is kept.
 KEPT_PIECES = 800_000
 LONGEST_KEPT = 48
@@ -139,7 +141,8 @@ class PieceEncoder:
         return [b"".join(found[a:b]) for a, b in pairwise(ends)]
 
 
-_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+#: Tokens kept by a worker are dropped when it serves tasks of another kind.
+CACHE = "token ids"
 
 
 def encoder(path: str, keeps_space: bool) -> PieceEncoder:
@@ -147,9 +150,10 @@ def encoder(path: str, keeps_space: bool) -> PieceEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, keeps_space) not in _ENCODERS:
-        _ENCODERS[path, keeps_space] = PieceEncoder(path, keeps_space)
-    return _ENCODERS[path, keeps_space]
+    made = worker_cache(CACHE)
+    if (path, keeps_space) not in made:
+        made[path, keeps_space] = PieceEncoder(path, keeps_space)
+    return made[path, keeps_space]
 
 
 def slices(texts: list[str | None], most: int = 400_000):

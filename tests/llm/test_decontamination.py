@@ -97,3 +97,13 @@ def test_words_of_all_scripts(spark, documents):
     got = dc.judge(documents(texts.items()), bench)
     assert {r.doc_id: r.item_id for r in got.where("contaminated").collect()} == {1: 1, 2: 2, 3: 3}
     assert got.count() == 5
+
+
+def test_a_clean_row_stays_whatever_its_id(spark):
+    passage = " ".join(f"asked{i}" for i in range(30))
+    docs = [(None, passage), (None, "quite another text"), (7, "x " + passage), (7, "a clean one"), (8, None), (8, "")]
+    frame = spark.createDataFrame([(i, t, "a", 1, 2) for i, t in docs], "doc_id long, text string, _bad string, place int, value int")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = dc.clean(frame, items)
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([d for d in docs if not d[1] or "asked" not in d[1]], key=repr)

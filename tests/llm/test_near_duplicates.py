@@ -89,3 +89,10 @@ def test_connected_components_of_a_chain_and_a_star(spark, monkeypatch, most):
     random.Random(1).shuffle(edges)
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
+
+
+def test_a_similarity_below_the_forests_is_refused(documents):
+    import pytest
+
+    with pytest.raises(ValueError):
+        nd.components(documents([(1, "a b c d e f")]), similarity=0.5)
