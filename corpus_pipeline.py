@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epigrain.llm import decontamination, language, near_duplicates, packing, site_quality
-from epigrain.llm.shared import written
+from epigrain.llm.shared import fresh, without, written
 
 #: A document whose best language is less likely than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -19,8 +19,9 @@ LEAST_LANGUAGE_SCORE = 0.5
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in no learned language with confidence, go."""
     model = language.train(docs)
-    judged = language.predict(docs, model, out=("_language_name", "_language_score"))
-    sure = (F.col("_language_name") != language.UNKNOWN) & (F.col("_language_score") >= LEAST_LANGUAGE_SCORE)
+    name, score = fresh(docs, "language_name", "language_score")
+    judged = language.predict(docs, model, out=(name, score))
+    sure = (F.col(name) != language.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)
     return judged.where(sure).select(*docs.columns)
 
 
@@ -34,15 +35,18 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of near duplicates (five-word shingles, similarity 0.8) one row stays, with the smallest doc_id; null is the largest."""
     once = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 OR doc_id IS NULL").isEmpty()
     if once:
-        kept = near_duplicates.components(docs, width=5, similarity=0.8).where("kept").select(F.col("doc_id").alias("_kept_id"))
-        return docs.join(written(kept, "kept-ids"), F.col("doc_id") == F.col("_kept_id")).select(*docs.columns)
+        gone = near_duplicates.components(docs, width=5, similarity=0.8).where("NOT kept")
+        return without(docs, F.col("doc_id"), gone.select("doc_id"))
     # ids do not tell the rows apart: numbers do, written so that they stay
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    judged = near_duplicates.components(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, similarity=0.8)
-    named = judged.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
-    kept = written(named.groupBy("component_id").agg(first.alias("_kept_row")).select("_kept_row"), "kept-rows")
-    return rows.join(kept, F.col("_row") == F.col("_kept_row")).select(*docs.columns)
+    (row,) = fresh(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    judged = near_duplicates.components(rows.select(F.col(row).alias("doc_id"), "text"), width=5, similarity=0.8)
+    named = judged.select(F.col("doc_id").alias("row"), "component_id").join(rows.select(F.col(row).alias("row"), "doc_id"), "row")
+    named = written(named, "components")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    kept = named.groupBy("component_id").agg(first.alias("row"))
+    gone = named.join(kept, "row", "left_anti").select("row")
+    return without(rows, F.col(row), gone).select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
