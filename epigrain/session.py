@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -21,7 +22,9 @@ def get_session(app_name: str = "epigrain", master: str | None = None, **conf: s
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -45,11 +48,19 @@ def remove_at_end(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, for clusters on whose machines it is not installed."""
-    folder = Path(tempfile.mkdtemp(prefix="epigrain-package-"))  # on the driver; Spark copies the archive to the executors
+    """Send this package to the executors, once per application: they may not have it, or not on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    folder = tempfile.mkdtemp(prefix="epigrain-package-")  # on the driver; Spark copies the archive to the executors
+    atexit.register(shutil.rmtree, folder, True)
     package = Path(__file__).resolve().parent
-    spark.sparkContext.addPyFile(shutil.make_archive(str(folder / "epigrain"), "zip", package.parent, package.name))
+    context.addPyFile(shutil.make_archive(f"{folder}/epigrain", "zip", package.parent, package.name))
 
 
 def stage(df: DataFrame) -> DataFrame:
