@@ -5,18 +5,19 @@ A run is keyed by (library, fragment depth, seed) and carried as a :class:`Prepa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash
 from ..functions.joins import join_groups
+from ..functions.moments import column_moments, correlations, quoted
 from ..functions.names import CPP, DESCRIPTOR, FeatureName, base_scale
 from ..functions.ordered import hash_rank
 from ..session import stage
@@ -31,7 +32,7 @@ class Prepared:
     """A prepared feature table with what was learned from its Train rows."""
 
     dt: DataFrame
-    scaling: DataFrame | None = None
+    scaling: dict[str, tuple[float, float | None]] | None = None
     correlation: np.ndarray | None = None
     importance: list[tuple[str, float]] = field(default_factory=list)
     removed: list[str] = field(default_factory=list)
@@ -44,7 +45,7 @@ class Prepared:
         keys = [c for c in self.dt.columns if c in KEY_COLUMNS]
         names = list(names)
         removed = [c for c in self.features if c not in set(names)]
-        return replace(self, dt=self.dt.select(*keys, *[F.col(f"`{n}`") for n in names]), removed=removed)
+        return replace(self, dt=self.dt.selectExpr(*keys, *map(quoted, names)), removed=removed)
 
     def train(self) -> DataFrame:
         return self.dt.where(F.col("data_type") == "Train")
@@ -79,27 +80,26 @@ def stratified_split(
     return ranked.withColumn("data_type", F.when(train, "Train").otherwise("Test")).drop("_rank", "_size")
 
 
-def train_scaling(dt: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row of Train means and standard deviations (``mu_<i>``, ``sd_<i>``), computed in one pass."""
-    aggregates = []
-    for i, name in enumerate(names):
-        value = F.when(F.col("data_type") == "Train", F.col(f"`{name}`"))
-        aggregates += [F.avg(value).alias(f"mu_{i}"), F.stddev_samp(value).alias(f"sd_{i}")]
-    return dt.agg(*aggregates)
+def train_scaling(dt: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float | None]]:
+    """Mean and standard deviation of each column over the Train rows; the deviation of fewer than two values is None."""
+    m = column_moments(dt.where(F.col("data_type") == "Train"), list(names))
+    return {
+        name: (float(mean), math.sqrt(ss / (n - 1)) if n > 1 else None)
+        for name, n, mean, ss in zip(names, m["n"], m["mean"], m["ss"])
+        if n
+    }
 
 
-def apply_scaling(dt: DataFrame, names: Sequence[str], scaling: DataFrame) -> DataFrame:
+def apply_scaling(dt: DataFrame, scaling: Mapping[str, tuple[float, float | None]]) -> DataFrame:
     """Centre and scale with Train statistics; a constant column becomes 0."""
-    row = scaling.first()
-    moments = {n: (row[f"mu_{i}"], row[f"sd_{i}"]) for i, n in enumerate(names)}
     columns = []
     for name in dt.columns:
-        col = F.col(f"`{name}`")
-        if name in moments and moments[name][0] is not None:
-            mu, sd = moments[name]
-            col = ((col - F.lit(mu)) / F.lit(sd) if sd else col * 0.0).alias(name)
+        col = quoted(name)
+        if name in scaling:
+            mu, sd = scaling[name]
+            col = (f"({col} - {mu!r}D) / {sd!r}D" if sd else f"{col} * 0D") + f" AS {col}"
         columns.append(col)
-    return dt.select(*columns)
+    return dt.selectExpr(*columns)
 
 
 def preprocess(
@@ -117,10 +117,10 @@ def preprocess(
         split = stratified_split(stage(cluster_representative(known, seed)), seed)
     names = [c for c in features.columns if c != "peptide"]
     keys = [c for c in KEY_COLUMNS if c in split.columns]
-    dt = split.select(*keys).join(features, "peptide", "left").select(*keys, *[F.col(f"`{n}`") for n in names])
+    dt = split.select(*keys).join(features, "peptide", "left").selectExpr(*keys, *map(quoted, names))
     scaled = [n for n in names if not n.startswith("Peptide_")]
     scaling = train_scaling(dt, scaled)
-    return Prepared(apply_scaling(dt, scaled, scaling), scaling)
+    return Prepared(apply_scaling(dt, scaling), scaling)
 
 
 def preprocess_all(
@@ -147,44 +147,52 @@ def _assembled(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=safe, outputCol="_vector").transform(typed).drop(*safe)
 
 
-def correlation_matrix(df: DataFrame, names: Sequence[str]) -> np.ndarray:
-    """Pearson correlations as a feature-by-feature matrix: one distributed Gramian, features squared in size."""
-    matrix = Correlation.corr(_assembled(df, names).select("_vector"), "_vector").head()[0].toArray()
-    np.fill_diagonal(matrix, 1.0)
-    return matrix
+def correlation_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The correlation matrix as rows (feature1, feature2, corr), made where its blocks lie."""
+    texts = (n.replace("\\", "\\\\").replace("'", "\\'") for n in names)
+    labels = F.expr("array(" + ", ".join(f"'{t}'" for t in texts) + ")")
+    found = correlations(df, names)
+    return found.select(F.get(labels, F.col("i")).alias("feature1"), F.get(labels, F.col("j")).alias("feature2"), "corr")
 
 
-def correlation_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The correlation matrix as rows (feature1, feature2, corr)."""
-    matrix = correlation_matrix(df, names)
-    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
-    out = df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, corr double")
-    return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
+def correlation_matrix(df: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """Pearson correlations as a matrix on the driver: features squared in size."""
+    got = correlations(df, names).toArrow()
+    out = np.full((len(names), len(names)), np.nan)
+    out[got["i"].to_numpy(), got["j"].to_numpy()] = got["corr"].to_numpy(zero_copy_only=False)
+    return out
 
 
 def correlated_features(matrix: np.ndarray, names: Sequence[str], cutoff: float) -> list[str]:
     """Greedy choice of features to drop so that no kept pair exceeds the cutoff.
 
     Features are visited by falling mean absolute correlation; of an offending pair the one with the larger
-    mean correlation to the features still kept goes.
+    mean correlation to the features still kept goes. Only pairs above the cutoff are visited, and the sums of the kept correlations
+    of each feature are lowered when one goes, so the work grows with the square of their number.
     """
     absolute = np.abs(np.nan_to_num(matrix))
-    np.fill_diagonal(absolute, np.nan)
-    order = np.argsort(-np.nanmean(absolute, axis=1), kind="stable") if len(names) > 1 else np.arange(len(names))
+    np.fill_diagonal(absolute, 0.0)
+    order = np.argsort(-absolute.sum(axis=1), kind="stable")
     ranked = absolute[np.ix_(order, order)]
     kept = np.ones(len(names), dtype=bool)
+    sums, left = ranked.sum(axis=1), len(names)
+
+    def drop(k: int) -> None:
+        nonlocal left
+        kept[k] = False
+        sums[:] -= ranked[:, k]
+        left -= 1
+
     for i in range(len(names) - 1):
-        if not kept[i]:
-            continue
-        for j in range(i + 1, len(names)):
-            if not kept[j] or not ranked[i, j] > cutoff:
+        for j in np.flatnonzero(ranked[i, i + 1 :] > cutoff) + i + 1 if kept[i] else ():
+            if not kept[j]:
                 continue
-            mean_i = np.nanmean(ranked[i, kept])
-            mean_rest = np.nanmean(ranked[np.ix_(np.flatnonzero(kept & (np.arange(len(names)) != j)), kept)])
+            mean_i = sums[i] / (left - 1)
+            mean_rest = (sums[kept].sum() - sums[j]) / (left - 1) ** 2
             if mean_i > mean_rest:
-                kept[i] = False
+                drop(i)
                 break
-            kept[j] = False
+            drop(int(j))
     return [names[k] for k in order[~kept]]
 
 

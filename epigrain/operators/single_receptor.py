@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.factors import least_squares, triangle
+from ..functions.moments import column_moments
 from ..functions.names import SINGLE_CPP, SINGLE_CPP_STATS, FeatureName
 from ..functions.ordered import quantile_terms, running_totals
 from ..functions.special import f_upper_tail, f_upper_tail_array
@@ -107,25 +111,14 @@ def scpp_features(
 def univariate_regression(df: DataFrame, response: str, features: Sequence[str], p_values: bool = True) -> DataFrame:
     """Adjusted R squared, F statistic and p-value of one simple regression per feature.
 
-    All regressions are aggregates of a single pass; only their one-row result is turned into rows.
+    The moments of all features are taken together, whatever their number; a feature without spread has no statistics.
     """
-    aggregates = []
-    for i, name in enumerate(features):
-        col = F.col(f"`{name}`")
-        aggregates += [F.regr_r2(response, col).alias(f"r_{i}"), F.regr_count(response, col).alias(f"n_{i}")]
-    one = df.agg(*aggregates)
-    rows = one.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("feature"), F.col(f"r_{i}").alias("r2"), F.col(f"n_{i}").alias("n")
-                    )
-                    for i, name in enumerate(features)
-                ]
-            )
-        ).alias("u")
-    ).select("u.*")
+    names = list(features)
+    m = column_moments(df, names, response)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r2 = m["xy"] ** 2 / (m["ss"] * m["ss_y"])
+    rows = [(name, float(x) if x == x else None, int(n)) for name, x, n in zip(names, r2, m["n"])]
+    rows = df.sparkSession.createDataFrame(rows, "feature string, r2 double, n long")
     n, r2 = F.col("n"), F.col("r2")
     out = rows.select(
         "feature",
@@ -163,7 +156,7 @@ def univariate_plot_data(df: DataFrame, response: str, feature: str, outliers: D
 
 @dataclass
 class LinearModel:
-    """Ordinary least squares solved from sufficient statistics."""
+    """Ordinary least squares solved from a triangular factor of the centred columns."""
 
     response: str
     variables: list[str]
@@ -174,75 +167,61 @@ class LinearModel:
     adj_r_sq: float
     p_value: float
     vif: dict[str, float]
+    centres: list[float]
+    level: float  #: prediction at the centres
 
     def prediction(self) -> Column:
-        out = F.lit(float(self.intercept))
-        for name, beta in zip(self.variables, self.coefficients):
-            out = out + F.col(f"`{name}`") * F.lit(float(beta))
+        """From the centres, so that no digits are lost where variables lie far from zero."""
+        out = F.lit(float(self.level))
+        for name, beta, centre in zip(self.variables, self.coefficients, self.centres):
+            out = out + (F.col(f"`{name}`") - F.lit(float(centre))) * F.lit(float(beta))
         return out
 
 
-def gram(df: DataFrame, response: str, variables: Sequence[str]) -> np.ndarray:
-    """Cross-product matrix of (1, variables, response) over complete rows, in one aggregate."""
-    columns = [F.col(f"`{c}`").cast("double") for c in (*variables, response)]
-    complete = df
-    for c in columns:
-        complete = complete.where(c.isNotNull())
-    terms = [F.lit(1.0), *columns]
-    k = len(terms)
-    cells = [(i, j) for i in range(k) for j in range(i, k)]
-    row = complete.agg(*[F.sum(terms[i] * terms[j]).alias(f"c_{i}_{j}") for i, j in cells]).first()
-    out = np.zeros((k, k))
-    for i, j in cells:
-        out[i, j] = out[j, i] = row[f"c_{i}_{j}"] or 0.0
-    return out
-
-
-def _solve(g: np.ndarray, chosen: Sequence[int]) -> tuple[np.ndarray, float]:
-    idx = [0, *[c + 1 for c in chosen]]
-    x, y = g[np.ix_(idx, idx)], g[idx, -1]
-    # Scaling to unit diagonal keeps the normal equations well conditioned.
-    scale = np.sqrt(np.maximum(np.diag(x), 1e-300))
-    beta = np.linalg.lstsq(x / np.outer(scale, scale), y / scale, rcond=None)[0] / scale
-    return beta, float(max(g[-1, -1] - beta @ y, 0.0))
-
-
 def _aic(n: float, rss: float, params: int) -> float:
     return n * math.log(max(rss, 1e-300) / n) + 2 * params
 
 
 def fit_linear(df: DataFrame, response: str, variables: Sequence[str], stepwise: bool = True) -> LinearModel:
-    """Least squares, by default with two-way stepwise selection by AIC starting from the full model."""
+    """Least squares, by default with two-way stepwise selection by AIC starting from the full model.
+
+    Columns are centred on their means and reduced to a triangular factor by a tree of tasks; selection steps on that factor. Rows in
+    which a column is null or NaN are left out. Without any complete row the coefficients are zero and the statistics NaN.
+    """
     variables = list(variables)
-    g = gram(df, response, variables)
-    n = int(round(g[0, 0]))
+    columns = [*variables, response]
+    known = [F.when(F.isnan(c), None).otherwise(c) for c in (F.col(f"`{c}`").cast("double") for c in columns)]
+    complete = df.where(reduce(and_, [c.isNotNull() for c in known]))
+    centres = [m or 0.0 for m in complete.agg(*[F.avg(c) for c in known]).first()]
+    n, r = triangle(complete, columns, centres)
     chosen = list(range(len(variables)))
-    _, rss = _solve(g, chosen)
-    while stepwise:
+    beta, rss = least_squares(r, chosen)
+    while stepwise and n:
         current = _aic(n, rss, len(chosen) + 1)
         moves = [[c for c in chosen if c != d] for d in chosen]
         moves += [sorted([*chosen, a]) for a in range(len(variables)) if a not in chosen]
-        trials = [(_aic(n, _solve(g, m)[1], len(m) + 1), m) for m in moves]
+        trials = [(_aic(n, least_squares(r, m)[1], len(m) + 1), m) for m in moves]
         if not trials or min(trials)[0] >= current - 1e-9:
             break
         chosen = min(trials)[1]
-        rss = _solve(g, chosen)[1]
-    beta, rss = _solve(g, chosen)
+        beta, rss = least_squares(r, chosen)
     k = len(chosen)
-    tss = g[-1, -1] - g[0, -1] ** 2 / n
+    tss = least_squares(r, [])[1]
     r2 = 1 - rss / tss if tss > 0 else float("nan")
     free = n - k - 1
     adjusted = 1 - (1 - r2) * (n - 1) / free if free > 0 else float("nan")
     f_stat = (r2 / k) / ((1 - r2) / free) if k and free > 0 and r2 < 1 else float("inf")
     p = float(f_upper_tail_array(f_stat, k, free)) if k and free > 0 else float("nan")
-    idx = [c + 1 for c in chosen]
-    centred = g[np.ix_(idx, idx)] - np.outer(g[0, idx], g[0, idx]) / n
-    sd = np.sqrt(np.diag(centred))
-    inverse = np.linalg.pinv(centred / np.outer(sd, sd)) if k else np.zeros((0, 0))
+    # without the ones, the factor of the chosen columns is that of their centred values
+    own = np.linalg.qr(r[:, [0, *[c + 1 for c in chosen]]], mode="r")[1 : k + 1, 1:]
+    length = np.linalg.norm(own, axis=0)
+    scaled = own / np.where(length > 0, length, 1)
+    inverse = np.linalg.pinv(scaled.T @ scaled) if k else np.zeros((0, 0))
     names = [variables[c] for c in chosen]
+    intercept = beta[0] + centres[-1] - sum(b * centres[c] for b, c in zip(beta[1:], chosen))
     return LinearModel(
-        response, names, float(beta[0]), [float(b) for b in beta[1:]], n, rss, adjusted, p,
-        {name: float(inverse[i, i]) for i, name in enumerate(names)},
+        response, names, float(intercept), [float(b) for b in beta[1:]], n, rss, adjusted, p,
+        {name: float(inverse[i, i]) for i, name in enumerate(names)}, [centres[c] for c in chosen], float(beta[0] + centres[-1]),
     )
 
 

@@ -255,17 +255,42 @@ def q_univariate_regression(spark, sf_dir):
     return rounded(rounded(out, ["adj_r_sq"]), ["f_stat"], 4)
 
 
+_TESTED = {"sCPP_SYN01_Mean_3": "l_quantity", "sCPP_SYN01_SD_3": "l_discount", "sCPP_SYN02_Mean_4": "l_tax"}
+
+
 def _regression_table(spark, sf_dir):
-    names = {"l_quantity": "sCPP_SYN01_Mean_3", "l_discount": "sCPP_SYN01_SD_3", "l_tax": "sCPP_SYN02_Mean_4"}
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_extendedprice").alias("delta_g"), *[F.col(c).alias(n) for c, n in names.items()]
+        F.col("l_extendedprice").alias("delta_g"), *[F.col(c).alias(n) for n, c in _TESTED.items()]
     )
-    return single_receptor.univariate_regression(rows, "delta_g", list(names.values()))
+    return single_receptor.univariate_regression(rows, "delta_g", list(_TESTED))
 
 
-@query("univariate_pvalues")
+def _pvalues_sql() -> str:
+    """Upper tails of F(1, n - 2) by Lentz's continued fraction of the incomplete beta function."""
+    parts = " UNION ALL ".join(
+        f"SELECT '{name}' AS feature, regr_count(l_extendedprice, {c}) AS n, regr_r2(l_extendedprice, {c}) AS r2 FROM lineitem"
+        for name, c in _TESTED.items()
+    )
+    return f"""WITH RECURSIVE t AS ({parts}),
+g AS MATERIALIZED (SELECT *, r2 * (n - 2) / (1 - r2) AS f, (n - 2) / 2.0::DOUBLE AS p, 0.5::DOUBLE AS q, 1 - r2 AS u FROM t),
+h AS MATERIALIZED (SELECT *, u > (p + 1) / (p + q + 2) AS flip FROM g),
+k AS MATERIALIZED (SELECT feature, n, r2, f, flip, CASE WHEN flip THEN q ELSE p END AS a, CASE WHEN flip THEN p ELSE q END AS b,
+  CASE WHEN flip THEN 1 - u ELSE u END AS x FROM h),
+l AS (SELECT feature, 0 AS i, 1.0::DOUBLE AS fr, 1.0::DOUBLE AS c, 0.0::DOUBLE AS d FROM k UNION ALL
+  SELECT feature, i + 1, fr * ((1 + num / c) / (1 + num * d)), 1 + num / c, 1 / (1 + num * d)
+  FROM (SELECT l.*, CASE WHEN i = 0 THEN 1.0::DOUBLE WHEN i % 2 = 0 THEN (i / 2) * (b - i / 2) * x / ((a + i - 1) * (a + i))
+      ELSE -(a + (i - 1) / 2) * (a + b + (i - 1) / 2) * x / ((a + i - 1) * (a + i)) END AS num FROM l JOIN k USING (feature)
+    WHERE i < 600)),
+z AS (SELECT feature, arg_max(fr, i) AS fr FROM l GROUP BY feature),
+v AS (SELECT k.*, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) * (fr - 1) / a AS ib FROM k JOIN z USING (feature))
+SELECT feature, split_part(feature, '_', 2) AS aaindex_id, n, {r("1 - (1 - r2) * (n - 1) / (n - 2)", "adj_r_sq")}, {r("f", "f_stat", 4)},
+  {r("CASE WHEN flip THEN 1 - ib ELSE ib END", "p_value", 7)} FROM v"""
+
+
+@query("univariate_pvalues", _pvalues_sql())
 def q_univariate_pvalues(spark, sf_dir):
-    return _regression_table(spark, sf_dir)
+    out = rounded(_regression_table(spark, sf_dir), ["adj_r_sq"])
+    return rounded(rounded(out, ["f_stat"], 4), ["p_value"], 7)
 
 
 # Two of the three follow the price; quantity does not.
@@ -312,10 +337,41 @@ def q_multivariate_regression(spark, sf_dir):
     return rounded(rows.select("l_orderkey", "l_linenumber", model.prediction().alias("prediction")), ["prediction"], 3)
 
 
-@query("stepwise_regression")
+def _stepwise_sql() -> str:
+    """All eight subsets of the predictors are fitted; the walk goes from the full one to its best neighbour while that is better."""
+    y, xs, n = "l_extendedprice", _PREDICTORS, range(3)
+    sums = [f"covar_pop({xs[i]}, {xs[j]}) * count(*) AS s{i}{j}" for i in n for j in n]
+    sums += [f"covar_pop({xs[i]}, {y}) * count(*) AS y{i}" for i in n] + [f"avg({x}) AS m{i}" for i, x in enumerate(xs)]
+    # a predictor that is left out has a row of its own with a coefficient of zero
+    cells = ", ".join(
+        f"CASE WHEN (mask >> {i}) & (mask >> {j}) & 1 = 1 THEN s{i}{j} ELSE {float(i == j)}::DOUBLE END AS a{i}{j}" for i in n for j in n
+    )
+    right = ", ".join(f"CASE WHEN (mask >> {i}) & 1 = 1 THEN y{i} ELSE 0.0::DOUBLE END AS r{i}" for i in n)
+
+    def det(c: list[list[str]]) -> str:
+        (a, b, d), (e, f, g), (h, i, j) = c
+        return f"({a} * ({f} * {j} - {g} * {i}) - {b} * ({e} * {j} - {g} * {h}) + {d} * ({e} * {i} - {f} * {h}))"
+
+    matrix = [[f"a{i}{j}" for j in n] for i in n]
+    betas = ", ".join(
+        f"{det([[f'r{i}' if j == k else matrix[i][j] for j in n] for i in n])} / {det(matrix)} AS b{k}" for k in n
+    )
+    return f"""WITH RECURSIVE s AS (SELECT count(*) AS n, var_pop({y}) * count(*) AS yy, avg({y}) AS my, {", ".join(sums)} FROM lineitem),
+a AS (SELECT *, {cells}, {right} FROM s, (SELECT unnest(range(8)) AS mask)),
+b AS (SELECT *, {betas} FROM a),
+m AS MATERIALIZED (SELECT *, n * ln((yy - b0 * r0 - b1 * r1 - b2 * r2) / n) + 2 * (bit_count(mask) + 1) AS aic FROM b),
+nx AS MATERIALIZED (SELECT c.mask AS src, arg_min(x.mask, x.aic) AS dst FROM m c JOIN m x
+  ON bit_count(xor(c.mask, x.mask)) = 1 AND x.aic < c.aic - 1e-9 GROUP BY c.mask),
+w AS (SELECT 7::BIGINT AS mask, 0 AS step UNION ALL SELECT nx.dst, step + 1 FROM w JOIN nx ON nx.src = w.mask),
+f AS (SELECT m.* FROM m WHERE mask = (SELECT arg_max(mask, step) FROM w))
+SELECT l_orderkey, l_extendedprice, {", ".join(xs)},
+  {r("my + " + " + ".join(f"b{i} * ({x} - m{i})" for i, x in enumerate(xs)), "prediction", 3)} FROM lineitem, f"""
+
+
+@query("stepwise_regression", _stepwise_sql())
 def q_stepwise_regression(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", *_PREDICTORS)
-    return single_receptor.multivariate_prediction(rows, "l_extendedprice", _PREDICTORS)
+    return rounded(single_receptor.multivariate_prediction(rows, "l_extendedprice", _PREDICTORS), ["prediction"], 3)
 
 
 @query(
