@@ -1,10 +1,6 @@
 """Immunogenicity scores: seeded folds, extremely randomised trees, out-of-fold and external scores.
 
-Trees are grown level by level over the distributed training table.  A level takes two aggregation jobs:
-the range of each node's candidate features, then the class weights on either side of one random cut per
-candidate.  Tasks combine their rows first, so what is shuffled and what reaches the driver is one
-small record per open node; the training rows themselves never leave their partitions and no tree needs
-all rows in one task.  All trees of all seeds and folds advance together.
+The trees of all seeds and folds are grown together into a table of nodes (``trees``), which is stored, loaded and scored as a table.
 
 Centring and scaling features does not change these trees (cuts are uniform between a node's minimum and
 maximum), so raw values are used.
@@ -13,19 +9,16 @@ maximum), so raw values are used.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from copy import deepcopy
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash
 from ..functions.ordered import hash_rank
 from ..session import spread, stage
 from .relational import keep_first
+from .trees import Forest, grow, model_scores
 
 N_FOLDS = 5
 # Fixed value: features tried per split.
@@ -48,17 +41,19 @@ def kfold_assign(df: DataFrame, seed: int, key: str = "peptide", folds: int = N_
     return ranked.withColumn(out, _fold_number(F.col("_rank"), F.col("_size"), folds)).drop("_rank", "_size")
 
 
-def seed_folds(peptides: DataFrame, seeds: Sequence[int], folds: int = N_FOLDS) -> DataFrame:
-    """(peptide, folds): the fold of :func:`kfold_assign` for every seed, in seed order, from one ranking job."""
-    drawn = peptides.select("peptide", F.posexplode(F.array(*[F.lit(s) for s in seeds])).alias("_at", "_seed"))
-    ranked = hash_rank(drawn, F.col("_seed"), ["peptide"], ["_seed"], rank="_rank", size="_size")
-    numbered = ranked.select(
-        "peptide", F.struct("_at", _fold_number(F.col("_rank"), F.col("_size"), folds).alias("fold")).alias("f")
-    )
-    # One entry per seed: the collected array is as long as the seed list.
-    return numbered.groupBy("peptide").agg(
-        F.transform(F.array_sort(F.collect_list("f")), lambda f: f["fold"]).alias("folds")
-    )
+def seed_folds(peptides: DataFrame, seeds: Sequence[int], folds: int = N_FOLDS, drawn: DataFrame | None = None) -> DataFrame:
+    """(peptide, folds): the fold of :func:`kfold_assign` for every seed, in seed order, from one ranking job.
+
+    With ``drawn`` (peptide, seed) folds are dealt among the peptides that a seed drew; the fold is 0 where it did not.
+    """
+    pairs = peptides.select("peptide", F.posexplode(F.array(*[F.lit(s) for s in seeds])).alias("_at", "_seed"))
+    if drawn is not None:
+        pairs = pairs.join(drawn.select("peptide", F.col("seed").alias("_seed")).distinct(), ["peptide", "_seed"], "left_semi")
+    ranked = hash_rank(pairs, F.col("_seed"), ["peptide"], ["_seed"], rank="_rank", size="_size")
+    numbered = ranked.select("peptide", "_at", _fold_number(F.col("_rank"), F.col("_size"), folds).alias("fold"))
+    # one entry per seed: the array is as long as the seed list
+    own = [F.coalesce(F.max(F.when(F.col("_at") == i, F.col("fold"))), F.lit(0)) for i in range(len(seeds))]
+    return numbered.groupBy("peptide").agg(F.array(*own).alias("folds"))
 
 
 def class_weights(df: DataFrame, label: str = "immunogenicity") -> DataFrame:
@@ -66,100 +61,8 @@ def class_weights(df: DataFrame, label: str = "immunogenicity") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"), (1.0 / F.count("*")).alias("weight"))
 
 
-@dataclass
-class Forest:
-    """Trees of all (seed, fold) models in one node table. The first nodes are the roots, in tree order; an inner node's children are
-    ``left`` and ``left + 1``; a leaf has feature -1."""
-
-    features: list[str]
-    models: list[tuple[int, int]]
-    trees_per_model: int
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    prob: np.ndarray
-    tree: np.ndarray
-
-    @classmethod
-    def planted(cls, features: list[str], models: list[tuple[int, int]], trees_per_model: int) -> "Forest":
-        n = len(models) * trees_per_model
-        return cls(
-            features, models, trees_per_model, np.full(n, -1, np.int32), np.zeros(n), np.full(n, -1, np.int64),
-            np.full(n, 0.5), np.arange(n),
-        )
-
-    @property
-    def n_trees(self) -> int:
-        return len(self.models) * self.trees_per_model
-
-    def model_of_tree(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.models)), self.trees_per_model)
-
-    def nodes(self, x: np.ndarray) -> np.ndarray:
-        """The node each row reaches in each tree."""
-        at = np.tile(np.arange(self.n_trees), (len(x), 1))
-        rows = np.arange(len(x))[:, None]
-        while True:
-            f = self.feature[at]
-            inner = f >= 0
-            if not inner.any():
-                return at
-            right = x[rows, np.where(inner, f, 0)] >= self.threshold[at]
-            at = np.where(inner, self.left[at] + right, at)
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Mean positive probability per row and model."""
-        return self.prob[self.nodes(x)].reshape(len(x), len(self.models), self.trees_per_model).mean(axis=2)
-
-    def split(self, nodes: np.ndarray, feature: np.ndarray, threshold: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        """Give nodes two children each; ``prob`` has a column per child. Returns the numbers of the left children."""
-        left = len(self.feature) + 2 * np.arange(len(nodes))
-        self.feature[nodes], self.threshold[nodes], self.left[nodes] = feature, threshold, left
-        n = 2 * len(nodes)
-        self.feature = np.concatenate((self.feature, np.full(n, -1, np.int32)))
-        self.threshold = np.concatenate((self.threshold, np.zeros(n)))
-        self.left = np.concatenate((self.left, np.full(n, -1, np.int64)))
-        self.prob = np.concatenate((self.prob, prob.reshape(-1)))
-        self.tree = np.concatenate((self.tree, np.repeat(self.tree[nodes], 2)))
-        return left
-
-    def to_table(self, spark: SparkSession) -> DataFrame:
-        """One row per node, for saving as Parquet; the roots also carry the feature names."""
-        seed, fold = (np.array(m)[self.model_of_tree()[self.tree]] for m in zip(*self.models))
-        names = [self.features if i < self.n_trees else None for i in range(len(self.feature))]
-        columns = {
-            "node": np.arange(len(self.feature)), "seed": seed, "fold": fold, "tree": self.tree, "feature": self.feature,
-            "threshold": self.threshold, "left": self.left, "prob": self.prob,
-        }
-        arrays = {k: pa.array(v) for k, v in columns.items()} | {"names": pa.array(names, pa.list_(pa.string()))}
-        return spark.createDataFrame(pa.table(arrays))
-
-    @classmethod
-    def from_table(cls, table: DataFrame) -> "Forest":
-        rows = table.orderBy("node").toArrow().to_pydict()
-        roots = sum(n is not None for n in rows["names"])
-        models = list(dict.fromkeys(zip(rows["seed"][:roots], rows["fold"][:roots])))
-        arrays = [np.array(rows[c], t) for c, t in (("feature", np.int32), ("threshold", float), ("left", np.int64), ("prob", float), ("tree", np.int64))]
-        return cls(list(rows["names"][0]), models, roots // len(models), *arrays)
-
-
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    return np.vstack(pdf["features"].to_numpy()).astype(float) if len(pdf) else np.empty((0, 0))
-
-
-# Cells of a (rows x trees) work array; batches are cut so that wide forests stay within memory.
-_CELLS = 4_000_000
-
-
-def _pieces(batches, trees: int):
-    step = max(1, _CELLS // max(trees, 1))
-    for pdf in batches:
-        for start in range(0, len(pdf), step):
-            yield pdf.iloc[start : start + step]
-
-
 def training_table(
-    features: DataFrame, metadata: DataFrame, feature_set: Sequence[str] | None, seeds: Sequence[int]
+    features: DataFrame, metadata: DataFrame, feature_set: Sequence[str] | None, seeds: Sequence[int], drawn: DataFrame | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Join labels to features and add one fold number per seed; returns the staged table and the feature names."""
     joined = metadata.join(features, "peptide")
@@ -168,7 +71,7 @@ def training_table(
     else:
         names = list(feature_set)
     known = stage(metadata.select("peptide").join(features.select("peptide"), "peptide", "left_semi"))
-    folds = seed_folds(known, seeds)
+    folds = seed_folds(known, seeds, drawn=drawn)
     packed = joined.select(
         "peptide",
         (F.col("immunogenicity") == "Positive").cast("int").alias("label"),
@@ -188,20 +91,14 @@ def _model_weights(table: DataFrame, seeds: Sequence[int]) -> np.ndarray:
     total = np.zeros((len(seeds), 2))
     held = np.zeros((len(seeds), N_FOLDS, 2))
     for s, fold, label, n in rows:
+        if not fold:
+            continue
         total[s, label] += n
         held[s, fold - 1, label] += n
     train = (total[:, None, :] - held).reshape(-1, 2)
     return 1.0 / np.maximum(train, 1.0)
 
 
-def _node_sums(nodes: np.ndarray, open_slot: np.ndarray):
-    """Sort rows by open node: (row order, node of each run, start of each run); closed nodes are left out."""
-    inside = np.flatnonzero(open_slot[nodes] >= 0)
-    order = inside[np.argsort(nodes[inside], kind="stable")]
-    ids, starts = np.unique(nodes[order], return_index=True)
-    return order, ids, starts
-
-
 def train_models(
     features: DataFrame,
     metadata: DataFrame,
@@ -210,161 +107,27 @@ def train_models(
     n_trees: int = 500,
     max_depth: int | None = None,
     mtry: int = FEATURES_PER_SPLIT,
+    drawn: DataFrame | None = None,
 ) -> tuple[Forest, DataFrame]:
     """Grow ``n_trees`` extremely randomised trees per (seed, fold); returns them and the training table.
 
-    Trees grow until every leaf is pure or has no cut; ``max_depth`` stops them earlier, for trials. A fully grown forest has
-    at most two nodes per training row and tree, which the driver and the executors hold.
+    Trees grow until every leaf is pure or has no cut; ``max_depth`` stops them earlier, for trials. ``drawn`` (peptide, seed) limits
+    a seed's models to some peptides; all seeds still grow in one job. The nodes are a table (see ``trees``).
     """
-    table, names = training_table(features, metadata, feature_set, seeds)
+    table, names = training_table(features, metadata, feature_set, seeds, drawn)
     models = [(s, k) for s in seeds for k in range(1, N_FOLDS + 1)]
     weights = _model_weights(table, seeds)
-    forest = Forest.planted(names, models, n_trees)
-    owner = forest.model_of_tree()
-    rng = np.random.default_rng(list(seeds))
-    tries = min(mtry, len(names))
-    context = table.sparkSession.sparkContext
-    frontier = np.arange(forest.n_trees)
-    depth = 0
-    while len(frontier) and (max_depth is None or depth < max_depth):
-        slot = np.full(len(forest.feature), -1, np.int64)
-        slot[frontier] = np.arange(len(frontier))
-        candidates = rng.random((len(frontier), len(names))).argsort(axis=1)[:, :tries]
-        draws = rng.random((len(frontier), tries))
-        # The node table is copied so that broadcasts of earlier levels stay what they were.
-        shared = context.broadcast((deepcopy(forest), slot, candidates, owner, weights))
-        ranges = _level_ranges(table, shared, tries)
-        low, high = ranges[:, :tries], ranges[:, tries:]
-        cuts = low + (high - low) * draws
-        sums = _level_sums(table, shared, context.broadcast(cuts), tries)
-        frontier = _split_nodes(forest, frontier, candidates, low, high, cuts, sums, tries)
-        depth += 1
-    return forest, table
-
-
-def _per_level(table: DataFrame, per_tree, trees: int, combine):
-    """Run ``per_tree`` over every batch and combine the records of each open node inside the task."""
-
-    def run(batches):
-        acc: dict[int, np.ndarray] = {}
-        for pdf in _pieces(batches, trees):
-            for slots, values in per_tree(pdf):
-                for s, v in zip(slots.tolist(), values):
-                    acc[s] = combine(acc[s], v) if s in acc else v
-        if acc:
-            yield pd.DataFrame({"slot": list(acc), "v": [a.tolist() for a in acc.values()]})
-
-    return table.select("label", "features", "folds").mapInPandas(run, "slot long, v array<double>")
-
-
-def _level_ranges(table: DataFrame, shared, tries: int) -> np.ndarray:
-    """Minimum and maximum of every candidate feature in every open node."""
-
-    def per_tree(pdf):
-        forest, slot, candidates, owner, _ = shared.value
-        x, folds = _matrix(pdf), np.vstack(pdf["folds"].to_numpy())
-        nodes = forest.nodes(x)
-        for t in range(len(owner)):
-            seed_index, fold = divmod(int(owner[t]), N_FOLDS)
-            rows = np.flatnonzero(folds[:, seed_index] != fold + 1)
-            order, ids, starts = _node_sums(nodes[rows, t], slot)
-            if not ids.size:
-                continue
-            picked = rows[order]
-            slots = slot[ids]
-            cand = candidates[slot[nodes[picked, t]]]
-            values = x[picked[:, None], cand]
-            yield slots, np.hstack([np.fmin.reduceat(values, starts), -np.fmax.reduceat(values, starts)])
-
-    partial = _per_level(table, per_tree, len(shared.value[3]), np.fmin)
-    rows = partial.groupBy("slot").agg(*[F.min(F.col("v")[i]).alias(f"m{i}") for i in range(2 * tries)]).collect()
-    _, _, candidates, _, _ = shared.value
-    out = np.zeros((len(candidates), 2 * tries))
-    for row in rows:
-        out[row["slot"]] = row[1:]
-    out[:, tries:] *= -1
-    return out
-
-
-def _level_sums(table: DataFrame, shared, shared_cuts, tries: int) -> np.ndarray:
-    """Class weights of every open node (2) and of the left side of every candidate cut (2 per candidate)."""
-
-    def per_tree(pdf):
-        forest, slot, candidates, owner, weights = shared.value
-        cuts = shared_cuts.value
-        x, folds = _matrix(pdf), np.vstack(pdf["folds"].to_numpy())
-        label = pdf["label"].to_numpy()
-        nodes = forest.nodes(x)
-        for t in range(len(owner)):
-            seed_index, fold = divmod(int(owner[t]), N_FOLDS)
-            rows = np.flatnonzero(folds[:, seed_index] != fold + 1)
-            order, ids, starts = _node_sums(nodes[rows, t], slot)
-            if not ids.size:
-                continue
-            picked = rows[order]
-            slots_row = slot[nodes[picked, t]]
-            w = weights[owner[t], label[picked]]
-            classes = np.stack([w * (label[picked] == 0), w * (label[picked] == 1)], axis=1)
-            left = ~(x[picked[:, None], candidates[slots_row]] >= cuts[slots_row])
-            sides = (left[:, :, None] * classes[:, None, :]).reshape(len(picked), 2 * tries)
-            yield slot[ids], np.add.reduceat(np.hstack([classes, sides]), starts)
-
-    partial = _per_level(table, per_tree, len(shared.value[3]), np.add)
-    rows = partial.groupBy("slot").agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(2 + 2 * tries)]).collect()
-    out = np.zeros((len(shared.value[2]), 2 + 2 * tries))
-    for row in rows:
-        out[row["slot"]] = row[1:]
-    return out
-
-
-def _gini(weights: np.ndarray) -> np.ndarray:
-    """Weighted Gini impurity: total weight times 2p(1-p)."""
-    total = weights.sum(axis=-1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.where(total > 0, weights[..., 1] / total, 0.0)
-    return total * 2 * p * (1 - p)
-
-
-def _split_nodes(forest, frontier, candidates, low, high, cuts, sums, tries):
-    """Close pure nodes, give the others their best cut, and return the next level's open nodes."""
-    parent = sums[:, :2]
-    left = sums[:, 2:].reshape(-1, tries, 2)
-    right = np.maximum(parent[:, None, :] - left, 0.0)
-    after = _gini(left) + _gini(right)
-    usable = (high > low) & (left.sum(axis=2) > 0) & (right.sum(axis=2) > 1e-15)
-    after = np.where(usable, after, np.inf)
-    best = after.argmin(axis=1)
-    rows = np.arange(len(frontier))
-    weight = parent.sum(axis=1)
-    forest.prob[frontier] = np.where(weight > 0, parent[:, 1] / np.where(weight > 0, weight, 1), forest.prob[frontier])
-    grows = np.flatnonzero((parent.min(axis=1) > 1e-15) & np.isfinite(after[rows, best]))
-    b = best[grows]
-    sides = np.stack([left[grows, b], right[grows, b]], axis=1)
-    children = forest.split(frontier[grows], candidates[grows, b], cuts[grows, b], sides[:, :, 1] / sides.sum(axis=2))
-    mixed = sides.min(axis=2) > 1e-15
-    return (children[:, None] + np.arange(2))[mixed]
+    nodes = grow(table, len(names), models, weights, n_trees, min(mtry, len(names)), max_depth, N_FOLDS)
+    return Forest(nodes, names, models, n_trees), table
 
 
 def internal_scores(forest: Forest, table: DataFrame) -> DataFrame:
-    """Out-of-fold score of every peptide once per seed: (peptide, seed, fold, immunogenicity_score)."""
-    shared = table.sparkSession.sparkContext.broadcast(forest)
+    """Out-of-fold score of every peptide once per seed that drew it: (peptide, seed, fold, immunogenicity_score)."""
     seeds = list(dict.fromkeys(s for s, _ in forest.models))
-
-    def run(batches):
-        for pdf in _pieces(batches, shared.value.n_trees):
-            scores = shared.value.scores(_matrix(pdf)).reshape(len(pdf), len(seeds), N_FOLDS)
-            folds = np.vstack(pdf["folds"].to_numpy())
-            held = np.take_along_axis(scores, (folds - 1)[:, :, None], axis=2)[:, :, 0]
-            yield pd.DataFrame(
-                {
-                    "peptide": np.repeat(pdf["peptide"].to_numpy(), len(seeds)),
-                    "seed": np.tile(seeds, len(pdf)),
-                    "fold": folds.ravel(),
-                    "immunogenicity_score": held.ravel(),
-                }
-            )
-
-    return table.mapInPandas(run, "peptide string, seed int, fold int, immunogenicity_score double")
+    scored = model_scores(forest, table, ["peptide", "folds"])
+    at = scored.select("peptide", "scores", "folds", F.posexplode(F.array(*[F.lit(s) for s in seeds])).alias("_at", "seed"))
+    own = at.withColumn("fold", F.get("folds", F.col("_at"))).where("fold > 0")
+    return own.select("peptide", F.col("seed").cast("int"), "fold", F.get("scores", F.col("_at") * N_FOLDS + F.col("fold") - 1).alias("immunogenicity_score"))
 
 
 def summarize_scores(scores: DataFrame, keys: Sequence[str] = ("peptide",)) -> DataFrame:
@@ -388,19 +151,14 @@ def cluster_sample(clusters: DataFrame, seed: int) -> DataFrame:
 def immunogenicity_score_cluster(
     features: DataFrame, metadata: DataFrame, clusters: DataFrame, feature_set=None, seeds=(1, 2, 3, 4, 5), **options
 ) -> DataFrame:
-    """Score one random peptide per cluster and seed, then average over the seeds that drew a peptide."""
-    parts = None
-    for seed in seeds:
-        drawn = cluster_sample(clusters, seed).select("peptide")
-        part = immunogenicity_score(
-            features.join(drawn, "peptide", "left_semi"),
-            metadata.join(drawn, "peptide", "left_semi"),
-            feature_set,
-            seeds=[seed],
-            **options,
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    return summarize_scores(parts)
+    """Score one random peptide per cluster and seed, then average over the seeds that drew a peptide. All seeds are trained together."""
+    parts = [cluster_sample(clusters, seed).select("peptide", F.lit(seed).cast("int").alias("seed")) for seed in seeds]
+    drawn = parts[0]
+    for part in parts[1:]:
+        drawn = drawn.unionByName(part)
+    known = metadata.join(stage(drawn).select("peptide").distinct(), "peptide", "left_semi")
+    forest, table = train_models(features, known, feature_set, seeds=seeds, drawn=drawn, **options)
+    return summarize_scores(internal_scores(forest, table))
 
 
 def predict_external(forest: Forest, features: DataFrame, data: str | None = None) -> DataFrame:
@@ -409,17 +167,8 @@ def predict_external(forest: Forest, features: DataFrame, data: str | None = Non
     ``data`` names a column that tells data sets apart.
     """
     keys = ([data] if data else []) + ["peptide"]
-    shared = features.sparkSession.sparkContext.broadcast(forest)
-    packed = features.select(
-        *keys, F.array(*[F.col(f"`{c}`").cast("double") for c in forest.features]).alias("features")
-    )
-
-    def run(batches):
-        for pdf in _pieces(batches, shared.value.n_trees):
-            yield pdf[keys].assign(scores=list(shared.value.scores(_matrix(pdf))))
-
-    schema = ", ".join(f"{k} {packed.schema[k].dataType.simpleString()}" for k in keys) + ", scores array<double>"
-    scored = packed.mapInPandas(run, schema).select(*keys, F.explode("scores").alias("immunogenicity_score"))
+    packed = features.select(*keys, F.array(*[F.col(f"`{c}`").cast("double") for c in forest.features]).alias("features"))
+    scored = model_scores(forest, packed, keys).select(*keys, F.explode("scores").alias("immunogenicity_score"))
     return summarize_scores(scored, keys)
 
 

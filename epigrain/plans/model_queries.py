@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import scoring, selection, single_receptor
 from ..operators.ingest import epitope_import
-from ..session import stage
+from ..session import checkpoint_dir, remove_at_end, stage
 from .inputs import OBSERVATIONS_SQL, WORDS_SQL, hash_sql, observations, table, word_rows
 from .registry import query, r, rnd, rounded
 
@@ -211,26 +213,40 @@ def q_minimum_features(spark, sf_dir):
     return spark.createDataFrame(rows, "size int, feature string")
 
 
+#: Trees per model and seeds of the scores, as the scoring run takes them by default.
+TREES, SEEDS = 500, (1, 2, 3, 4, 5)
+
+
 @query("score_oof")
 def q_score_oof(spark, sf_dir):
     metadata = embedding_metadata(spark, sf_dir).drop("cluster")
-    forest, rows = scoring.train_models(
-        embedding_features(spark, sf_dir), metadata, FEATURES, seeds=(1, 2), n_trees=5
-    )
+    forest, rows = scoring.train_models(embedding_features(spark, sf_dir), metadata, FEATURES, seeds=SEEDS, n_trees=TREES)
     return scoring.summarize_scores(scoring.internal_scores(forest, rows))
 
 
+@query("score_cluster")
+def q_score_cluster(spark, sf_dir):
+    """One vector per cluster and seed is scored; the models of all seeds grow in one job."""
+    metadata = embedding_metadata(spark, sf_dir)
+    return scoring.immunogenicity_score_cluster(
+        embedding_features(spark, sf_dir), metadata.drop("cluster"), metadata.select("peptide", "cluster"), FEATURES, seeds=SEEDS, n_trees=TREES
+    )
+
+
 @query("predict_external")
 def q_predict_external(spark, sf_dir):
+    """The trees are stored, loaded and then score every vector as an external one, by label."""
     metadata = embedding_metadata(spark, sf_dir).drop("cluster")
-    features = embedding_features(spark, sf_dir)
-    forest, _ = scoring.train_models(features, metadata, FEATURES, seeds=(1,), n_trees=5)
+    grown, _ = scoring.train_models(embedding_features(spark, sf_dir), metadata, FEATURES, seeds=SEEDS, n_trees=TREES)
+    path = f"{checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"
+    remove_at_end(spark, path)
+    grown.save(path)
     external = table(spark, sf_dir, "embeddings").select(
         F.col("label").alias("data"),
         F.col("vec_id").cast("string").alias("peptide"),
         *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)],
     )
-    return scoring.predict_external(forest, external, "data")
+    return scoring.predict_external(scoring.Forest.load(spark, path), external, "data")
 
 
 # --- regressions ------------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from epigrain.operators import diagnostics, scoring, selection, single_receptor
+from epigrain.operators import diagnostics, scoring, selection, single_receptor, trees
 
 OPTIONS = dict(seeds=(1, 2), n_trees=6)
 
@@ -46,31 +46,83 @@ def test_out_of_fold_scores(labelled, trained):
     assert auc["auc"] > 85 and auc["ci_lo"] < auc["auc"] < auc["ci_up"]
 
 
+def node_rows(forest):
+    return {(r.tree, r.node): (r.feature, r.cut, r.left, r.right, r.prob) for r in forest.nodes.collect()}
+
+
+def plain_walk(nodes, root, tree, x):
+    """The leaf that a row reaches."""
+    node = root
+    while nodes[tree, node][0] >= 0:
+        feature, cut, left, right, _ = nodes[tree, node]
+        node = left if x[feature] < cut else right
+    return node
+
+
+def test_hashes_are_those_of_the_engine(spark):
+    values = [0, 1, -1, 7, 2**62, -(2**63)]
+    df = spark.createDataFrame([(a, b) for a in values for b in values], "a long, b long")
+    rows = df.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+    got = trees.hash_longs(np.array([r.a for r in rows]), np.array([r.b for r in rows]))
+    assert got.tolist() == [r.h for r in rows]
+
+
 def test_training_is_repeatable_and_storable(spark, labelled, trained, tmp_path):
     features, metadata = labelled
-    forest, _ = trained
+    forest, table = trained
     again, _ = scoring.train_models(features, metadata.drop("cluster"), **OPTIONS)
-    assert np.array_equal(forest.feature, again.feature) and np.allclose(forest.threshold, again.threshold)
-    forest.to_table(spark).write.parquet(str(tmp_path / "forest"))
-    loaded = scoring.Forest.from_table(spark.read.parquet(str(tmp_path / "forest")))
-    x = np.random.default_rng(1).normal(size=(5, 6))
-    assert np.array_equal(loaded.scores(x), forest.scores(x)) and loaded.models == forest.models
+    assert node_rows(forest) == node_rows(again)
+    forest.save(str(tmp_path / "forest"))
+    loaded = scoring.Forest.load(spark, str(tmp_path / "forest"))
+    assert loaded.models == forest.models and loaded.features == forest.features
+    want = {r.peptide: r.scores for r in trees.model_scores(forest, table, ["peptide"]).collect()}
+    assert want == {r.peptide: r.scores for r in trees.model_scores(loaded, table, ["peptide"]).collect()}
+
+
+def test_levels_and_tasks_grow_the_same_trees(labelled, trained, monkeypatch):
+    features, metadata = labelled
+    with_gaps = features.withColumn("f3", F.when(F.col("f3") > 1.2, None).otherwise(F.col("f3"))).limit(150)
+    options = dict(seeds=(3,), n_trees=2)
+    few, _ = scoring.train_models(with_gaps, metadata.drop("cluster"), **options)
+    monkeypatch.setattr(trees, "TASK_CELLS", 0)
+    many, _ = scoring.train_models(with_gaps, metadata.drop("cluster"), **options)
+    assert node_rows(few) == node_rows(many) and len(node_rows(few)) > 100
+    stopped, _ = scoring.train_models(with_gaps, metadata.drop("cluster"), max_depth=1, **options)
+    assert len(node_rows(stopped)) == 30
+
+
+def test_scores_are_those_of_a_plain_walk(labelled, trained, monkeypatch):
+    forest, table = trained
+    nodes, root = node_rows(forest), trees.roots(forest.models, forest.trees)
+    monkeypatch.setattr(trees, "BLOCK_NODES", 500)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 100)
+    got = {r.peptide: r.scores for r in trees.model_scores(forest, table, ["peptide"]).collect()}
+    for r in table.limit(25).collect():
+        probs = [nodes[t, plain_walk(nodes, int(root[t]), t, r.features)][4] for t in range(forest.n_trees)]
+        assert got[r.peptide] == pytest.approx(np.reshape(probs, (-1, forest.trees)).mean(axis=1).tolist())
+    folds = {r.peptide: r.folds for r in table.collect()}
+    for r in scoring.internal_scores(forest, table).collect():
+        s = (1, 2).index(r.seed)
+        assert r.fold == folds[r.peptide][s] and r.immunogenicity_score == pytest.approx(got[r.peptide][5 * s + r.fold - 1])
 
 
 def test_held_out_rows_do_not_shape_their_own_model(trained):
     forest, table = trained
-    rows = table.collect()
-    x = np.array([r["features"] for r in rows])
-    nodes = forest.nodes(x)
-    owner = forest.model_of_tree()
+    rows, nodes = table.collect(), node_rows(forest)
+    root = trees.roots(forest.models, forest.trees)
+    weights = scoring._model_weights(table, (1, 2))
     for t in (0, 17, 40):
-        seed_index, fold = divmod(int(owner[t]), 5)
-        weights = scoring._model_weights(table, (1, 2))[owner[t]]
-        inside = [i for i, r in enumerate(rows) if r["folds"][seed_index] != fold + 1]
-        for leaf in set(nodes[inside, t]):
-            w = [weights[rows[i]["label"]] * np.array([rows[i]["label"], 1]) for i in inside if nodes[i, t] == leaf]
-            positive, total = np.sum(w, axis=0)
-            assert forest.prob[leaf] == pytest.approx(positive / total)
+        model = t // forest.trees
+        seed_index, fold = divmod(model, 5)
+        inside = [r for r in rows if r["folds"][seed_index] != fold + 1]
+        sums = {}
+        for r in inside:
+            leaf = plain_walk(nodes, int(root[t]), t, r["features"])
+            sums.setdefault(leaf, np.zeros(2))[r["label"]] += weights[model, r["label"]]
+        assert len(sums) > 10
+        for leaf, w in sums.items():
+            assert nodes[t, leaf][4] == pytest.approx(w[1] / w.sum())
+        assert {n for (k, n), v in nodes.items() if k == t and v[0] < 0} == set(sums)
 
 
 def test_external_prediction(labelled, trained):
@@ -91,10 +143,15 @@ def test_cluster_scores(labelled):
     features, metadata = labelled
     clusters = metadata.select("peptide", "cluster")
     assert scoring.cluster_sample(clusters, 1).count() == 300
-    out = scoring.immunogenicity_score_cluster(
-        features, metadata.drop("cluster"), clusters, seeds=(1,), n_trees=2, max_depth=2
-    )
-    assert out.count() == 300
+    out = scoring.immunogenicity_score_cluster(features, metadata.drop("cluster"), clusters, seeds=(1, 2), n_trees=2)
+    got = {r.peptide: r for r in out.collect()}
+    drawn = [{r.peptide for r in scoring.cluster_sample(clusters, s).collect()} for s in (1, 2)]
+    assert set(got) == drawn[0] | drawn[1]
+    assert all((r.immunogenicity_score_cv is None) == (p not in drawn[0] & drawn[1]) for p, r in got.items() if r.immunogenicity_score > 0)
+    # one seed alone gives the scores that it adds to both
+    alone = scoring.immunogenicity_score_cluster(features, metadata.drop("cluster"), clusters, seeds=(1,), n_trees=2)
+    only = drawn[0] - drawn[1]
+    assert {r.peptide: r.immunogenicity_score for r in alone.collect() if r.peptide in only} == {p: got[p].immunogenicity_score for p in only}
 
 
 def test_split_and_scaling(labelled):
