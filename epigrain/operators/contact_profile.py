@@ -22,6 +22,7 @@ from ..functions.alphabet import AMINO_ACIDS
 from ..functions.distribution import MAD_SCALE, TRIM
 from ..functions.names import CPP, CPP_STATS, FeatureName, base_scale
 from ..session import spread
+from ..sources.features_io import resume
 from .fragments import library_sample
 
 MAX_SCALES = 2_000
@@ -296,3 +297,39 @@ def cpp_features(
         "library",
         *[F.when(~F.isnan(value[i]), value[i]).alias(name) for i, name in enumerate(names)],
     )
+
+
+def cpp_features_resumed(peptides: DataFrame, library: DataFrame, scales: DataFrame, folder: str, seeds: Sequence[int], **options) -> DataFrame:
+    """As :func:`cpp_features`, keeping what each seed adds to the averages below ``folder``.
+
+    A seed's state is additive: per (peptide, library) the sum and the number of its values for every column. Seeds whose state is
+    there are not scored again, so a run that was cut short, or one with further seeds, scores only what is missing. The state is keyed
+    by the options and by a digest of the peptides, of the scales and of each seed's own part of the library: other input never picks
+    it up.
+    """
+    spark = peptides.sparkSession
+
+    def digest(df: DataFrame, *columns: str) -> str:
+        row = df.select(F.xxhash64(*columns).alias("h"))
+        return str(tuple(row.agg(F.count("h"), F.bit_xor("h"), F.sum(F.expr("cast(h AS decimal(38, 0))"))).first()))
+
+    common = {"peptides": digest(peptides, "peptide"), "scales": digest(scales, "aaindex_id", "aa1", "aa2", "value"), **options}
+
+    def one(seed: int) -> DataFrame:
+        wide = cpp_features(peptides, library, scales, seeds=[seed], **options)
+        names = wide.columns[3:]
+        sums = F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names])
+        counts = F.array(*[F.col(f"`{n}`").isNotNull().cast("int") for n in names])
+        return wide.select("peptide", "frag_depth", "library", sums.alias("sums"), counts.alias("counts"), F.array(*map(F.lit, names)).alias("names"))
+
+    parts = None
+    for seed in seeds:
+        own = digest(library.where(F.col("seed") == seed), "library", "frag_len", "id", "fragment")
+        part = resume(spark, folder, "cpp-seed", lambda s=seed: one(s), seed=seed, library=own, **common)
+        parts = part if parts is None else parts.unionByName(part)
+    head = parts.select("names").first()
+    names = head.names if head else []
+    columns = [F.try_divide(F.sum(F.col("sums")[i]), F.sum(F.col("counts")[i])).alias(n) for i, n in enumerate(names)]
+    if not names:
+        return parts.select("peptide", "frag_depth", "library")
+    return parts.groupBy("peptide", "frag_depth", "library").agg(*columns)

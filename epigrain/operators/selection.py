@@ -247,52 +247,63 @@ def importance_topk(table: DataFrame, keys: Sequence[str], top: int) -> DataFram
 
 
 def feature_select(prepared: Prepared, seed: int, top: int = 100, folds: int = 5, n_trees: int = 50) -> Prepared:
-    """Univariate filter, then recursive elimination by forest importance down to ``top`` features.
+    """Univariate filter, then elimination by forest importance down to ``top`` features.
 
     The filter keeps features whose distribution differs between classes at the 5% level.  Elimination
     runs only when more than ``top`` features remain; the size (``top`` or all) with the better
-    cross-validated kappa wins.
+    cross-validated kappa wins. Every fold filters, ranks and fits on its own rows, so no held-out label has a say in what it is
+    predicted from.
     """
-    names = prepared.features
-    data = _assembled(with_class_weight(prepared.train()), names)
-    selector = UnivariateFeatureSelector(
-        featuresCol="_vector", labelCol="_label", outputCol="_picked", selectionMode="fpr"
-    ).setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(0.05)
-    picked = [names[i] for i in sorted(selector.fit(data).selectedFeatures)]
+    picked = _differing(prepared.train(), prepared.features)
     filtered = prepared.keep(picked)
     if len(picked) <= top:
         return filtered
-    ranked = [n for n, _ in forest_importance(filtered.train(), picked, seed, n_trees)]
-    options = {len(picked): picked, top: ranked[:top]}
-    scores = {size: _cv_kappa(filtered.train(), cols, seed, folds, n_trees) for size, cols in options.items()}
-    best = max(scores, key=lambda size: (scores[size], -size))
-    return filtered.keep(options[best])
+    kappas = _cv_kappas(prepared.train(), prepared.features, (None, top), seed, folds, n_trees)
+    if kappas[top] < kappas[None]:
+        return filtered
+    return filtered.keep([n for n, _ in forest_importance(filtered.train(), picked, seed, n_trees)[:top]])
 
 
-def _cv_kappa(train: DataFrame, names: Sequence[str], seed: int, folds: int, n_trees: int) -> float:
+def _differing(train: DataFrame, names: Sequence[str]) -> list[str]:
+    """Features whose distribution differs between the classes at the 5% level."""
+    data = _assembled(with_class_weight(train), names)
+    selector = UnivariateFeatureSelector(
+        featuresCol="_vector", labelCol="_label", outputCol="_picked", selectionMode="fpr"
+    ).setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(0.05)
+    return [names[i] for i in sorted(selector.fit(data).selectedFeatures)]
+
+
+def _cv_kappas(train: DataFrame, names: Sequence[str], sizes: Sequence[int | None], seed: int, folds: int, n_trees: int) -> dict:
+    """Mean kappa over the folds for each number of features (None: all that pass the filter)."""
     from .scoring import kfold_assign
 
-    folded = kfold_assign(train, seed, folds=folds, out="_fold")
-    total = 0.0
+    folded = stage(kfold_assign(train, seed, folds=folds, out="_fold"))
+    totals = dict.fromkeys(sizes, 0.0)
     for k in range(1, folds + 1):
-        fit = _assembled(with_class_weight(folded.where(F.col("_fold") != k)), names)
-        test = _assembled(folded.where(F.col("_fold") == k), names)
-        model = RandomForestClassifier(
-            labelCol="_label", featuresCol="_vector", weightCol="_weight", numTrees=n_trees, seed=seed
-        ).fit(fit)
-        truth, guess = (F.col("immunogenicity") == "Positive"), (F.col("prediction") == 1.0)
-        row = model.transform(test).agg(
-            F.count("*").alias("n"),
-            F.count_if(truth & guess).alias("tp"),
-            F.count_if(~truth & ~guess).alias("tn"),
-            F.count_if(truth).alias("p"),
-            F.count_if(guess).alias("g"),
-        ).first()
-        n = max(row["n"], 1)
-        observed = (row["tp"] + row["tn"]) / n
-        chance = (row["p"] * row["g"] + (n - row["p"]) * (n - row["g"])) / n**2
-        total += (observed - chance) / (1 - chance) if chance < 1 else 0.0
-    return total / folds
+        rest, held = folded.where(F.col("_fold") != k), folded.where(F.col("_fold") == k)
+        picked = _differing(rest, names)
+        if not picked:
+            continue  # nothing to tell the classes by: a kappa of 0
+        ranked = [n for n, _ in forest_importance(rest, picked, seed, n_trees)]
+        for size in sizes:
+            totals[size] += _kappa(rest, held, ranked[:size], seed, n_trees)
+    return {size: total / folds for size, total in totals.items()}
+
+
+def _kappa(rest: DataFrame, held: DataFrame, names: Sequence[str], seed: int, n_trees: int) -> float:
+    """Cohen's kappa, on the held rows, of a forest fitted to the rest."""
+    model = RandomForestClassifier(
+        labelCol="_label", featuresCol="_vector", weightCol="_weight", numTrees=n_trees, seed=seed
+    ).fit(_assembled(with_class_weight(rest), names))
+    truth, guess = (F.col("immunogenicity") == "Positive"), (F.col("prediction") == 1.0)
+    row = model.transform(_assembled(held, names)).agg(
+        F.count("*").alias("n"), F.count_if(truth & guess).alias("tp"), F.count_if(~truth & ~guess).alias("tn"),
+        F.count_if(truth).alias("p"), F.count_if(guess).alias("g"),
+    ).first()
+    n = max(row["n"], 1)
+    observed = (row["tp"] + row["tn"]) / n
+    chance = (row["p"] * row["g"] + (n - row["p"]) * (n - row["g"])) / n**2
+    return (observed - chance) / (1 - chance) if chance < 1 else 0.0
 
 
 # --- feature sets -----------------------------------------------------------------------------------------

@@ -178,9 +178,20 @@ def q_scpp_stats(spark, sf_dir):
     return rounded(out, SINGLE_CPP_STATS, 9)
 
 
-@query("scpp_features")
+SCPP_FEATURES = {
+    f"sCPP_{scale}_{stat}_{n}": f"max({e}) FILTER (aaindex_id = '{scale}' AND frag_len = {n})"
+    for scale in ("SYN01", "SYN01inv") for stat, e in _SINGLE.items() for n in SCPP_LENS
+}
+
+
+@query(
+    "scpp_features",
+    f"""WITH {SCPP_SQL}, {stats_sql('peptide, cdr3b, aaindex_id, frag_len', 'score', 'x')}
+SELECT peptide, cdr3b, {", ".join(r(e, f'"{name}"') for name, e in SCPP_FEATURES.items())} FROM st GROUP BY peptide, cdr3b""",
+)
 def q_scpp_features(spark, sf_dir):
-    return single_receptor.scpp_features(receptor_pairs(spark, sf_dir), _scales(spark), None, SCPP_LENS)
+    out = single_receptor.scpp_features(receptor_pairs(spark, sf_dir), _scales(spark), None, SCPP_LENS)
+    return rounded(out, list(SCPP_FEATURES))
 
 
 # --- end to end -------------------------------------------------------------------------------------------

@@ -418,6 +418,24 @@ def footprints(spark, sf_dir):
     )
 
 
-@query("footprint_density")
+@query(
+    "footprint_density",
+    f"""WITH w AS (SELECT [CAST(l_linenumber AS DOUBLE), CAST(CAST(l_quantity AS INTEGER) AS DOUBLE),
+    round(l_discount * 100), round(l_tax * 100)] AS w FROM lineitem),
+c AS (SELECT w, (w[1] + 2 * w[2] + 3 * w[3] + 4 * w[4]) / (w[1] + w[2] + w[3] + w[4]) AS c FROM w),
+s AS MATERIALIZED (SELECT i - c AS p, CAST(sum(floor(w[i])) AS DOUBLE) AS n FROM c, (SELECT unnest([1, 2, 3, 4]) AS i)
+  WHERE floor(w[i]) > 0 GROUP BY 1),
+t AS (SELECT sum(n) AS n, sum(n * p) AS s1, sum(n * p * p) AS s2, min(p) AS lo, max(p) AS hi FROM s),
+o AS MATERIALIZED (SELECT p, n, sum(n) OVER (ORDER BY p) - n AS before FROM s),
+e AS (SELECT q, (t.n - 1) * q AS h, max(p) FILTER (before <= floor((t.n - 1) * q) AND floor((t.n - 1) * q) < before + o.n) AS a,
+    max(p) FILTER (before <= ceil((t.n - 1) * q) AND ceil((t.n - 1) * q) < before + o.n) AS b
+  FROM o, t, (SELECT unnest([0.25::DOUBLE, 0.75::DOUBLE]) AS q) GROUP BY q, t.n),
+i AS (SELECT max(a + (b - a) * (h - floor(h))) - min(a + (b - a) * (h - floor(h))) AS iqr FROM e),
+k AS (SELECT t.*, 0.9::DOUBLE * least(sqrt((s2 - s1 * s1 / n) / (n - 1)), iqr / 1.34::DOUBLE) * power(n, -0.2::DOUBLE) AS bw FROM t, i),
+g AS (SELECT n, bw, point, lo - 3 * bw + (hi - lo + 6 * bw) * point / 511 AS gx FROM k, (SELECT unnest(range(512)) AS point))
+SELECT CAST(point AS INTEGER) AS point, {r('gx', 'x')}, {r('y', 'y')} FROM (
+  SELECT point, gx, sum(s.n * exp(-0.5::DOUBLE * power((gx - p) / bw, 2))) / (max(g.n) * max(bw) * sqrt(2 * pi())) AS y
+  FROM g, s GROUP BY point, gx)""",
+)
 def q_footprint_density(spark, sf_dir):
-    return single_receptor.footprint_density(footprints(spark, sf_dir))
+    return rounded(single_receptor.footprint_density(footprints(spark, sf_dir)), ["x", "y"])

@@ -22,7 +22,7 @@ def test_query_matches_sql(spark, duck, name):
     assert compare(spark, duck, name, QUERIES[name], ORACLES[name], SF_DIR) is None
 
 
-ROWS_ONLY = ("ego_clusters", "calibration_bands", "scpp_features", "peptdesc_all")
+ROWS_ONLY = ("ego_clusters", "calibration_bands", "peptdesc_all")
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)

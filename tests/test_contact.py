@@ -127,6 +127,26 @@ def test_wide_batches_are_cut(setting, monkeypatch):
     assert whole == cut
 
 
+def test_seeds_are_resumed(setting, tmp_path, monkeypatch):
+    peptides, library, scales = setting
+    options = dict(depth=20, frag_lens=(3, 4))
+    whole = as_dict(cp.cpp_features(peptides, library, scales, **options), ("peptide", "library"))
+    scored = []
+    plain = cp.cpp_features
+    monkeypatch.setattr(cp, "cpp_features", lambda *a, seeds, **o: scored.append(seeds) or plain(*a, seeds=seeds, **o))
+    first = cp.cpp_features_resumed(peptides, library, scales, str(tmp_path), [1], **options)
+    assert scored == [[1]] and first.count() == len(whole)
+    both = cp.cpp_features_resumed(peptides, library, scales, str(tmp_path), [1, 2], **options)
+    assert scored == [[1], [2]]
+    got = as_dict(both, ("peptide", "library"))
+    assert set(got) == set(whole) and both.columns == list(next(iter(whole.values())).asDict())
+    for key, row in whole.items():
+        assert [got[key][c] for c in both.columns[3:]] == pytest.approx([row[c] for c in both.columns[3:]], nan_ok=True)
+    cp.cpp_features_resumed(peptides.limit(2), library, scales, str(tmp_path), [1], **options)
+    cp.cpp_features_resumed(peptides, library, scales, str(tmp_path), [1], depth=10, frag_lens=(3, 4))
+    assert scored == [[1], [2], [1], [1]]
+
+
 def test_feature_list_prunes(setting):
     peptides, library, scales = setting
     wide = cp.cpp_features(peptides, library, scales, depth=10, feature_set=["CPP_SYN01_Mean_3", "Peptide_Length"])

@@ -248,3 +248,23 @@ def test_auc_by_hand(spark):
     out = diagnostics.classifier_diagnostics(df)
     assert set(out) == {"ROC", "AUC", "PRC", "Calibration", "CumGain", "CumGainLevel"}
     assert out["AUC"].first()["label"].startswith("AUC: 83.3%") and out["Calibration"].count() == 10
+
+
+def test_held_out_labels_do_not_pick_features(spark, monkeypatch):
+    """A feature that holds the labels of the first fold's held-out rows, and nothing else, is not picked for that fold."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(90, 2))
+    label = x[:, 0] > 0
+    ids = spark.createDataFrame([(f"P{i}",) for i in range(90)], "peptide string")
+    first = {r.peptide for r in scoring.kfold_assign(ids, 1, folds=3).where("fold = 1").collect()}
+    rows = [
+        (f"P{i}", "Positive" if v else "Negative", *map(float, x[i]), (1.0 if v else -1.0) if f"P{i}" in first else 0.0)
+        for i, v in enumerate(label)
+    ]
+    train = spark.createDataFrame(rows, "peptide string, immunogenicity string, f0 double, f1 double, held double")
+    used = []
+    monkeypatch.setattr(selection, "_kappa", lambda rest, held, names, *_: used.append((rest.join(held, "peptide").count(), list(names))) or 0.5)
+    assert selection._cv_kappas(train, ["f0", "f1", "held"], (None, 1), 1, 3, 5) == {None: 0.5, 1: 0.5}
+    assert [n for n, _ in used] == [0] * 6 and all(names[0] == "f0" for _, names in used)
+    assert "held" not in used[0][1] and "held" in used[2][1]
+    assert "held" in selection._differing(train, ["f0", "f1", "held"])
