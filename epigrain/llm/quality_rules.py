@@ -35,7 +35,11 @@ MAX_LOST_PERCENT = 50
 
 #: Marks that end a sentence in the scripts of the world. Fixed values.
 TERMINALS = ".!?…‥։؟۔܀܁܂߹।॥၊။።፧፨᙮᠃᠉។៕‼‽⁇⁈⁉⸮。．！？｡꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫"
-SENTENCE_END = f"[{TERMINALS}][\"'”’»)\\]）」』】》〉]*([\\x20\\x09-\\x0D]|$)"
+_CLOSING = "[\"'”’»)\\]）」』】》〉]*([\\x20\\x09-\\x0D]|$)"
+SENTENCE_END = f"[{TERMINALS}]{_CLOSING}"
+#: The same for the marks that most lines end with, and where all others lie: a line without these needs no further look.
+COMMON_END, OTHER_MARKS = f"[.!?…]{_CLOSING}", "[\u0589-\uff61‥]"
+SEPARATORS = "[|>»›·•/]"
 SEPARATOR_WORD = "(^|[\\x20\\x09-\\x0D])[|>»›·•/]+($|[\\x20\\x09-\\x0D])"
 NOTICE = (
     "(cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|all rights reserved|enable javascript|"
@@ -82,11 +86,12 @@ def covered_words(windows: Column, width: int = WINDOW) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line with words is to be removed."""
+    ended = line.rlike(COMMON_END) | (line.rlike(OTHER_MARKS) & line.rlike(SENTENCE_END))
     spaced = F.regexp_replace(line, SPACE_RUN, "  ")  # neighbouring separators then share no space
-    separators = F.size(F.split(spaced, SEPARATOR_WORD)) - 1
+    separators = line.rlike(SEPARATORS) & (F.size(F.split(spaced, SEPARATOR_WORD)) - 1 >= MAX_SEPARATORS)
     short = F.size(F.split(F.btrim(line, F.lit(SPACES)), SPACE_RUN)) < NOTICE_WORDS
     symbols = SYMBOL_RATE * (F.length(line) - without(line, SYMBOLS)) > without(line, SPACES)
-    return ~line.rlike(SENTENCE_END) | symbols | (separators >= MAX_SEPARATORS) | (F.lower(line).rlike(NOTICE) & short)
+    return ~ended | symbols | separators | (short & F.lower(line).rlike(NOTICE))
 
 
 def judge(docs: DataFrame) -> DataFrame:
