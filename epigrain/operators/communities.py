@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -169,6 +171,52 @@ def cluster_consensus(members: DataFrame, cluster: str = "cluster_id", threshold
     )
 
 
+def aligned_consensus(members: DataFrame, keys: Sequence[str] = ("target",), threshold: float = 0.5) -> DataFrame:
+    """Consensus of the members of each cluster, of equal lengths or not, aligned to a target that each differs from by one edit at most.
+
+    ``members`` has ``keys``, ``target`` and ``peptide``. A member's alignment needs no search: it agrees with the target up to
+    their first difference, where it has another residue, one more or one less. The profile has a column per target position and one
+    before each position (or behind the last) where a member has a residue more; members without it have a gap there. A column
+    becomes the one residue that has a share of at least ``threshold``, else X; so does a column of gaps. Counts are taken per
+    (cluster, column, residue), so no cluster is gathered. Members further from the target than one edit are refused.
+    """
+    keys = list(dict.fromkeys([*keys, "target"]))
+    rows = members.select(*keys, "peptide").where(F.col("target").isNotNull() & F.col("peptide").isNotNull())
+    here, there = F.length("peptide"), F.length("target")
+    differ = F.filter(F.sequence(F.lit(1), F.least(here, there)), lambda i: F.substring("peptide", i, F.lit(1)) != F.substring("target", i, F.lit(1)))
+    agreed = F.coalesce(F.array_min(differ) - 1, F.least(here, there))
+    rows = rows.withColumn("agreed", agreed).withColumn("more", here - there)
+    tail = lambda c, skip: F.substring(c, F.col("agreed") + 1 + skip, F.length(c))
+    fits = F.when(F.col("more") == 1, tail("peptide", 1) == tail("target", 0)).when(F.col("more") == -1, tail("peptide", 0) == tail("target", 1))
+    fits = fits.otherwise((F.col("more") == 0) & (tail("peptide", 1) == tail("target", 1)))
+    rows = rows.withColumn("fits", F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no single edit: "), "peptide", F.lit(" / "), "target")).cast("boolean"))).where("fits")
+    # column 2i is target position i, column 2i + 1 lies behind it
+    letters = F.transform(
+        F.sequence(F.lit(1), here),
+        lambda i: F.struct(
+            F.when((F.col("more") == 1) & (i == F.col("agreed") + 1), 2 * i - 1)
+            .when((F.col("more") == 1) & (i > F.col("agreed")), 2 * i - 2)
+            .when((F.col("more") == -1) & (i > F.col("agreed")), 2 * i + 2)
+            .otherwise(2 * i).alias("column"),
+            F.substring("peptide", i, F.lit(1)).alias("residue"),
+        ),
+    )
+    counted = rows.select(*keys, F.inline(letters)).groupBy(*keys, "column", "residue").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.max(there).alias("length"))
+    frequent = F.col("n") >= F.col("size") * threshold
+    held = counted.join(sizes, keys).groupBy(*keys, "column").agg(
+        F.max("size").alias("size"), F.sum("n").alias("present"), F.count_if(frequent).alias("many"), F.max(F.when(frequent, F.col("residue"))).alias("residue")
+    )
+    # gaps count as one more symbol of the column; a column that all members lack is one of gaps too
+    gaps = (F.col("size") - F.col("present") >= F.col("size") * threshold).cast("int")
+    symbol = F.when((F.col("many") == 1) & (gaps == 0), F.col("residue")).otherwise("X")
+    own = held.select(*keys, F.struct("column", symbol.alias("symbol")).alias("c"))
+    every = sizes.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), "length"), lambda i: F.struct((2 * i).alias("column"), F.lit("X").alias("symbol")))).alias("c"))
+    bare = every.join(own.select(*keys, F.col("c.column").alias("column")), [*[every[k] == own[k] for k in keys], every["c.column"] == F.col("column")], "left_anti")
+    symbols = own.unionByName(bare).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["symbol"]), "").alias("consensus"))
+    return sizes.select(*keys, "size").join(symbols, keys)
+
+
 def prioritize(scores: DataFrame, cluster_features: DataFrame, originals: DataFrame) -> DataFrame:
     """Original peptides ordered by score, then cluster average (both falling), then escape potential (rising)."""
     features = cluster_features.select(

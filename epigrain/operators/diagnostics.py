@@ -154,15 +154,17 @@ def auc_delong(df: DataFrame, truth: str = "truth", prob: str = "prob", group: s
         m.cast("double").alias("_m"),
         n.cast("double").alias("_n"),
         F.sum(F.col("pos") * v10).alias("_s10"),
-        F.sum(F.col("pos") * v10 * v10).alias("_q10"),
-        F.sum(F.col("neg") * v01).alias("_s01"),
-        F.sum(F.col("neg") * v01 * v01).alias("_q01"),
+        # about a half, near which the placements of a weak classifier lie: sums of squares then keep their digits
+        F.sum(F.col("pos") * (v10 - 0.5)).alias("_d10"),
+        F.sum(F.col("pos") * (v10 - 0.5) * (v10 - 0.5)).alias("_q10"),
+        F.sum(F.col("neg") * (v01 - 0.5)).alias("_d01"),
+        F.sum(F.col("neg") * (v01 - 0.5) * (v01 - 0.5)).alias("_q01"),
         quantile_terms("_order", {"m": 0.5}, "pos")["m"].alias("_med_pos"),
         quantile_terms("_order", {"m": 0.5}, "neg")["m"].alias("_med_neg"),
     )
     theta = F.col("_s10") / F.col("_m")
-    s10 = (F.col("_q10") - F.col("_m") * theta * theta) / (F.col("_m") - 1)
-    s01 = (F.col("_q01") - F.col("_n") * theta * theta) / (F.col("_n") - 1)
+    s10 = F.greatest(F.col("_q10") - F.col("_d10") * F.col("_d10") / F.col("_m"), F.lit(0.0)) / (F.col("_m") - 1)
+    s01 = F.greatest(F.col("_q01") - F.col("_d01") * F.col("_d01") / F.col("_n"), F.lit(0.0)) / (F.col("_n") - 1)
     half = F.sqrt(s10 / F.col("_m") + s01 / F.col("_n")) * Z95
     auc = F.when(F.col("_med_neg") > F.col("_med_pos"), 1 - theta).otherwise(theta)
 

@@ -244,3 +244,28 @@ def q_cluster_consensus(spark, sf_dir):
         "cluster_id", F.concat_ws("-", F.length("peptide").cast("string"), F.substring("peptide", 1, 2))
     )
     return communities.cluster_consensus(members)
+
+
+@query(
+    "consensus_indel",
+    f"""WITH {PEPTIDES_SQL}, {PAIRS_SQL},
+m AS (SELECT DISTINCT * FROM (SELECT aaseq1 AS target, aaseq2 AS peptide FROM pairs UNION ALL SELECT aaseq2, aaseq1 FROM pairs
+  UNION ALL SELECT aaseq1, aaseq1 FROM pairs UNION ALL SELECT aaseq2, aaseq2 FROM pairs)),
+a AS (SELECT *, length(peptide) - length(target) AS more, coalesce(list_min([i FOR i IN range(1, least(length(peptide), length(target)) + 1)
+  IF peptide[i] <> target[i]]) - 1, least(length(peptide), length(target))) AS agreed FROM m),
+l AS (SELECT target, CASE WHEN more = 1 AND i = agreed + 1 THEN 2 * i - 1 WHEN more = 1 AND i > agreed THEN 2 * i - 2
+  WHEN more = -1 AND i > agreed THEN 2 * i + 2 ELSE 2 * i END AS col, peptide[i] AS residue
+  FROM (SELECT *, unnest(range(1, length(peptide) + 1)) AS i FROM a)),
+z AS (SELECT target, count(*) AS size FROM m GROUP BY 1),
+c AS (SELECT target, col, residue, count(*) AS n FROM l GROUP BY 1, 2, 3),
+h AS (SELECT target, col, size, sum(n) AS present, count(*) FILTER (2 * n >= size) AS many, max(residue) FILTER (2 * n >= size) AS residue
+  FROM c JOIN z USING (target) GROUP BY 1, 2, 3)
+SELECT target, size, string_agg(CASE WHEN many = 1 AND 2 * (size - present) < size THEN residue ELSE 'X' END, '' ORDER BY col) AS consensus
+FROM h GROUP BY 1, 2""",
+)
+def q_consensus_indel(spark, sf_dir):
+    """Consensus of every peptide's neighbourhood: all that is one edit away, insertions and deletions among them."""
+    pairs = stage(network.neighbor_pairs(widen(stage(peptides(spark, sf_dir)))).select("aaseq1", "aaseq2"))
+    both = pairs.select(F.col("aaseq1").alias("target"), F.col("aaseq2").alias("peptide")).union(pairs.select("aaseq2", "aaseq1"))
+    members = both.union(both.select("target", "target")).distinct()
+    return communities.aligned_consensus(members)

@@ -118,6 +118,60 @@ def test_consensus(spark):
     assert got == {"k": "AXX", "s": "WYW"}
 
 
+def alignment(member, target):
+    """Pairs (member residue or -, target position or None) of the cheapest alignment, differences as late as they can be."""
+    n, m = len(member), len(target)
+    cost = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            cost[i][j] = min(cost[i - 1][j - 1] + (member[i - 1] != target[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    assert cost[n][m] <= 1
+    out, i, j = [], n, m
+    while i or j:
+        if i and cost[i][j] == cost[i - 1][j] + 1:
+            i -= 1
+            out.append((member[i], None, j))
+        elif j and cost[i][j] == cost[i][j - 1] + 1:
+            j -= 1
+            out.append(("-", j, None))
+        else:
+            i, j = i - 1, j - 1
+            out.append((member[i], j, None))
+    return out
+
+
+def test_consensus_of_unequal_lengths_matches_dynamic_programming(spark):
+    import random
+    from collections import Counter
+
+    draw = random.Random(9)
+    rows, want = [], {}
+    for k in range(60):
+        target = "".join(draw.choice("ACD") for _ in range(draw.randint(3, 8)))
+        members = [target] if k % 3 else []
+        for _ in range(draw.randint(1, 7)):
+            i, a = draw.randrange(len(target)), draw.choice("ACD")
+            members.append(draw.choice([target[:i] + a + target[i + 1 :], target[:i] + a + target[i:], target[:i] + target[i + 1 :], target + a]))
+        rows += [(k, target, m) for m in members]
+        columns = {2 * j + 2: Counter() for j in range(len(target))}
+        for m in members:
+            for residue, j, after in alignment(m, target):
+                columns.setdefault(2 * j + 2 if after is None else 2 * after + 1, Counter())[residue] += 1
+        text = ""
+        for c in sorted(columns):
+            counts = Counter({r: n for r, n in columns[c].items()})
+            counts["-"] = len(members) - sum(n for r, n in counts.items() if r != "-")
+            many = [r for r, n in counts.items() if n and 2 * n >= len(members)]
+            text += many[0] if len(many) == 1 and many[0] != "-" else "X"
+        want[k] = (len(members), text)
+    frame = spark.createDataFrame(rows, "cluster_id int, target string, peptide string")
+    got = {r.cluster_id: (r.size, r.consensus) for r in communities.aligned_consensus(frame, ["cluster_id"]).collect()}
+    assert got == want
+    assert communities.aligned_consensus(frame.limit(0), ["cluster_id"]).count() == 0
+    with pytest.raises(Exception, match="no single edit"):
+        communities.aligned_consensus(spark.createDataFrame([("ACDEF", "AC")], "target string, peptide string")).collect()
+
+
 def test_prioritize_order(spark):
     scores = spark.createDataFrame([("a", 0.9), ("b", 0.9), ("c", 0.1)], "peptide string, immunogenicity_score double")
     features = spark.createDataFrame(
