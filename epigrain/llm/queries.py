@@ -206,12 +206,79 @@ def temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.judge(captures, written(dated_lists(captures), "url-lists"))
 
 
-@query("op12_spelling_variants")
+def crc32_sql(data: str) -> str:
+    """SQL of the unsigned crc32 of a list of bytes, half a byte at a time; the table of 16 is made from the polynomial."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+
+    def half(x: str) -> str:
+        return f"xor({x} >> 4, [{', '.join(f'{t}::BIGINT' for t in table)}][({x} & 15) + 1])"
+
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: {half(half('xor(c, b)'))}), 4294967295::BIGINT)"
+
+
+def utf8_sql(text: str) -> str:
+    """SQL of the bytes of a text."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    return f"list_transform(range(octet_length(encode({text}))), lambda i: {byte})"
+
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+VARIANTS_SQL = f"""
+WITH RECURSIVE t AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all({_FOLDED}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+r AS (SELECT doc, run, count(*) AS times, {crc32_sql(utf8_sql("doc || ':' || run"))} AS h FROM t WHERE length(run) >= 7 GROUP BY doc, run),
+w AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0
+    THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM r)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+c AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM c a JOIN c b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT c.word, w.word FROM c JOIN w ON w.word = c.rest UNION SELECT w.word, c.word FROM c JOIN w ON w.word = c.rest),
+e AS (SELECT p.a AS word, count(*) AS n_near, arg_min(struct_pack(f := w.word, m := w.n), struct_pack(x := -w.n, y := w.word)) AS best
+      FROM p JOIN w ON w.word = p.b GROUP BY p.a),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.m >= 10 * w.n THEN best.f END AS form,
+      CASE WHEN best.m >= 10 * w.n THEN best.m END AS form_n FROM w LEFT JOIN e USING (word)),
+u AS (SELECT word, word AS top, 0 AS step FROM f UNION ALL SELECT u.word, f.form, step + 1 FROM u JOIN f ON f.word = u.top WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(top, step) AS root FROM u GROUP BY word) USING (word)
+"""
+
+_N_GRAMS = """list_concat(words, list_concat(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]),
+    list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])))"""
+
+
+def _words_sql(table: str, key: str) -> str:
+    return f"""SELECT {key} AS doc_id, row_number() OVER () AS rid, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM {table}"""
+
+
+RESAMPLE_SQL = f"""
+WITH d AS MATERIALIZED ({_words_sql("documents", "doc_id")}),
+b AS ({_words_sql("benchmark", "item_id")}),
+df AS MATERIALIZED (SELECT rid, f, count(*) AS n FROM (SELECT rid, unnest({_N_GRAMS}) AS f FROM d) GROUP BY ALL),
+bf AS MATERIALIZED (SELECT f, count(*) AS n FROM (SELECT unnest({_N_GRAMS}) AS f FROM b) GROUP BY f),
+h AS MATERIALIZED (SELECT f, {crc32_sql(utf8_sql("f"))} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+s AS (SELECT bucket, sum(n) AS s FROM df JOIN h USING (f) GROUP BY 1),
+t AS (SELECT bucket, sum(n) AS t FROM bf JOIN h USING (f) GROUP BY 1),
+a AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000 AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000 AS t_all),
+g AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * s_all / ((coalesce(s, 0)::DOUBLE + 1) * t_all)))::BIGINT AS gain
+      FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), a),
+x AS (SELECT rid, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM df JOIN h USING (f) JOIN g USING (bucket) GROUP BY rid),
+y AS (SELECT doc_id, rid, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+      ('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS u FROM d LEFT JOIN x USING (rid)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM y),
+k AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM z WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM z LEFT JOIN k USING (rid)
+"""
+
+
+@query("op12_spelling_variants", VARIANTS_SQL)
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), slip_every=31))
 
 
-@query("op13_importance_resampling")
+@query("op13_importance_resampling", RESAMPLE_SQL)
 def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
