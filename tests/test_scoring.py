@@ -268,3 +268,45 @@ def test_held_out_labels_do_not_pick_features(spark, monkeypatch):
     assert [n for n, _ in used] == [0] * 6 and all(names[0] == "f0" for _, names in used)
     assert "held" not in used[0][1] and "held" in used[2][1]
     assert "held" in selection._differing(train, ["f0", "f1", "held"])
+
+
+def test_scores_of_the_growing_tasks_are_those_of_the_node_table(labelled, trained):
+    features, metadata = labelled
+    forest, table = trained
+    want = {(r.peptide, r.seed): (r.fold, r.immunogenicity_score) for r in scoring.internal_scores(forest, table).collect()}
+    got = scoring.out_of_fold_scores(features, metadata.drop("cluster"), **OPTIONS).collect()
+    assert len(got) == len(want) == 1200
+    for r in got:
+        fold, score = want[r.peptide, r.seed]
+        assert r.fold == fold and r.immunogenicity_score == pytest.approx(score)
+
+
+def test_rows_are_not_repeated_for_every_block_of_trees(spark, labelled, trained, monkeypatch):
+    """Scoring sends few rows once: no join or broadcast holds a copy of them for each block, and nodes are not packed into values."""
+    forest, table = trained
+    monkeypatch.setattr(trees, "BLOCK_NODES", 300)
+    plan = trees.model_sums(forest, table, ["peptide"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "binary" not in plan
+
+
+def test_slices_of_many_rows_score_as_few_rows_do(labelled, trained, monkeypatch):
+    forest, table = trained
+    rows = table.unionByName(table.limit(1))  # a repeated key stays a row of its own
+    want = sorted((r.peptide, r.scores) for r in trees.model_scores(forest, rows, ["peptide"]).collect())
+    monkeypatch.setattr(trees, "TASK_CELLS", 1000)
+    monkeypatch.setattr(trees, "BLOCK_NODES", 500)
+    got = sorted((r.peptide, r.scores) for r in trees.model_scores(forest, rows, ["peptide"]).collect())
+    assert len(got) == len(want) == 601
+    assert all(p == q and a == pytest.approx(b) for (p, a), (q, b) in zip(got, want))
+
+
+def test_two_nodes_of_one_name_are_refused():
+    one = [np.zeros(2, np.int32), np.array([7, 7]), np.full(2, -1), np.zeros(2), np.full(2, 0.5)]
+    with pytest.raises(ValueError, match="same hash"):
+        trees._Walk(*one, 1)
+
+
+def test_trees_stored_while_they_grow(spark, labelled, trained, tmp_path):
+    features, metadata = labelled
+    stored, _ = scoring.train_models(features, metadata.drop("cluster"), path=str(tmp_path / "grown"), **OPTIONS)
+    assert node_rows(stored) == node_rows(trained[0])
