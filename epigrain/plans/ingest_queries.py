@@ -195,9 +195,7 @@ SELECT word FROM w WHERE lang = 'en' EXCEPT SELECT word FROM w WHERE lang <> 'en
 )
 def q_set_except(spark, sf_dir):
     rows = word_rows(spark, sf_dir)
-    english = rows.where(F.col("lang") == "en").select("word")
-    other = rows.where(F.col("lang") != "en").select("word")
-    return english.subtract(other)
+    return relational.set_except(rows, "word", F.col("lang") == "en", F.col("lang") != "en")
 
 
 @query(

@@ -80,3 +80,15 @@ def test_keep_first_venn_rescale_grid(spark):
     assert grid.distinct().count() == 6
     assert relational.select_matching(grid, "^lib", ["seed"]).columns == ["seed", "library"]
     assert relational.inverse_columns(grid).columns == ["seed", "library"]
+
+
+def test_except_moves_each_item_once(spark):
+    from epigrain.operators import relational
+
+    rows = [("a", "en")] * 4 + [("a", "de"), ("b", "en"), ("b", None), ("c", "fr"), ("d", None), ("e", "en"), ("e", "en")]
+    df = spark.createDataFrame(rows, "word string, lang string")
+    out = relational.set_except(df, "word", F.col("lang") == "en", F.col("lang") != "en")
+    want = df.where("lang = 'en'").select("word").subtract(df.where("lang <> 'en'").select("word"))
+    assert sorted(r.word for r in out.collect()) == sorted(r.word for r in want.collect()) == ["b", "e"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
