@@ -18,7 +18,7 @@ from ..functions.moments import column_moments
 from ..functions.names import SINGLE_CPP, SINGLE_CPP_STATS, FeatureName
 from ..functions.ordered import quantile_terms, running_totals
 from ..functions.special import f_upper_tail, f_upper_tail_array
-from ..session import spread
+from ..session import spread, stage
 from .contact_profile import encode, sample_moments, scale_matrices
 from .relational import keep_first
 
@@ -251,17 +251,18 @@ def _footprint(column: str) -> Column:
     return F.transform(F.split(F.col(column), "\\|"), lambda s: s.try_cast("double"))
 
 
-def footprint_sites(df: DataFrame, column: str = "weights") -> DataFrame:
-    """(position, copies): contact sites relative to the weighted centre of each footprint."""
+def footprint_sites(df: DataFrame, column: str = "weights", times: str | None = None) -> DataFrame:
+    """(position, copies): contact sites relative to the weighted centre of each footprint, which counts ``times`` (once if not given)."""
     w = F.col("_w")
-    usable = df.select(_footprint(column).alias("_w")).where(~F.exists(w, lambda x: x.isNull()))
+    often = F.lit(1) if times is None else F.col(times)
+    usable = df.select(_footprint(column).alias("_w"), often.alias("_times")).where(~F.exists(w, lambda x: x.isNull()))
     total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
     moment = F.aggregate(
         F.transform(w, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x
     )
-    centred = usable.select("_w", (moment / F.when(total != 0, total)).alias("_c"))
-    return centred.select("_c", F.posexplode("_w").alias("_i", "_x")).select(
-        (F.col("_i") + 1 - F.col("_c")).alias("position"), F.floor("_x").alias("copies")
+    centred = usable.select("_w", "_times", (moment / F.when(total != 0, total)).alias("_c"))
+    return centred.select("_c", "_times", F.posexplode("_w").alias("_i", "_x")).select(
+        (F.col("_i") + 1 - F.col("_c")).alias("position"), (F.floor("_x") * F.col("_times")).alias("copies")
     ).where((F.col("copies") > 0) & F.col("position").isNotNull())
 
 
@@ -280,9 +281,11 @@ def contact_footprint(df: DataFrame, column: str = "weights") -> DataFrame:
 def footprint_density(df: DataFrame, column: str = "weights", points: int = 512) -> DataFrame:
     """Gaussian kernel density of the contact sites on an even grid (bandwidth by the usual rule of thumb).
 
-    Each task adds up the kernel over its own sites; only one partial sum per grid point is shuffled.
+    Equal footprints are taken apart once, and the sites are written, for they are read four times. Each task adds up the kernel over its
+    own sites; only one partial sum per grid point is shuffled.
     """
-    sites = footprint_sites(df, column).groupBy("position").agg(F.sum("copies").alias("copies"))
+    different = df.groupBy(column).agg(F.count("*").alias("_n"))
+    sites = stage(footprint_sites(different, column, "_n").groupBy("position").agg(F.sum("copies").alias("copies")))
     row = sites.agg(
         F.sum("copies").alias("n"),
         F.sum(F.col("copies") * F.col("position")).alias("s1"),
@@ -293,8 +296,8 @@ def footprint_density(df: DataFrame, column: str = "weights", points: int = 512)
     n = row["n"]
     sd = math.sqrt(max(row["s2"] - row["s1"] ** 2 / n, 0.0) / max(n - 1, 1))
     quartiles = _weighted_quartiles(sites)
-    spread = min(sd, (quartiles[1] - quartiles[0]) / 1.34) or sd or abs(row["lo"]) or 1.0
-    bandwidth = 0.9 * spread * n ** -0.2
+    width = min(sd, (quartiles[1] - quartiles[0]) / 1.34) or sd or abs(row["lo"]) or 1.0
+    bandwidth = 0.9 * width * n ** -0.2
     grid = np.linspace(row["lo"] - 3 * bandwidth, row["hi"] + 3 * bandwidth, points)
 
     def run(batches):
@@ -306,7 +309,7 @@ def footprint_density(df: DataFrame, column: str = "weights", points: int = 512)
                 total += (np.exp(-0.5 * z * z) * c[start : start + 4096, None]).sum(axis=0)
         yield pd.DataFrame({"point": np.arange(points), "x": grid, "mass": total})
 
-    partial = sites.mapInPandas(run, "point int, x double, mass double")
+    partial = spread(sites, "position").mapInPandas(run, "point int, x double, mass double")
     return partial.groupBy("point", "x").agg(
         (F.sum("mass") / F.lit(n * bandwidth * math.sqrt(2 * math.pi))).alias("y")
     )

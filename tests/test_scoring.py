@@ -310,3 +310,23 @@ def test_trees_stored_while_they_grow(spark, labelled, trained, tmp_path):
     features, metadata = labelled
     stored, _ = scoring.train_models(features, metadata.drop("cluster"), path=str(tmp_path / "grown"), **OPTIONS)
     assert node_rows(stored) == node_rows(trained[0])
+
+
+def test_density_reads_footprints_once_and_counts_repeats(spark, monkeypatch):
+    rows = [("1|2|1",)] * 3 + [("1|0|0|0|0|1",), ("a|b",), (None,), ("2.7|1",), ("2.7|1",)]
+    df = spark.createDataFrame(rows, "weights string")
+    apart = []
+    sites = single_receptor.footprint_sites
+    monkeypatch.setattr(single_receptor, "footprint_sites", lambda d, *a: apart.append(d.count()) or sites(d, *a))
+    reads, stage = [], single_receptor.stage
+    monkeypatch.setattr(single_receptor, "stage", lambda d: reads.append(1) or stage(d))
+    density = single_receptor.footprint_density(df, points=64).orderBy("point").collect()
+    assert apart == [5] and reads == [1]
+    want = sites(df).groupBy("position").agg(F.sum("copies").alias("n")).toPandas()
+    x, n = want["position"].to_numpy(float), want["n"].to_numpy(float)
+    flat = np.sort(np.repeat(x, n.astype(int)))
+    q = np.quantile(flat, [0.25, 0.75])
+    h = 0.9 * min(flat.std(ddof=1), (q[1] - q[0]) / 1.34) * len(flat) ** -0.2
+    for r in density[::9]:
+        y = (n * np.exp(-0.5 * ((r.x - x) / h) ** 2)).sum() / (len(flat) * h * np.sqrt(2 * np.pi))
+        assert r.y == pytest.approx(y)
