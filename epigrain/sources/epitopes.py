@@ -94,14 +94,19 @@ def read_assay_export(spark: SparkSession, path: str, evidence: DataFrame | None
     """Assay export with a banner line and then the real header line.
 
     The banner is consumed as the CSV header; the real header is the first remaining line.  Columns
-    with repeated header text are taken by position, the others by name without blanks.
+    with repeated header text are taken by position, the others by name without blanks.  Files are cut into ranges for
+    several tasks unless a record goes over several lines, which takes a pass to tell; then a task reads a whole file.
     """
-    table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option(
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    over_lines = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    table = spark.read.option("header", True).option("multiLine", over_lines).option("escape", '"').option(
         "nullValue", "NA"
     ).csv(path)
-    table = table.toDF(*[f"c{i}" for i in range(1, len(table.columns) + 1)])
+    names = [f"c{i}" for i in range(1, len(table.columns) + 1)]
+    top = table.where("_metadata.file_block_start = 0").first()
+    table = table.toDF(*names)
     header = {}
-    for i, text in enumerate(table.first(), start=1):
+    for i, text in enumerate(top, start=1):
         header.setdefault((text or "").replace(" ", ""), f"c{i}")
     description, species = f"c{DESCRIPTION_ORDINAL}", f"c{SPECIES_ORDINAL}"
     measure = header["QualitativeMeasure"]

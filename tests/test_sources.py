@@ -95,3 +95,34 @@ def test_feature_files_and_resume(spark, tmp_path):
     assert calls == [1, 2, 3, 1]
     features_io.save_csv(table, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+
+
+def _export(folder, rows):
+    folder.mkdir()
+    names = {12: "Description", 20: "Qualitative Measure", 21: "Assay Group", 22: "Allele Name", 23: "Allele Evidence Code", 30: "Name", 50: "Organism Species"}
+    lines = [",".join(f"Part {i}" for i in range(1, 51)), ",".join(names.get(i, f"Column {i}") for i in range(1, 51))]
+    for k in range(rows):
+        own = {12: f"PEP{k}", 20: "Positive-High", 21: "proliferation", 22: '"A, ""x"""'}
+        lines.append(",".join(own.get(i, "x") for i in range(1, 51)))
+    (folder / "export.csv").write_text("\n".join(lines) + "\n")
+    return folder / "export.csv"
+
+
+def test_a_large_assay_export_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    from epigrain.sources import epitopes
+
+    read, to_raw = [], epitopes.ingest.to_raw
+    monkeypatch.setattr(epitopes.ingest, "to_raw", lambda rows, **c: read.append(rows.rdd.getNumPartitions()) or to_raw(rows, **c))
+    file = _export(tmp_path / "plain", 2000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = epitopes.read_assay_export(spark, str(file.parent), epitopes.evidence_table(spark, ["proliferation"]))
+        assert read[0] > 4
+        assert sorted(r.peptide for r in got.collect()) == sorted(f"PEP{k}" for k in range(2000))
+        assert {r.mhc for r in got.select("mhc").distinct().collect()} == {'A, "x"'}
+        whole = file.read_text().replace("PEP7,", '"PEP7\nB",', 1)
+        file.write_text(whole)
+        spread_over = epitopes.read_assay_export(spark, str(file.parent), epitopes.evidence_table(spark, ["proliferation"]))
+        assert sorted(r.peptide for r in spread_over.collect()) == sorted(f"PEP{k}" if k != 7 else "PEP7\nB" for k in range(2000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
