@@ -127,7 +127,8 @@ def q_scan_clone_files(spark, sf_dir):
         "source",
         F.col("source").alias("accession"),
     )
-    rows.repartition("source").write.partitionBy("source").option("header", True).option("sep", "\t").csv(root)
+    # the files of a large accession are written by several tasks
+    rows.hint("rebalance", "source").write.partitionBy("source").option("header", True).option("sep", "\t").csv(root)
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     files = jvm.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for found in files.globStatus(jvm.Path(f"{root}/source=*/part-*.csv")):

@@ -126,3 +126,20 @@ def test_a_large_assay_export_is_read_by_several_tasks(spark, tmp_path, monkeypa
         assert sorted(r.peptide for r in spread_over.collect()) == sorted(f"PEP{k}" if k != 7 else "PEP7\nB" for k in range(2000))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_large_accession_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from epigrain.plans import scan_queries
+
+    rows = spark.range(0, 60_000, 1, 8).select(F.concat(F.lit("AC"), F.md5(F.col("id").cast("string"))).alias("word"), F.lit("en").alias("lang"), F.lit("src0").alias("source"))
+    monkeypatch.setattr(scan_queries, "word_rows", lambda *_: rows)
+    seen, read = [], scan_queries.clonotypes.read_clone_files
+    monkeypatch.setattr(scan_queries.clonotypes, "read_clone_files", lambda s, root, i: seen.append(root) or read(s, root, i))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        scan_queries.q_scan_clone_files(spark, "")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert spark.read.format("binaryFile").load(f"{seen[0]}/source=src0/*_clones.txt").count() > 1
