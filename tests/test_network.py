@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,15 @@ def test_isolated(spark, peptide_frame):
     peptides = peptide_frame(["AAA", "AAC", "WWWWW"])
     edges = network.neighbor_pairs(peptides)
     assert communities.isolated_count(peptides, edges.select(F.col("aaseq1"), F.col("aaseq2"))).first()[0] == 1
+
+
+def test_equal_ego_graphs_are_cut_once_and_in_whole_whatever_the_batches(monkeypatch):
+    edges = [(t, t, t + x, 1.0) for t in ("AAAA", "CCCC", "DDDD") for x in "EF"] + [(t, t + "E", t + "F", 1.0) for t in ("AAAA", "CCCC", "DDDD")]
+    rows = pa.Table.from_pylist([dict(zip(("target", "aaseq1", "aaseq2", "weight"), e)) for e in sorted(edges)])
+    cuts = []
+    monkeypatch.setattr(communities, "walk_communities", lambda w, cut=communities.walk_communities: cuts.append(w) or cut(w))
+    got = pa.Table.from_batches(communities._cluster_egos(iter(rows.to_batches(max_chunksize=2)))).to_pylist()
+    assert len(cuts) == 1
+    assert [(r["target"], r["peptide"], r["role"], r["cluster_id"]) for r in got] == [
+        (t, t + x, "Neighbor" if x else "Target", "Cluster1") for t in ("AAAA", "CCCC", "DDDD") for x in ("", "E", "F")
+    ]
