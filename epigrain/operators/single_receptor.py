@@ -10,6 +10,8 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,27 +36,52 @@ DEFAULT_SCALES = (
 )
 
 
-def _pair_stats(pdf: pd.DataFrame, lens, matrices):
-    """Yield (rows, frag_len, scale, stats (n, 6)); pairs with equal lengths are profiled together."""
-    peptides, receptors = pdf["peptide"].to_numpy(), pdf["cdr3b"].to_numpy()
-    shape = [pdf["peptide"].str.len().to_numpy(), pdf["cdr3b"].str.len().to_numpy()]
-    for (p_len, t_len), rows in pdf.groupby(shape).indices.items():
-        target = np.stack([encode(s) for s in peptides[rows]]).astype(np.intp)
-        source = np.stack([encode(s) for s in receptors[rows]]).astype(np.intp)
-        for n in lens:
-            # A window wider than the receptor shrinks to the receptor.
-            width = min(n, t_len)
-            if width == 0 or width > p_len:
-                continue
-            forward = np.lib.stride_tricks.sliding_window_view(source, width, axis=1)
-            both = np.concatenate([forward, forward[:, :, ::-1]], axis=1)
+#: Pairs that are profiled together at most.
+PAIRS_AT_ONCE = 2_048
+
+
+def _encode_equal(strings: pa.Array, length: int) -> np.ndarray:
+    """Codes of standard-residue sequences of one length: (n, length)."""
+    listed = strings.to_pylist()
+    try:
+        codes = encode("".join(listed))
+    except ValueError:
+        for sequence in listed:  # names the one that is not standard
+            encode(sequence)
+        raise
+    return codes.astype(np.intp).reshape(len(listed), length)
+
+
+def _pair_stats(peptides: pa.Array, receptors: pa.Array, lens, matrices):
+    """Yield (rows, frag_len, scale, stats (n, 6)); pairs with equal lengths are profiled together.
+
+    The contacts of every residue of the receptor with every residue of the peptide are looked up once per scale. A fragment's score at an
+    offset is the sum along a diagonal of that table, and of the reversed fragment along a diagonal the other way.
+    """
+    sizes = [pc.fill_null(pc.utf8_length(a), -1).to_numpy(zero_copy_only=False) for a in (peptides, receptors)]
+    for p_len, t_len in sorted(set(zip(*(s.tolist() for s in sizes)))):
+        if min(p_len, t_len) < 0:
+            continue  # nothing to profile
+        alike = np.flatnonzero((sizes[0] == p_len) & (sizes[1] == t_len))
+        for rows in (alike[i : i + PAIRS_AT_ONCE] for i in range(0, len(alike), PAIRS_AT_ONCE)):
+            target = _encode_equal(peptides.take(pa.array(rows)), p_len)
+            source = _encode_equal(receptors.take(pa.array(rows)), t_len)
             for scale, matrix in matrices.items():
-                best = None
-                for o in range(p_len - width + 1):
-                    placed = sum(matrix[both[:, :, j], target[:, o + j, None]] for j in range(width))
-                    best = placed if best is None else np.maximum(best, placed)
-                mean, sd, skew, kurt = sample_moments(best)
-                yield rows, n, scale, np.stack([best.max(axis=1), best.min(axis=1), mean, sd, skew, kurt], axis=1)
+                # pairs lie last, so that every step runs along them
+                contact = np.ascontiguousarray(matrix[source.T[:, None], target.T[None]])
+                for n in lens:
+                    # A window wider than the receptor shrinks to the receptor.
+                    width = min(n, t_len)
+                    if width == 0 or width > p_len:
+                        continue
+                    starts, offsets = t_len - width + 1, p_len - width + 1
+                    best = np.empty((2 * starts, len(rows)))
+                    for way, steps in enumerate((range(width), range(width - 1, -1, -1))):
+                        placed = sum(contact[i : i + starts, j : j + offsets] for j, i in enumerate(steps))
+                        placed.max(axis=1, out=best[way * starts : (way + 1) * starts])
+                    best = np.ascontiguousarray(best.T)
+                    mean, sd, skew, kurt = sample_moments(best)
+                    yield rows, n, scale, np.stack([best.max(axis=1), best.min(axis=1), mean, sd, skew, kurt], axis=1)
 
 
 def scpp_stats(
@@ -65,15 +92,17 @@ def scpp_stats(
     lens = sorted(set(frag_lens))
 
     def run(batches):
-        for pdf in batches:
-            for rows, n, scale, stats in _pair_stats(pdf, lens, matrices):
-                head = pdf.iloc[rows].assign(aaindex_id=scale, frag_len=n).reset_index(drop=True)
-                yield head.assign(**{s: stats[:, i] for i, s in enumerate(SINGLE_CPP_STATS)})
+        for batch in batches:
+            for rows, n, scale, stats in _pair_stats(batch.column(0), batch.column(1), lens, matrices):
+                own, k = pa.array(rows), len(rows)
+                head = [batch.column(0).take(own), batch.column(1).take(own), pa.array([scale]).take(pa.array(np.zeros(k, int))), pa.array(np.full(k, n, np.int32))]
+                yield pa.RecordBatch.from_arrays([*head, *(pa.array(s) for s in stats.T.copy())], names)
 
     schema = "peptide string, cdr3b string, aaindex_id string, frag_len int, " + ", ".join(
         f"{s} double" for s in SINGLE_CPP_STATS
     )
-    long = spread(pairs.select("peptide", "cdr3b"), "peptide", "cdr3b").mapInPandas(run, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+    long = spread(pairs.select("peptide", "cdr3b"), "peptide", "cdr3b").mapInArrow(run, schema)
     return long.select(
         *long.columns[:4], *[F.when(~F.isnan(s), F.col(s)).alias(s) for s in SINGLE_CPP_STATS]
     )
@@ -89,14 +118,16 @@ def scpp_features(
     slot = {name: i for i, name in enumerate(names)}
 
     def run(batches):
-        for pdf in batches:
-            values = np.full((len(pdf), len(names)), np.nan)
-            for rows, n, scale, stats in _pair_stats(pdf, lens, matrices):
+        for batch in batches:
+            values = np.full((batch.num_rows, len(names)), np.nan)
+            for rows, n, scale, stats in _pair_stats(batch.column(0), batch.column(1), lens, matrices):
                 for i, stat in enumerate(SINGLE_CPP_STATS):
                     values[rows, slot[f"{SINGLE_CPP}_{scale}_{stat}_{n}"]] = stats[:, i]
-            yield pdf.assign(values=list(values))
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(names))
+            packed = pa.ListArray.from_arrays(ends, pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["peptide", "cdr3b", "values"])
 
-    packed = spread(pairs.select("peptide", "cdr3b").distinct(), "peptide", "cdr3b").mapInPandas(
+    packed = spread(pairs.select("peptide", "cdr3b").distinct(), "peptide", "cdr3b").mapInArrow(
         run, "peptide string, cdr3b string, values array<double>"
     )
     value = F.col("values")

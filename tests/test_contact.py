@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from epigrain.functions.alphabet import AMINO_ACIDS
@@ -220,3 +221,25 @@ def test_single_receptor(spark, setting):
     assert ("WYW", "CASSL", "SYN01", 4) not in rows and ("ACDE", "CA", "SYN01", 4) in rows
     wide = as_dict(single_receptor.scpp_features(pairs, scales, None, (3, 4)), ("peptide", "cdr3b"))
     assert wide["ACDEFGHI", "CASSLGQYF"]["sCPP_SYN01_Max_3"] == rows["ACDEFGHI", "CASSLGQYF", "SYN01", 3]["Max"]
+
+
+def test_contacts_of_a_pair_are_looked_up_once_per_scale():
+    looked_up = []
+
+    class Scale:
+        def __getitem__(self, at):
+            looked_up.append(np.broadcast(*at).size)
+            return matrix[at]
+
+    matrix = np.random.default_rng(3).random((20, 20))
+    pairs = [("ACDEFGHI", "KLMNPQRSTV"), ("AAAACCCC", "WYWYWYWYWY"), (None, "WYWYWYWYWY")]
+    got = {n: stats for _, n, _, stats in single_receptor._pair_stats(*(pa.array(c, pa.string()) for c in zip(*pairs)), [3, 4], {"S": Scale()})}
+    assert sum(looked_up) == 2 * 8 * 10
+    for n, stats in got.items():
+        for (peptide, receptor), row in zip(pairs, stats):
+            windows = [receptor[i : i + n] for i in range(len(receptor) - n + 1)]
+            best = [
+                max(sum(matrix[AMINO_ACIDS.index(a), AMINO_ACIDS.index(b)] for a, b in zip(f, peptide[o:])) for o in range(len(peptide) - n + 1))
+                for w in windows for f in (w, w[::-1])
+            ]
+            assert row[:3] == pytest.approx([max(best), min(best), np.mean(best)])
