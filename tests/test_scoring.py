@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -330,3 +332,18 @@ def test_density_reads_footprints_once_and_counts_repeats(spark, monkeypatch):
     for r in density[::9]:
         y = (n * np.exp(-0.5 * ((r.x - x) / h) ** 2)).sum() / (len(flat) * h * np.sqrt(2 * np.pi))
         assert r.y == pytest.approx(y)
+
+
+def test_growing_holds_one_value_per_row_at_a_time():
+    rng = np.random.default_rng(4)
+    x, label, rows = rng.random((60_000, 6)), (rng.random(60_000) < 0.4).astype(np.int64), np.arange(60_000)
+
+    def peak(tries):
+        tracemalloc.start()
+        for _ in trees.grow_block(x, label, [rows], np.array([0]), trees.roots([(1, 1)], 1), np.ones((1, 2)), tries, 3):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(6) < 1.1 * peak(1)
