@@ -20,7 +20,7 @@ from ..functions.joins import join_groups
 from ..functions.moments import column_moments, correlations, quoted
 from ..functions.names import CPP, DESCRIPTOR, FeatureName, base_scale
 from ..functions.ordered import hash_rank
-from ..session import stage
+from ..session import spread, stage
 from .relational import inverse_columns
 
 KEY_COLUMNS = ("data_type", "peptide", "immunogenicity", "cluster")
@@ -118,6 +118,8 @@ def preprocess(
     names = [c for c in features.columns if c != "peptide"]
     keys = [c for c in KEY_COLUMNS if c in split.columns]
     dt = split.select(*keys).join(features, "peptide", "left").selectExpr(*keys, *map(quoted, names))
+    # Read for every later step; by bytes alone it would be packed into very few tasks.
+    dt = stage(spread(dt, "peptide"))
     scaled = [n for n in names if not n.startswith("Peptide_")]
     scaling = train_scaling(dt, scaled)
     return Prepared(apply_scaling(dt, scaling), scaling)
@@ -277,7 +279,7 @@ def _cv_kappas(train: DataFrame, names: Sequence[str], sizes: Sequence[int | Non
     """Mean kappa over the folds for each number of features (None: all that pass the filter)."""
     from .scoring import kfold_assign
 
-    folded = stage(kfold_assign(train, seed, folds=folds, out="_fold"))
+    folded = stage(spread(kfold_assign(train, seed, folds=folds, out="_fold"), "peptide"))
     totals = dict.fromkeys(sizes, 0.0)
     for k in range(1, folds + 1):
         rest, held = folded.where(F.col("_fold") != k), folded.where(F.col("_fold") == k)

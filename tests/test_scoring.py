@@ -347,3 +347,11 @@ def test_growing_holds_one_value_per_row_at_a_time():
         return most
 
     assert peak(6) < 1.1 * peak(1)
+
+
+def test_prepared_rows_are_written_once_for_every_later_step(spark):
+    rows = [(f"p{i}", "Positive" if i % 3 else "Negative", f"c{i}", float(i), float(i % 7)) for i in range(40)]
+    table = spark.createDataFrame(rows, "peptide string, immunogenicity string, cluster string, a double, b double")
+    prepared = selection.preprocess(table.select("peptide", "a", "b"), table.select("peptide", "immunogenicity", "cluster"), 3)
+    assert "Join" not in prepared.dt._jdf.queryExecution().toString()
+    assert prepared.dt.count() == 40
