@@ -355,3 +355,21 @@ def test_prepared_rows_are_written_once_for_every_later_step(spark):
     prepared = selection.preprocess(table.select("peptide", "a", "b"), table.select("peptide", "immunogenicity", "cluster"), 3)
     assert "Join" not in prepared.dt._jdf.queryExecution().toString()
     assert prepared.dt.count() == 40
+
+
+def test_a_task_leaves_one_row_per_model_and_held_out_peptide(spark, labelled, trained, monkeypatch):
+    """However many blocks of trees a task grows: else what is shuffled grows with the square of the rows."""
+    features, metadata = labelled
+    table, names, models, weights, tries = scoring._weighed(features, metadata.drop("cluster"), None, (1, 2), None, 5)
+    left, in_tasks = [], trees._in_tasks
+
+    def counted(*args):
+        left.append(in_tasks(*args))
+        return left[-1]
+
+    monkeypatch.setattr(trees, "_in_tasks", counted)
+    monkeypatch.setattr(trees, "TASK_ROWS", 600)  # a tree at a time
+    scores = trees.held_out_scores(table, models, weights, 20, tries, None, scoring.N_FOLDS)
+    assert scores.count() == 1200
+    most = 1200 + 120 * left[0].rdd.getNumPartitions()
+    assert left[0].rdd.getNumPartitions() < 200 and left[0].count() <= most < 1200 * 20
