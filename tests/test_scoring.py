@@ -1,3 +1,4 @@
+import re
 import tracemalloc
 
 import numpy as np
@@ -373,3 +374,16 @@ def test_a_task_leaves_one_row_per_model_and_held_out_peptide(spark, labelled, t
     assert scores.count() == 1200
     most = 1200 + 120 * left[0].rdd.getNumPartitions()
     assert left[0].rdd.getNumPartitions() < 200 and left[0].count() <= most < 1200 * 20
+
+
+@pytest.mark.parametrize("cells", [trees.TASK_CELLS, 1000])
+def test_more_nodes_are_dealt_to_more_tasks(spark, labelled, trained, monkeypatch, cells):
+    """A scoring task sorts the nodes it gets, so the session's number of partitions must not fix their number."""
+    forest, table = trained
+    monkeypatch.setattr(trees, "BLOCK_NODES", 300)
+    monkeypatch.setattr(trees, "TASK_CELLS", cells)
+    blocks = trees._tree_blocks(forest, 300 if cells > 1000 else 1500)[1]
+    plan = trees.model_sums(forest, table, ["peptide"])._jdf.queryExecution().toString()
+    dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[block#\d+(?:, slice#\d+)?\], (\d+)", plan)]
+    assert dealt and min(dealt) >= max(blocks / 2, 9)  # the session has 8
+    assert not re.findall(r"Exchange hashpartitioning\(block#\d+(?:, slice#\d+)?, \d+\), ENSURE", plan)
