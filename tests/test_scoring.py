@@ -387,3 +387,26 @@ def test_more_nodes_are_dealt_to_more_tasks(spark, labelled, trained, monkeypatc
     dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[block#\d+(?:, slice#\d+)?\], (\d+)", plan)]
     assert dealt and min(dealt) >= max(blocks / 2, 9)  # the session has 8
     assert not re.findall(r"Exchange hashpartitioning\(block#\d+(?:, slice#\d+)?, \d+\), ENSURE", plan)
+
+
+def test_single_precision_that_is_exact_gives_the_same_nodes(spark, labelled):
+    """Tables that it holds are collected, sent and grown with half the space."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(3000, 7)).astype(np.float32)
+    x[:, 3] = np.round(x[:, 3])
+    x[rng.random(x.shape) < 0.02] = np.nan
+    label, taken = (rng.random(3000) < 0.4).astype(np.int64), [np.arange(3000), np.arange(0, 3000, 2)]
+
+    def grown(values):
+        return [np.concatenate(c) for c in zip(*trees.grow_block(values, label, taken, np.arange(2), trees.roots([(1, 1)], 2), np.ones((2, 2)), 5))]
+
+    for single, double in zip(grown(np.asfortranarray(x)), grown(np.asfortranarray(x, float))):
+        assert single.dtype == double.dtype and np.array_equal(single, double)
+    rows = [(f"P{i}", i % 2, [float(v) if v == v else None for v in row], [1 + i % 5]) for i, row in enumerate(x[:200])]
+    table = spark.createDataFrame(rows, "peptide string, label int, features array<double>, folds array<int>")
+    args = ([(1, k) for k in range(1, 6)], np.ones((5, 2)), 3, 5, None, 5)
+    assert trees.narrow(table).schema["features"].dataType.elementType.simpleString() == "float"
+    more = table.unionByName(spark.createDataFrame([("Q", 1, [0.1] * 7, [0])], table.schema))  # no seed drew it
+    assert trees.narrow(more).schema["features"].dataType.elementType.simpleString() == "double"
+    small, wide = (sorted(map(tuple, trees.grow(t, 7, *args).collect())) for t in (table, more))
+    assert small == wide
