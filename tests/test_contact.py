@@ -243,3 +243,14 @@ def test_contacts_of_a_pair_are_looked_up_once_per_scale():
                 for w in windows for f in (w, w[::-1])
             ]
             assert row[:3] == pytest.approx([max(best), min(best), np.mean(best)])
+
+
+def test_receptor_statistics_are_made_at_all_default_lengths(spark, tmp_path):
+    from epigrain.plans import feature_queries
+
+    docs = [(1, "ACDEFGHIK and LMNPQRSTVW"), (2, "CASSLGQAYEQYF ACDEFGHI")]
+    rows = [(i, text, "en", "src") for i, text in docs]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = feature_queries.q_scpp_stats(spark, str(tmp_path)).groupBy("peptide", "cdr3b", "aaindex_id").agg({"frag_len": "collect_set"}).collect()
+    assert {(r.peptide, r.cdr3b) for r in got} == {("ACDEFGHIK", "ACDEFGHIK"), ("LMNPQRSTVW", "ACDEFGHIK"), ("ACDEFGHI", "ACDEFGHI")}
+    assert all(sorted(r[3]) == [3, 4, 5, 6, 7, 8] for r in got)
