@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import AMINO_ACIDS
@@ -57,7 +57,7 @@ SELECT peptide, CASE WHEN immunogenicity = 'Positive' THEN 'Positive' ELSE 'Nega
 FROM raw WHERE immunogenicity_evidence = 'ev0' AND peptide <> 'NA' GROUP BY ALL""",
 )
 def q_scan_assay_export(spark, sf_dir):
-    """An export of 50 columns with a banner line, then the header line as a row of its own."""
+    """An export of 50 columns with a banner line, then the header line as a row of its own; most cells are alike, so files are compressed."""
     named = {
         12: ("Description", "peptide"), 20: ("Qualitative Measure", "measure"), 21: ("Assay Group", "immunogenicity_evidence"),
         22: ("Allele Name", "mhc"), 23: ("Allele Evidence Code", "dataset"), 30: ("Name", "host"), 50: ("Organism Species", "organism"),
@@ -70,11 +70,13 @@ def q_scan_assay_export(spark, sf_dir):
     body = raw.select(*[(F.col(named[i][1]) if i in named else F.lit("x")).alias(banner[i - 1]) for i in range(1, 51)])
 
     def with_header(batches):
-        yield pd.DataFrame(header)
-        yield from batches
+        top = pa.RecordBatch.from_pydict(header)
+        yield top
+        for batch in batches:  # a column of them that is never null has another schema
+            yield pa.RecordBatch.from_arrays([c.cast(pa.string()) for c in batch.columns], schema=top.schema)
 
     path = _folder(spark, "assays")
-    body.mapInPandas(with_header, body.schema).write.option("header", True).csv(path)
+    body.mapInArrow(with_header, body.schema).write.option("header", True).option("compression", "gzip").csv(path)
     evidence = table(spark, sf_dir, "labels").where("toxic = 0").select(F.concat(F.lit("ev"), "toxic").alias("evidence")).distinct()
     back = epitopes.read_assay_export(spark, path, evidence)
     return back.groupBy("peptide", "immunogenicity", "immunogenicity_evidence", "mhc", "host", "organism").agg(F.count("*").alias("n"))

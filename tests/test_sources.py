@@ -143,3 +143,22 @@ def test_a_large_accession_is_written_by_several_tasks(spark, tmp_path, monkeypa
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert spark.read.format("binaryFile").load(f"{seen[0]}/source=src0/*_clones.txt").count() > 1
+
+
+def test_an_assay_export_of_queries_takes_less_room_than_its_named_cells(spark, tmp_path, monkeypatch):
+    from epigrain.plans import scan_queries
+
+    words = ["ACDEFGHIK", "PEPTIDES", "LMNPQRST", "na", "with", 'AC"DE']
+    docs = [(i, " ".join(words * 20), "de" if i % 2 else "en", f"src{i % 3}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(scan_queries, "_folder", lambda spark, label: str(tmp_path / label))
+    got = scan_queries.q_scan_assay_export(spark, str(tmp_path)).collect()
+    seen = {}
+    for r in got:
+        seen[r.peptide] = seen.get(r.peptide, 0) + r.n
+    assert {r.immunogenicity_evidence for r in got} == {"ev0"} and {r.immunogenicity for r in got} == {"Positive", "Negative"}
+    assert seen == {"ACDEFGHIK": 48 * 20, "PEPTIDES": 48 * 20, "LMNPQRST": 48 * 20, "WITH": 48 * 20, "AC": 48 * 20, "DE": 48 * 20}
+    named = 60 * 20 * sum(len(w) + len("Positive-High,ev0,en, src0,src0,src0,en") for w in words)
+    assert sum(p.stat().st_size for p in (tmp_path / "assays").glob("part-*")) < named
