@@ -410,3 +410,52 @@ def test_single_precision_that_is_exact_gives_the_same_nodes(spark, labelled):
     assert trees.narrow(more).schema["features"].dataType.elementType.simpleString() == "double"
     small, wide = (sorted(map(tuple, trees.grow(t, 7, *args).collect())) for t in (table, more))
     assert small == wide
+
+
+def test_stored_trees_take_less_than_a_byte_per_node_and_come_back_whole(spark, labelled, tmp_path):
+    features, metadata = labelled
+    noise = features.select("peptide", *[F.rand(j).cast("float").cast("double").alias(f"f{j}") for j in range(3)])
+    labels = metadata.select("peptide", F.when(F.xxhash64("peptide") % 2 == 0, "Positive").otherwise("Negative").alias("immunogenicity"))
+    with_gaps = trees.stage(noise.withColumn("f1", F.when(F.col("f1") > 0.9, None).otherwise(F.col("f1"))))
+    for depth in (None, 3):
+        options = dict(seeds=(1,), n_trees=60, max_depth=depth)
+        kept, table = scoring.train_models(with_gaps, labels, **options)
+        stored, _ = scoring.train_models(with_gaps, labels, path=str(tmp_path / f"forest{depth}"), **options)
+        nodes = node_rows(kept)
+        assert node_rows(stored) == nodes and len({t for t, _ in nodes}) == 300
+        size = sum(p.stat().st_size for p in (tmp_path / f"forest{depth}").rglob("*.parquet"))
+        assert depth or size < len(nodes)
+        want = {(r.peptide, r.fold): r.immunogenicity_score for r in scoring.internal_scores(kept, table).collect()}
+        got = {(r.peptide, r.fold): r.immunogenicity_score for r in scoring.internal_scores(stored, table).collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items()} and len(got) == 600
+
+
+def test_stored_trees_are_walked_where_they_are_worked_out(spark, labelled, tmp_path, monkeypatch):
+    """No node is moved, however many rows are scored; those are read some at a time."""
+    features, metadata = labelled
+    stored, table = scoring.train_models(features, metadata.drop("cluster"), path=str(tmp_path / "forest"), **OPTIONS)
+    twice = table.unionByName(table.limit(1))  # a repeated key stays a row of its own
+    want = sorted((r.peptide, r.scores) for r in trees.model_scores(trees.Forest(trees.stage(stored.nodes), *named(stored)), twice, ["peptide"]).collect())
+    monkeypatch.setattr(trees, "FILE_CELLS", 1000)
+    monkeypatch.setattr(trees, "TASK_CELLS", 100)
+    sums = trees.model_sums(stored, twice, ["peptide"])
+    plan = sums._jdf.queryExecution().toString()
+    assert "feature#" not in plan and "cut#" not in plan
+    got = sorted((r.peptide, r.scores) for r in trees.model_scores(stored, twice, ["peptide"]).collect())
+    assert len(got) == 601 and all(p == q and a == pytest.approx(b) for (p, a), (q, b) in zip(got, want))
+
+
+def named(forest):
+    return forest.features, forest.models, forest.trees
+
+
+def test_cuts_of_other_trees_are_refused():
+    rng = np.random.default_rng(5)
+    x, label, args = rng.random((50, 3)), np.arange(50) % 2, ([np.arange(50)], np.array([0]), trees.roots([(1, 1)], 1), np.ones((1, 2)), 2)
+    noted = []
+    whole = list(trees.grow_block(x, label, *args, noted=noted))
+    packed = trees.zlib.compress(np.concatenate(noted).astype(np.uint8).tobytes())
+    for a, b in zip(whole, trees.grow_block(x, label, *args, told=packed), strict=True):
+        assert all(np.array_equal(p, q) for p, q in zip(a, b, strict=True))
+    with pytest.raises(ValueError, match="not those of these trees"):
+        list(trees.grow_block(x, label, *args, told=trees.zlib.compress(b"\0")))
