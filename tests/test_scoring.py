@@ -459,3 +459,19 @@ def test_cuts_of_other_trees_are_refused():
         assert all(np.array_equal(p, q) for p, q in zip(a, b, strict=True))
     with pytest.raises(ValueError, match="not those of these trees"):
         list(trees.grow_block(x, label, *args, told=trees.zlib.compress(b"\0")))
+
+
+def test_a_table_that_is_too_large_to_send_is_read_by_the_tasks(labelled, monkeypatch):
+    """Growing by levels writes a row per vector and tree at every level."""
+    features, metadata = labelled
+    labels, clusters = metadata.drop("cluster"), metadata.select("peptide", "cluster")
+
+    def scores():
+        frames = scoring.immunogenicity_score(features, labels, **OPTIONS), scoring.immunogenicity_score_cluster(features, labels, clusters, **OPTIONS)
+        return [{r.peptide: r.immunogenicity_score for r in f.collect()} for f in frames]
+
+    want = scores()
+    monkeypatch.setattr(trees, "TASK_CELLS", 600 * 6 // 8)
+    monkeypatch.setattr(trees, "_grow_by_levels", lambda *_: pytest.fail("grown by levels"))
+    for a, b in zip(want, scores(), strict=True):
+        assert b == {k: pytest.approx(v) for k, v in a.items()} and len(b) >= 300
